@@ -65,7 +65,8 @@ def content_preview(text: Column, limit: int = 200, keep_markdown: bool = True)
 
 def format_epoch(seconds: Column) -> Column:
     """Epoch seconds as text in UTC; zero and null have no date."""
-    shown = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    shown = (epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).cast("string")
     return F.when(seconds.isNull() | (seconds == 0), F.lit("Unknown date")).otherwise(shown)
 
 
@@ -105,3 +106,13 @@ def markdown_matches(text: Column, samples: int = 3) -> Column:
 def approx_tokens(text: Column) -> Column:
     """Four characters per token, rounded down."""
     return F.floor(F.length(text) / 4)
+
+
+def result_line(columns: list[str], limit: int = 2000) -> Column:
+    """``Key: value`` pairs of a row; keys in title case, long texts cut, empty fields left out."""
+    fields = []
+    for name in columns:
+        value = truncated(F.col(name).cast("string"), limit, "... [truncated]")
+        shown = F.concat(F.lit(f"{name.replace('_', ' ').title()}: "), value)
+        fields.append(F.when(value.isNotNull() & (strip(value) != "") & (value != "None"), shown))
+    return F.concat_ws(", ", *fields)
