@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govspark.functions.keys import sanitize_key, sanitize_name
+from govspark.functions.text import is_meaningful
 
 
 def path_value(record: Column, path: str, kind: str = "string") -> Column:
@@ -19,7 +21,7 @@ def path_value(record: Column, path: str, kind: str = "string") -> Column:
 def record_schema(df: DataFrame, column: str) -> str:
     """Merged schema of a JSON text column, from one aggregate pass; mixed types stay variants."""
     ddl = df.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(column)))).first()[0]
-    return ddl.replace("OBJECT<", "STRUCT<")
+    return re.sub(r"\bVOID\b(?=[,>]|$)", "STRING", ddl.replace("OBJECT<", "STRUCT<"))
 
 
 def parse_records(df: DataFrame, column: str, schema: str | None = None) -> DataFrame:
@@ -27,35 +29,38 @@ def parse_records(df: DataFrame, column: str, schema: str | None = None) -> Data
     return df.withColumn(column, F.from_json(F.col(column), schema or record_schema(df, column)))
 
 
-def _array_columns(field: T.DataType, at: str = "") -> list[str]:
-    """Paths of the arrays that lie outside other arrays."""
-    if isinstance(field, T.ArrayType):
-        return [at]
-    if isinstance(field, T.StructType):
-        return [p for f in field.fields for p in _array_columns(f.dataType, f"{at}.`{f.name}`" if at else f"`{f.name}`")]
-    return []
+def _array_sizes(value: Column, kind: T.DataType, path: str, lists: bool = False):
+    """(path, largest size in this row) of every array, those inside other arrays included.
+
+    With ``lists`` the column holds all values of the path in this row as one array.
+    """
+    if isinstance(kind, T.ArrayType):
+        yield path, F.array_max(F.transform(value, F.size)) if lists else F.size(value)
+        yield from _array_sizes(F.flatten(value) if lists else value, kind.elementType, f"{path}[]", True)
+    elif isinstance(kind, T.StructType):
+        for f in kind.fields:
+            inner = F.transform(value, lambda v, n=f.name: v[n]) if lists else value[f.name]
+            yield from _array_sizes(inner, f.dataType, f"{path}.{f.name}", lists)
 
 
 def array_widths(df: DataFrame, limit: int) -> dict[str, int]:
     """Largest number of elements of each array, capped at ``limit``, from one aggregate row."""
-    paths = [p for f in df.schema.fields for p in _array_columns(f.dataType, f"`{f.name}`")]
-    if not paths:
+    sizes = [s for f in df.schema.fields for s in _array_sizes(F.col(f"`{f.name}`"), f.dataType, f.name)]
+    if not sizes:
         return {}
-    row = df.agg(*[F.max(F.size(p)).alias(str(i)) for i, p in enumerate(paths)]).first()
-    return {p: min(max(row[i] or 0, 0), limit) for i, p in enumerate(paths)}
+    row = df.agg(*[F.max(size).alias(str(i)) for i, (_, size) in enumerate(sizes)]).first()
+    return {path: min(max(row[i] or 0, 0), limit) for i, (path, _) in enumerate(sizes)}
 
 
 def _leaves(value: Column, kind: T.DataType, name: str, path: str, widths: dict[str, int], limit: int):
     """(flat name, column) of every leaf below ``value``."""
     if isinstance(kind, T.StructType):
         for f in kind.fields:
-            step = f"{path}.`{f.name}`" if path else f"`{f.name}`"
-            below = f"{name}_{sanitize_name(f.name)}" if name else sanitize_name(f.name)
-            yield from _leaves(value[f.name], f.dataType, below, step, widths, limit)
+            yield from _leaves(value[f.name], f.dataType, f"{name}_{sanitize_name(f.name)}", f"{path}.{f.name}", widths, limit)
     elif isinstance(kind, T.ArrayType):
-        width = widths.get(path, limit)
+        width = widths[path]
         for i in range(width):
-            yield from _leaves(F.get(value, F.lit(i)), kind.elementType, f"{name}_{i}", f"{path}[{i}]", widths, limit)
+            yield from _leaves(F.get(value, F.lit(i)), kind.elementType, f"{name}_{i}", f"{path}[]", widths, limit)
         if width == limit:
             beyond = F.slice(value, limit + 1, F.greatest(F.size(value) - limit, F.lit(0)))
             yield f"{name}_rest", F.when(F.size(value) > limit, F.to_json(beyond))
@@ -75,7 +80,7 @@ def flatten_wide(df: DataFrame, max_array: int = 16, on_collision: str = "error"
     widths = array_widths(df, max_array)
     leaves: dict[str, list[Column]] = defaultdict(list)
     for f in df.schema.fields:
-        for name, leaf in _leaves(F.col(f"`{f.name}`"), f.dataType, sanitize_name(f.name), f"`{f.name}`", widths, max_array):
+        for name, leaf in _leaves(F.col(f"`{f.name}`"), f.dataType, sanitize_name(f.name), f.name, widths, max_array):
             leaves[name].append(leaf)
     twice = [n for n, found in leaves.items() if len(found) > 1]
     if twice and on_collision != "last":
@@ -108,5 +113,17 @@ def flatten_long(df: DataFrame, key: str, column: str, max_depth: int = 8) -> Da
             F.when(F.col("is_open"), F.col("child_key")).otherwise(F.col("leaf_key")).alias("leaf_key"),
             F.when(F.col("is_open"), F.col("child")).otherwise(F.col("value")).alias("value"),
         )
-    empty = F.to_json("value").isin("{}", "[]")
-    return rows.where(~empty).select(key, "path", "leaf_key", F.col("value").try_cast("string").alias("value"))
+    text = F.to_json("value")
+    deeper = F.schema_of_variant("value").rlike(container)
+    shown = F.when(deeper, text).otherwise(F.col("value").try_cast("string"))
+    return rows.where(~text.isin("{}", "[]")).select(key, "path", "leaf_key", shown.alias("value"))
+
+
+def text_leaves(df: DataFrame, key: str, column: str, max_depth: int = 8) -> DataFrame:
+    """Meaningful texts of a JSON document, object fields with their key in front.
+
+    Every text is kept; a caller that wants the first thousand per document ranks by ``path``.
+    """
+    leaves = flatten_long(df, key, column, max_depth).where(is_meaningful(F.col("value")))
+    named = F.when(F.col("leaf_key").isNotNull(), F.concat(F.lit("["), F.col("leaf_key"), F.lit("]: "), F.col("value")))
+    return leaves.select(key, "path", F.coalesce(named, F.col("value")).alias("extract"))

@@ -43,11 +43,11 @@ def write_key_list(df: DataFrame, path: str, columns: list[str], fmt: str = "jso
     df.select(*columns).write.mode("overwrite").option("header", fmt == "csv").format(fmt).save(path)
 
 
-def envelopes(items: DataFrame, network: str, order: str, size: int = ENVELOPE_ITEMS) -> DataFrame:
+def envelopes(items: DataFrame, network: str, order: list[str], size: int = ENVELOPE_ITEMS) -> DataFrame:
     """Rows packed into records {network, timestamp, total_items, items[]} of at most ``size`` items."""
-    numbered = positions(items, [network], [order], "_n")
+    numbered = positions(items, [network], order, "_n")
     batch = F.floor((F.col("_n") - 1) / size)
-    item = F.struct(F.col(order), *[F.col(c) for c in items.columns if c not in (network, order)])
+    item = F.struct(*order, *[c for c in items.columns if c != network and c not in order])
     packed = numbered.groupBy(F.col(network).alias("network"), batch.alias("batch")).agg(
         F.array_sort(F.collect_list(item)).alias("items")
     )
@@ -56,19 +56,20 @@ def envelopes(items: DataFrame, network: str, order: str, size: int = ENVELOPE_I
     )
 
 
-def write_envelopes(items: DataFrame, path: str, network: str, order: str, size: int = ENVELOPE_ITEMS) -> None:
-    """One envelope per line, in files of one network each."""
-    envelopes(items, network, order, size).withColumn("file_network", F.col("network")).write.mode("overwrite").partitionBy(
-        "file_network"
-    ).json(path)
+def write_envelopes(items: DataFrame, path: str, network: str, order: list[str], size: int = ENVELOPE_ITEMS) -> None:
+    """One envelope per line; the files of a folder hold one network."""
+    packed = envelopes(items, network, order, size).withColumn("file_network", F.col("network"))
+    packed.write.mode("overwrite").partitionBy("file_network").json(path)
 
 
 def write_vectors(chunks: DataFrame, path: str) -> None:
     """Vector collections: a stable id per chunk; a collection is replaced whole, the others stay."""
     keyed = chunks.withColumn("chunk_id", F.sha2(F.concat_ws(":", "collection", "doc_id", "chunk_index"), 256))
-    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+    sized = keyed.hint("rebalance", "collection")
+    sized.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
-    """Layout for filters on ``by``; rows spread over tasks inside a value, so a frequent value makes several files."""
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Layout for filters on ``by``. Rebalancing gives each value files of even size: rare values share no task with
+    others, frequent ones are split over several tasks."""
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -1,4 +1,4 @@
 """All named queries. Importing this package fills the registry."""
 
-from govspark.suite import filters, governance, profiles, transforms, voting  # noqa: F401
+from govspark.suite import filters, governance, profiles, sources, transforms, voting  # noqa: F401
 from govspark.suite.registry import ORACLES, QUERIES  # noqa: F401
