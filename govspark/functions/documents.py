@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govspark.functions.links import NETWORKS
-from govspark.functions.text import lines, strip
+from govspark.functions.text import let, lines, strip
 from govspark.operators.ordered import running
 
 # Header marks, the separator line, the number of lines and topics that are read.
@@ -38,7 +38,10 @@ def _first(all_lines: Column, test) -> Column:
 
 def fixed_header(text: Column) -> Column:
     """Header marks in fixed lines; the body follows a separator line, else the first blank line."""
-    rows = lines(text)
+    return let(lines(text), _fixed_fields)
+
+
+def _fixed_fields(rows: Column) -> Column:
     third, fourth = _line(rows, 2), _line(rows, 3)
     has_type = third.startswith(TYPE)
     separator, blank = _first(rows, lambda r: F.contains(r, F.lit(SEPARATOR))), _first(rows, lambda r: strip(r) == "")
@@ -54,9 +57,15 @@ def fixed_header(text: Column) -> Column:
 
 def free_header(text: Column, stem: Column) -> Column:
     """Header marks in any order in the first lines; a rule or a blank line ends them; the stem is the spare title."""
-    rows = lines(text)
-    head = F.slice(rows, 1, HEADER_LINES)
-    end = _first(head, lambda r: strip(r).isin("", "---"))
+    def split_head(rows: Column) -> Column:
+        head = F.slice(rows, 1, HEADER_LINES)
+        end = _first(head, lambda r: strip(r).isin("", "---"))
+        return F.struct(rows.alias("rows"), head.alias("head"), end.alias("end"))
+
+    return let(let(lines(text), split_head), lambda parts: _free_fields(parts["rows"], parts["head"], parts["end"], stem))
+
+
+def _free_fields(rows: Column, head: Column, end: Column, stem: Column) -> Column:
     scanned = F.when(end > 0, F.slice(head, 1, F.greatest(end - 1, F.lit(0)))).otherwise(head)
 
     def found(mark: str) -> Column:

@@ -109,18 +109,26 @@ def chunk_fixed(documents: DataFrame, windows: int = 3, width: int = WINDOW_WIDT
 
 def paragraphs(text: Column, width: int = WINDOW_WIDTH, delimiters: list[str] = PARAGRAPH_DELIMITERS) -> Column:
     """Array of paragraphs: the next delimiter is tried only while the first piece is longer than two widths."""
+    def finer(mark: str) -> Callable[[Column], Column]:
+        def step(pieces: Column) -> Column:
+            cut = F.flatten(F.transform(pieces, lambda piece: F.split(piece, f"\\Q{mark}\\E")))
+            kept = F.filter(F.transform(cut, t.strip), lambda c: F.length(c) > MIN_PIECE)
+            return F.when(F.length(F.get(pieces, F.lit(0))) > 2 * width, kept).otherwise(pieces)
+
+        return step
+
     pieces = F.array(text)
     for mark in delimiters:
-        finer = F.flatten(F.transform(pieces, lambda c, m=mark: F.split(c, f"\\Q{m}\\E")))
-        kept = F.filter(F.transform(finer, t.strip), lambda c: F.length(c) > MIN_PIECE)
-        pieces = F.when(F.length(F.get(pieces, F.lit(0))) > 2 * width, kept).otherwise(pieces)
+        pieces = t.let(pieces, finer(mark))
     return F.filter(pieces, lambda c: F.length(c).between(MIN_PARAGRAPH, 2 * width))
 
 
 def meaningful_samples(text: Column, samples: int = 3, width: int = WINDOW_WIDTH, delimiters: list[str] = PARAGRAPH_DELIMITERS) -> Column:
     """Paragraphs, or sliding windows where there are too few of them; at most ``samples``, chosen by hash."""
-    found = paragraphs(text, width, delimiters)
-    chosen = F.when(F.size(found) >= samples, found).otherwise(sliding_windows(text, samples, width))
+    chosen = t.let(
+        paragraphs(text, width, delimiters),
+        lambda found: F.when(F.size(found) >= samples, found).otherwise(sliding_windows(text, samples, width)),
+    )
     hashed = F.array_sort(F.transform(chosen, lambda c: F.struct(F.md5(c).alias("h"), c.alias("c"))))
     return F.transform(F.slice(hashed, 1, samples), lambda s: s["c"])
 

@@ -36,10 +36,10 @@ def _array_sizes(value: Column, kind: T.DataType, path: str, lists: bool = False
     """
     if isinstance(kind, T.ArrayType):
         yield path, F.array_max(F.transform(value, F.size)) if lists else F.size(value)
-        yield from _array_sizes(F.flatten(value) if lists else value, kind.elementType, f"{path}[]", True)
+        yield from _array_sizes(F.flatten(F.array_compact(value)) if lists else value, kind.elementType, f"{path}[]", True)
     elif isinstance(kind, T.StructType):
         for f in kind.fields:
-            inner = F.transform(value, lambda v, n=f.name: v[n]) if lists else value[f.name]
+            inner = value[f.name]  # on a list of structs: the list of that field
             yield from _array_sizes(inner, f.dataType, f"{path}.{f.name}", lists)
 
 
