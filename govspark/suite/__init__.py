@@ -1,4 +1,14 @@
 """All named queries. Importing this package fills the registry."""
 
-from govspark.suite import filters, governance, profiles, retrieval, sources, texts, transforms, voting  # noqa: F401
+from govspark.suite import (
+    filters,
+    governance,
+    profiles,
+    retrieval,
+    sources,
+    streams,
+    texts,
+    transforms,
+    voting,
+)
 from govspark.suite.registry import ORACLES, QUERIES  # noqa: F401
