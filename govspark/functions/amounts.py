@@ -38,8 +38,8 @@ def with_display(rows: DataFrame, amount: str, asset_id: str) -> DataFrame:
 
 
 def remove_zeros(amount: Column, decimals: int = 9) -> Column:
-    """Base units to whole units, exactly."""
-    return amount.cast("decimal(38,0)") / F.lit(10**decimals).cast("decimal(20,0)")
+    """Base units to whole units without rounding, for amounts of up to ``36 - decimals`` digits."""
+    return amount.cast(f"decimal({36 - decimals},0)") / F.lit(10**decimals).cast(f"decimal({decimals + 1},0)")
 
 
 def conviction_weighted(balance: Column, lock_period: Column) -> Column:

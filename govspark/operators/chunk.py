@@ -28,10 +28,15 @@ def quarter_length(text: str) -> int:
     return len(text) // 4
 
 
-def _merge(pieces: list[str], size: int, overlap: int, count: Callable[[str], int]) -> Iterator[str]:
+def quarter_weight(text: str) -> float:
+    """The same without rounding, so that the weights of pieces add up to the weight of their sum."""
+    return len(text) / 4
+
+
+def _merge(pieces: list[str], size: int, overlap: int, count: Callable[[str], float]) -> Iterator[str]:
     """Joins neighbouring pieces up to ``size`` tokens; each chunk starts with up to ``overlap`` tokens of the last."""
-    window: deque[tuple[str, int]] = deque()
-    total = 0
+    window: deque[tuple[str, float]] = deque()
+    total = 0.0
     for piece in pieces:
         cost = count(piece)
         if window and total + cost > size:
@@ -45,7 +50,7 @@ def _merge(pieces: list[str], size: int, overlap: int, count: Callable[[str], in
 
 
 def split_text(
-    text: str, size: int, overlap: int, count: Callable[[str], int] = quarter_length, separators: list[str] = SEPARATORS
+    text: str, size: int, overlap: int, count: Callable[[str], float] = quarter_weight, separators: list[str] = SEPARATORS
 ) -> Iterator[str]:
     """Chunks of one text: cut at the coarsest separator it has, go finer only inside pieces that stay too long."""
     level = next(i for i, s in enumerate(separators) if s in text)
@@ -70,9 +75,13 @@ def chunk_recursive(
     documents: DataFrame,
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
-    count: Callable[[str], int] = quarter_length,
+    count: Callable[[str], int] | None = None,
 ) -> DataFrame:
-    """One row per chunk of (doc_id, text, source). Documents are independent, so there is no shuffle."""
+    """One row per chunk of (doc_id, text, source). Documents are independent, so there is no shuffle.
+
+    ``count`` is a tokenizer's count; without one, four characters make a token.
+    """
+    weigh, tokens = (count, count) if count else (quarter_weight, quarter_length)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -80,9 +89,9 @@ def chunk_recursive(
             for doc_id, text, source in zip(batch["doc_id"], batch["text"], batch["source"]):
                 if not text or not text.strip():
                     continue
-                chunks = [c for c in (c.strip() for c in split_text(text, size, overlap, count)) if c]
+                chunks = [c for c in (c.strip() for c in split_text(text, size, overlap, weigh)) if c]
                 rows.extend(
-                    (doc_id, source, i, len(chunks), len(c), count(c), c) for i, c in enumerate(chunks)
+                    (doc_id, source, i, len(chunks), len(c), tokens(c), c) for i, c in enumerate(chunks)
                 )
             yield pd.DataFrame(
                 rows,

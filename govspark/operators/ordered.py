@@ -22,7 +22,7 @@ def default_parts(df: DataFrame) -> int:
 def split_points(df: DataFrame, key: Column, parts: int) -> list[float]:
     shares = [i / parts for i in range(1, parts)]
     row = df.agg(F.percentile_approx(key.cast("double"), shares, 10_000).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
+    return sorted(set(row["cuts"] or [0.0]))
 
 
 def running(
