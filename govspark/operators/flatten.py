@@ -92,30 +92,27 @@ def flatten_long(df: DataFrame, key: str, column: str, max_depth: int = 8) -> Da
     """One row per leaf of a JSON text column: key, path, value as text.
 
     Containers are opened level by level while leaves pass through, in one pass without a shuffle. Empty containers
-    yield nothing; whatever lies deeper than ``max_depth`` stays as JSON text.
+    yield nothing, a key that cleans to nothing adds no text; whatever lies deeper than ``max_depth`` stays as JSON text.
     """
-    container = "^(OBJECT|ARRAY)"
     rows = df.select(
-        F.col(key), F.lit("").alias("path"), F.lit("").alias("leaf_key"), F.try_parse_json(F.col(column)).alias("value")
+        F.col(key), F.lit("").alias("path"), F.lit(None).cast("string").alias("leaf_key"), F.try_parse_json(F.col(column)).alias("value")
     ).where(F.col("value").isNotNull())
     for _ in range(max_depth):
-        opened = rows.select("*", F.schema_of_variant("value").rlike(container).alias("is_open"))
-        # A leaf is opened as null, which the outer form keeps as one row.
-        inner = F.when(F.col("is_open"), F.col("value")).alias("inner")
-        stepped = opened.withColumn("inner", inner).lateralJoin(
-            df.sparkSession.tvf.variant_explode_outer(F.col("inner").outer()).toDF("pos", "child_key", "child")
+        # The outer form gives one row without position for a leaf and for an empty container: both are kept as is.
+        stepped = rows.lateralJoin(
+            df.sparkSession.tvf.variant_explode_outer(F.col("value").outer()).toDF("pos", "child_key", "child")
         )
+        opened = F.col("pos").isNotNull()
         step = F.coalesce(sanitize_key(F.col("child_key")), F.col("pos").cast("string"))
-        rows = stepped.where(~F.col("is_open") | F.col("pos").isNotNull()).select(
+        deeper = F.when(F.col("path") == "", step).otherwise(F.concat("path", F.lit("_"), step))
+        rows = stepped.select(
             key,
-            F.when(F.col("is_open"), F.concat_ws("_", F.when(F.col("path") != "", F.col("path")), step))
-            .otherwise(F.col("path")).alias("path"),
-            F.when(F.col("is_open"), F.col("child_key")).otherwise(F.col("leaf_key")).alias("leaf_key"),
-            F.when(F.col("is_open"), F.col("child")).otherwise(F.col("value")).alias("value"),
+            F.when(opened, deeper).otherwise(F.col("path")).alias("path"),
+            F.when(opened, F.col("child_key")).otherwise(F.col("leaf_key")).alias("leaf_key"),
+            F.when(opened, F.col("child")).otherwise(F.col("value")).alias("value"),
         )
     text = F.to_json("value")
-    deeper = F.schema_of_variant("value").rlike(container)
-    shown = F.when(deeper, text).otherwise(F.col("value").try_cast("string"))
+    shown = F.when(F.left(text, F.lit(1)).isin("{", "["), text).otherwise(F.col("value").try_cast("string"))
     return rows.where(~text.isin("{}", "[]")).select(key, "path", "leaf_key", shown.alias("value"))
 
 

@@ -25,7 +25,7 @@ def new_records_of_small_batch(source: DataFrame, target: DataFrame, key: str) -
     then not shuffled; otherwise both sides are shuffled by key.
     """
     keys = distinct_keys(source, key)
-    if keys.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+    if keys.count() > BROADCAST_KEYS:
         return new_records(source, target, key)
     known = target.select(key).join(F.broadcast(keys), key, "left_semi").distinct()
     return source.where(F.col(key).isNotNull()).join(known, key, "left_anti")

@@ -63,14 +63,15 @@ def profile_columns(df: DataFrame, samples: int = 5) -> DataFrame:
         F.sum(F.col("n") - present).alias("null_count"),
         F.count("value").alias("unique_count"),
     )
-    first = F.row_number().over(W.partitionBy("column_name").orderBy("value"))
+    # Written so that both branches read the same shuffle: same columns, no filter that would move below it.
+    first = F.row_number().over(W.partitionBy("column_name").orderBy(F.col("value").asc_nulls_last()))
     sampled = (
-        counts.where(F.col("value").isNotNull())
-        .select("column_name", "value")
+        counts.where(F.col("n") > 0)
         .withColumn("_rank", first)
         .where(F.col("_rank") <= samples)
         .groupBy("column_name")
-        .agg(F.array_join(F.array_sort(F.collect_list("value")), " | ").alias("sample_values"))
+        .agg(F.array_sort(F.collect_list("value")).alias("_values"))
+        .select("column_name", F.when(F.size("_values") > 0, F.array_join("_values", " | ")).alias("sample_values"))
     )
     return (
         stats.join(sampled, "column_name", "left")
@@ -79,13 +80,13 @@ def profile_columns(df: DataFrame, samples: int = 5) -> DataFrame:
     )
 
 
-def profile_columns_approx(df: DataFrame, error: float = 0.02) -> DataFrame:
-    """Null and approximate distinct counts in one pass that shuffles one sketch per column and task."""
-    aggregates = []
-    for c in df.columns:
+def profile_columns_approx(df: DataFrame, log2_size: int = 12) -> DataFrame:
+    """Null and approximate distinct counts in one pass that shuffles one small sketch per column and task."""
+    aggregates = [F.count(F.lit(1)).alias("__rows")]
+    for c, kind in df.dtypes:
+        value = F.col(c) if kind in ("int", "bigint", "string", "binary") else F.col(c).cast("string")
         aggregates.append(F.count(c).alias(f"{c}__count"))
-        aggregates.append(F.approx_count_distinct(c, error).alias(f"{c}__distinct"))
-    one_row = df.agg(F.count(F.lit(1)).alias("__rows"), *aggregates)
+        aggregates.append(F.hll_sketch_estimate(F.hll_sketch_agg(value, F.lit(log2_size))).alias(f"{c}__distinct"))
     per_column = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -95,7 +96,7 @@ def profile_columns_approx(df: DataFrame, error: float = 0.02) -> DataFrame:
         )
         for c in df.columns
     ]
-    return one_row.select(F.inline(F.array(*per_column)))
+    return df.agg(*aggregates).select(F.inline(F.array(*per_column)))
 
 
 def structure_profile(df: DataFrame) -> DataFrame:

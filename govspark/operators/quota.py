@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,11 @@ def window_start(ts: Column, seconds: int) -> Column:
     return F.window(ts, f"{seconds} seconds")["start"]
 
 
-def quota_batch(requests: DataFrame, limit: int = MAX_REQUESTS, seconds: int = WINDOW_SECONDS) -> DataFrame:
+def quota_batch(
+    requests: DataFrame, limit: int = MAX_REQUESTS, seconds: int = WINDOW_SECONDS, keep: Sequence[str] = ()
+) -> DataFrame:
     """Every request with its number in the user's window, whether it is allowed and what remains after it."""
-    windowed = requests.select("event_id", "user_id", "ts", window_start(F.col("ts"), seconds).alias("window_start"))
+    windowed = requests.select("event_id", "user_id", "ts", *keep, window_start(F.col("ts"), seconds).alias("window_start"))
     numbered = positions(windowed, ["user_id", "window_start"], ["ts", "event_id"], "used")
     return numbered.withColumn("allowed", F.col("used") <= limit).withColumn(
         "remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from govspark.scratch import settle
+
 # Closeness to the best score for flagged hits, context and summary lengths, score bars, source counts.
 FLAG_MARGIN = 0.05
 CONTEXT_CHARS, ANSWER_CHARS, SUMMARY_CHARS = 4000, 8000, 2000
@@ -13,14 +15,13 @@ GATE_SCORE, MIN_SOURCE_SCORE = 0.6, 0.7
 MAX_WEB_SOURCES, SOURCE_CANDIDATES, WANTED_SOURCES = 4, 3, 2
 CHUNK_BONUS, MAX_BONUS = 0.1, 0.3
 
-#: Hits that may be broadcast; a hit is three numbers.
-BROADCAST_HITS = 1_000_000
-
+def with_payload(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the columns of their chunk.
 
-def with_payload(hits: DataFrame, chunks: DataFrame, at_most: int) -> DataFrame:
-    """Hits with the columns of their chunk. ``at_most`` bounds the number of hits (queries times k): up to a limit
-    they travel to the scan of the chunks, beyond it both sides are shuffled."""
-    return chunks.join(F.broadcast(hits) if at_most <= BROADCAST_HITS else hits, "vec_id")
+    The hits are settled first: the search runs once, and the size of the hits decides whether they travel to the scan
+    of the chunks or both sides are shuffled.
+    """
+    return chunks.join(settle(hits, "hits"), "vec_id")
 
 
 def best_per_query() -> W:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,23 +25,29 @@ def search_filter(equal: dict[str, str | None], tags: str | None = None, any_of:
     return p.all_of(*conditions)
 
 
+def matched_words(text: Column, words: list[str]) -> Column:
+    """How many of the words occur in the text. A plain substring test comes first; only where it holds are the word
+    borders looked at, so most texts are never cut into words."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    hits = [
+        F.contains(lowered, F.lit(w)) & lowered.rlike(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])") for w in words
+    ]
+    return reduce(Column.__add__, [h.cast("int") for h in hits])
+
+
 def keyword_search(
     posts: DataFrame, query: str, attributes: list[str], where: Column | None = None, k: int = 5, key: str = "doc_id"
 ) -> DataFrame:
     """Posts by the number of query words per attribute; earlier attributes weigh more."""
-    words = F.array(*[F.lit(w) for w in dict.fromkeys(query.lower().split())])
+    words = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+    if not words:
+        return posts.withColumn("match_score", F.lit(0)).where(F.lit(False))
     weights = range(len(attributes), 0, -1)
-    score = reduce(
-        Column.__add__,
-        [F.size(F.array_intersect(tokens(F.col(a)), words)) * F.lit(w) for a, w in zip(attributes, weights)],
-    )
+    score = reduce(Column.__add__, [matched_words(F.col(a), words) * F.lit(w) for a, w in zip(attributes, weights)])
     filtered = posts if where is None else posts.where(where)
-    return (
-        filtered.withColumn("match_score", score)
-        .where(F.col("match_score") > 0)
-        .orderBy(F.col("match_score").desc(), F.col(key).asc())
-        .limit(k)
-    )
+    scored = filtered.withColumn("match_score", score)
+    # Posts without a match sort last, so the cut comes first and the score is computed once.
+    return scored.orderBy(F.col("match_score").desc(), F.col(key).asc()).limit(k).where(F.col("match_score") > 0)
 
 
 def search_recent(posts: DataFrame, query: str, attributes: list[str], created: str, k: int = 5, key: str = "doc_id") -> DataFrame:

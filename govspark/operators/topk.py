@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from govspark.operators.joins import BROADCAST_KEYS
+
 
 def count_rows(rows: DataFrame) -> Column:
     """Row count as a scalar subquery; Spark reads only the filter columns for it."""
@@ -48,11 +50,21 @@ def topk_with_total_one_pass(
     )
 
 
-def lookup_for_few(few: DataFrame, many: DataFrame, key: str) -> DataFrame:
-    """Left join of a handful of rows (at most a k from the caller) to a large table that has ``key`` unique.
+#: Rows of a top-k report that are fetched to look up their keys by value.
+REPORT_ROWS = 1000
+
+
+def lookup_for_few(few: DataFrame, many: DataFrame, key: str, k: int) -> DataFrame:
+    """Left join of a report of at most ``k`` rows to a large table that has ``key`` unique.
 
-    The few keys are broadcast to the scan of the large table, so the large table is never shuffled.
+    A usual report is fetched, so that it is computed once and its keys become a filter which the scan of the large
+    table can skip row groups by. A longer one stays distributed: its keys are broadcast to that scan. Either way the
+    large table is not shuffled.
     """
+    if k <= REPORT_ROWS:
+        rows = few.collect()
+        few = few.sparkSession.createDataFrame(rows, few.schema)
+        keys = sorted({r[key] for r in rows} - {None})
+        return few.join(many.where(F.col(key).isin(keys)), key, "left")
     wanted = few.select(key).where(F.col(key).isNotNull()).distinct()
-    found = many.join(F.broadcast(wanted), key, "left_semi")
-    return few.join(F.broadcast(found), key, "left")
+    return few.join(many.join(F.broadcast(wanted) if k <= BROADCAST_KEYS else wanted, key, "left_semi"), key, "left")

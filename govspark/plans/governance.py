@@ -25,7 +25,7 @@ def newest_first() -> list[Column]:
 def _newest(matching: DataFrame, networks: DataFrame, k: int) -> DataFrame:
     columns = [c for c in KEY_COLUMNS if c != "network"]
     top = topk_with_total(matching.select(*columns, "proposer"), newest_first(), k, counted=matching)
-    return lookup_for_few(top, networks, "proposer").select(*KEY_COLUMNS, "total_count")
+    return lookup_for_few(top, networks, "proposer", k).select(*KEY_COLUMNS, "total_count")
 
 
 def listing(proposals: DataFrame, networks: DataFrame, *conditions: Column, k: int = 10) -> DataFrame:

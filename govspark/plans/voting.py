@@ -31,7 +31,7 @@ def ranked(votes: DataFrame, power: DataFrame, first: list[Column], columns: lis
     needed = list(dict.fromkeys([*wanted, *VOTE_KEY]))
     top = topk_with_total(votes.select(*needed), [*first, *tie_break()], k, counted=votes)
     if "self_voting_power" in columns:
-        top = lookup_for_few(top, power.withColumnRenamed("id", "parent_vote_id"), "parent_vote_id")
+        top = lookup_for_few(top, power.withColumnRenamed("id", "parent_vote_id"), "parent_vote_id", k)
     return top.select(*columns, "total_count")
 
 

@@ -20,8 +20,9 @@ def append_new(batch: DataFrame, batch_id: int, target: str, key: str) -> None:
     spark = batch.sparkSession
     schema = batch.schema.add(BATCH, T.LongType())
     known = spark.read.schema(schema).parquet(target).where(F.col(BATCH) != batch_id)
-    fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+    fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).persist()
     new_records_of_small_batch(fresh, known, key).write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+    fresh.unpersist()
 
 
 def incremental_load(

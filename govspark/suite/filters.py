@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from govspark.functions import predicates as p
 from govspark.functions import text as t
 from govspark.operators import joins, union
+from govspark.operators.spread import spread_scan
 from govspark.operators.topk import topk_with_total, topk_with_total_one_pass
 from govspark.plans import governance as g
 from govspark.plans import voting as v
@@ -128,7 +129,7 @@ WHERE length(line) BETWEEN 10 AND 5000 AND NOT regexp_matches(line, '^[0-9\-\s.,
   AND len(regexp_extract_all(line, '\S+')) >= 3 AND NOT starts_with(line, 'http')
   AND len(list_distinct(string_split(replace(line, ' ', ''), ''))) >= 5""")
 def meaningful_text(spark, sf):
-    exploded = table(spark, sf, "documents").select("doc_id", F.posexplode(t.lines(F.col("text"))).alias("line_no", "line"))
+    exploded = spread_scan(table(spark, sf, "documents")).select("doc_id", F.posexplode(t.lines(F.col("text"))).alias("line_no", "line"))
     return exploded.where(t.is_meaningful(F.col("line"))).withColumn("line", t.strip(F.col("line")))
 
 

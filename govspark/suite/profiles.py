@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from govspark.operators import profile as pr
 from govspark.operators import union
+from govspark.operators.spread import spread_scan
 from govspark.sources.tables import proposals, table
 from govspark.suite.registry import query
 
@@ -35,19 +36,19 @@ samples AS (SELECT column_name, string_agg(value, ' | ' ORDER BY value) AS sampl
 SELECT column_name, non_null_count, null_count, unique_count, sample_values, {TYPES} AS data_type, {ROLES} AS role
 FROM stats LEFT JOIN samples USING (column_name)""")
 def profile_columns(spark, sf):
-    return pr.profile_columns(table(spark, sf, "orders"))
+    return pr.profile_columns(spread_scan(table(spark, sf, "orders")))
 
 
 @query("profile_columns_approx")
 def profile_columns_approx(spark, sf):
-    return pr.profile_columns_approx(table(spark, sf, "orders"))
+    return pr.profile_columns_approx(spread_scan(table(spark, sf, "orders")))
 
 
 @query("column_roles", f"""
 WITH names AS (SELECT unnest(json_keys(to_json(orders))) AS column_name FROM orders)
 SELECT column_name, {ROLES} AS role, COUNT(*) AS records FROM names GROUP BY 1, 2""")
 def column_roles(spark, sf):
-    rows = table(spark, sf, "orders")
+    rows = spread_scan(table(spark, sf, "orders"))
     names = rows.select(F.explode(F.json_object_keys(F.to_json(F.struct("*")))).alias("column_name"))
     counted = names.groupBy("column_name").agg(F.count(F.lit(1)).alias("records"))
     return counted.withColumn("role", pr.role_column(F.col("column_name")))
@@ -58,7 +59,7 @@ WITH pairs AS ({PAIRS})
 SELECT column_name, {TYPES} AS data_type, COUNT(*) > COUNT(value) AS has_nulls,
        COUNT(*) = COUNT(value) AND COUNT(*) = COUNT(DISTINCT value) AS is_unique FROM pairs GROUP BY column_name""")
 def structure_profile(spark, sf):
-    return pr.structure_profile(table(spark, sf, "orders"))
+    return pr.structure_profile(spread_scan(table(spark, sf, "orders")))
 
 
 MERGED = """merged AS (

@@ -24,8 +24,7 @@ def hits_sql(centroids: str = CENTROIDS, k: int = 10, where: str = "TRUE", name:
   QUALIFY rank <= {k})"""
 
 
-#: Labels number at most this many in the test tables; with k they bound the hits.
-MAX_QUERIES, K = 1000, 10
+K = 10
 
 
 def vectors(spark, sf):
@@ -43,7 +42,7 @@ def hits(spark, sf, k=K, where=None):
 
 
 def labelled(spark, sf, found):
-    return retrieval.with_payload(found, vectors(spark, sf).select("vec_id", "label"), MAX_QUERIES * K)
+    return retrieval.with_payload(found, vectors(spark, sf).select("vec_id", "label"))
 
 
 PAYLOAD_SQL = """
@@ -58,7 +57,7 @@ def found(spark, sf):
         F.when(F.col("lang") == "en", F.concat(F.lit("https://example.org/"), "source")).otherwise("").alias("url"),
         F.col("lang").alias("source"),
     )
-    return retrieval.with_payload(hits(spark, sf), payload, MAX_QUERIES * K)
+    return retrieval.with_payload(hits(spark, sf), payload)
 
 
 @query("vector_topk", f"WITH {hits_sql(MEAN, 10)} SELECT query_id, vec_id, score, rank FROM hits")
@@ -196,6 +195,4 @@ SELECT COUNT(*) AS requests, COUNT(*) FILTER (WHERE allowed) AS successful, COUN
   CAST(ROUND(SUM(CAST(value AS DECIMAL(18,6))) FILTER (WHERE allowed) / COUNT(*) FILTER (WHERE allowed), 4) AS DOUBLE) AS average_time,
   min(event_id) FILTER (WHERE NOT allowed) AS first_limited FROM decided""")
 def quota_summary(spark, sf):
-    events = table(spark, sf, "events")
-    decided = quota.quota_batch(events, 2).select("event_id", "allowed").join(events.select("event_id", "value"), "event_id")
-    return quota.quota_summary(decided, "value")
+    return quota.quota_summary(quota.quota_batch(table(spark, sf, "events"), 2, keep=["value"]), "value")

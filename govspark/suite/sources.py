@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from govspark.functions import documents as d
 from govspark.functions import text as t
 from govspark.operators import chunk, flatten, vector
+from govspark.operators.spread import spread_scan
 from govspark.scratch import run_dir
 from govspark.sources import scans, sinks
 from govspark.sources.tables import proposals, table, votes
@@ -100,7 +101,7 @@ kept AS (SELECT source FROM cut WHERE length(trim(substr(text, i * step + 1, 300
 SELECT source AS collection, COUNT(*) AS chunks, COUNT(*) AS chunk_ids, 256 AS dim FROM kept GROUP BY source""")
 def vector_table_write(spark, sf):
     path = run_dir(spark, "vectors")
-    chunks = chunk.chunk_fixed(table(spark, sf, "documents")).withColumnRenamed("source", "collection")
+    chunks = chunk.chunk_fixed(spread_scan(table(spark, sf, "documents"))).withColumnRenamed("source", "collection")
     sinks.write_vectors(vector.hash_embeddings(chunks), path)
     return spark.read.parquet(path).groupBy("collection").agg(
         F.count(F.lit(1)).alias("chunks"), F.countDistinct("chunk_id").alias("chunk_ids"), F.max(F.size("embedding")).alias("dim"))
@@ -129,7 +130,7 @@ def headed(spark, sf):
         .when(lang == "fr", F.concat_ws("\n", url, title, F.lit("---"), "text"))
         .otherwise(F.col("text"))
     )
-    return table(spark, sf, "documents").select("doc_id", "source", text.alias("text"))
+    return spread_scan(table(spark, sf, "documents")).select("doc_id", "source", text.alias("text"))
 
 
 def _sql_value(line: str, mark: str) -> str:
@@ -173,7 +174,7 @@ SELECT doc_id, 'Title: ' || source || chr(10) || chr(10) || 'Description: ' || l
 def json_doc_to_content(spark, sf):
     topics = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct(F.concat_ws(" ", "lang", i.cast("string")).alias("title")))
     doc = F.struct(F.col("source").alias("title"), F.col("lang").alias("description"), F.col("text").alias("content"), topics.alias("topics"))
-    raw = table(spark, sf, "documents").select("doc_id", F.to_json(doc).alias("json"))
+    raw = spread_scan(table(spark, sf, "documents")).select("doc_id", F.to_json(doc).alias("json"))
     return raw.select("doc_id", d.json_document(F.col("json")).alias("d")).select("doc_id", "d.*")
 
 
@@ -240,7 +241,7 @@ def nested(spark, sf):
         F.from_json("props", "k bigint").alias("props"),
         extra.alias("tags"),
     )
-    return table(spark, sf, "events").select("event_id", F.to_json(record).alias("record"))
+    return spread_scan(table(spark, sf, "events")).select("event_id", F.to_json(record).alias("record"))
 
 
 @query("flatten_wide", """
@@ -274,5 +275,5 @@ WHERE length(b) BETWEEN 10 AND 5000 AND NOT regexp_matches(b, '^[0-9\-\s.,:;]+$'
 def json_text_leaves(spark, sf):
     record = F.struct(
         F.concat_ws(" ", "source", F.lit("in"), "lang", F.lit("text")).alias("title"), t.lines(F.col("text")).alias("lines"))
-    docs = table(spark, sf, "documents").select("doc_id", F.to_json(record).alias("record"))
+    docs = spread_scan(table(spark, sf, "documents")).select("doc_id", F.to_json(record).alias("record"))
     return flatten.text_leaves(docs, "doc_id", "record", max_depth=2).select("doc_id", "extract")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from govspark.functions import classify
 from govspark.operators import chunk, history, search
+from govspark.operators.spread import spread_scan
 from govspark.operators.vector import hash_embeddings
 from govspark.sources.tables import table
 from govspark.suite.registry import query
@@ -26,7 +27,7 @@ def sql_contains_any(text: str, values: list[str]) -> str:
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread_scan(table(spark, sf, "documents"))
 
 
 @query("chunk_recursive")
@@ -100,7 +101,7 @@ sectioned AS (SELECT source, doc_id, ['beginning', 'early_middle', 'late_middle'
 SELECT source, doc_id, section, CAST(row_number() OVER (PARTITION BY source, section ORDER BY md5(doc_id || ':seed'), doc_id) AS INTEGER) AS pick
 FROM sectioned QUALIFY pick <= 3""")
 def section_sample(spark, sf):
-    return chunk.section_sample(docs(spark, sf).select("source", "doc_id"), "source", "doc_id")
+    return chunk.section_sample(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
 
 
 @query("text_section_samples", f"""
@@ -119,7 +120,7 @@ def text_section_samples(spark, sf):
 @query("embed_chunks")
 def embed_chunks(spark, sf):
     embedded = hash_embeddings(chunk.chunk_fixed(docs(spark, sf)))
-    return embedded.select("doc_id", "chunk_index", F.array_join(F.col("embedding").cast("array<string>"), ",").alias("vector"))
+    return embedded.select("doc_id", "chunk_index", "embedding")
 
 
 @query("topic_terms", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from govspark.functions import amounts, coerce, keys, links
 from govspark.functions import text as t
 from govspark.operators import ordered, preview
+from govspark.operators.spread import spread_scan
 from govspark.sources.tables import proposals, table, votes
 from govspark.suite.filters import TYPED_SQL, typed
 from govspark.suite.governance import ASSET_SQL, with_assets
@@ -241,7 +242,7 @@ def strip_markup(spark, sf):
 
 @query("markdown_issues")
 def markdown_issues(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", F.inline(t.markdown_matches(F.col("text"))))
+    found = spread_scan(table(spark, sf, "documents")).select("doc_id", F.inline(t.markdown_matches(F.col("text"))))
     return found.withColumn("samples", F.array_join("samples", " | "))
 
 

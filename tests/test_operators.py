@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from govspark.functions import documents
 from govspark.operators import chunk, flatten, history, joins, ordered, quota, retrieval, vector
-from govspark.operators.topk import topk_with_total, topk_with_total_one_pass
+from govspark.operators.topk import lookup_for_few, topk_with_total, topk_with_total_one_pass
 from govspark.sources import scans, sinks
 
 
@@ -51,6 +51,14 @@ def test_both_top_k_forms_agree(spark):
     assert topk_with_total(nothing, order).collect() == topk_with_total_one_pass(nothing, order, ["id"]).collect() == []
 
 
+def test_report_lookup_forms_agree(spark, monkeypatch):
+    few = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (9, "d")], "k int, v string")
+    many = spark.range(5).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("w"))
+    expected = {(1, "a", 10), (2, "b", 20), (None, "c", None), (9, "d", None)}
+    for k in (10, 10_000, 10_000_000):
+        assert {tuple(r) for r in lookup_for_few(few, many, "k", k).select("k", "v", "w").collect()} == expected
+
+
 def test_new_records_forms_agree(spark, monkeypatch):
     source = spark.createDataFrame([(1,), (2,), (None,), (5,)], "k int")
     target = spark.createDataFrame([(2,), (3,), (None,)], "k int")
@@ -149,7 +157,7 @@ def test_pluggable_encoder(spark):
 def test_chunks_hold_all_text(spark):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdef", k=rng.randint(1, 9))) for _ in range(3000)]
-    text = "".join(w + rng.choice([" ", " ", " ", ". ", "\n", "\n\n"]) for w in words) + "y" * 900
+    text = "".join(w + rng.choice([" ", " ", " ", ". ", "\n", "\n\n"]) for w in words) + "".join(rng.choices("ghijklmn", k=900))
     size, overlap = 50, 10
     chunks = [c.strip() for c in chunk.split_text(text, size, overlap)]
     assert all(chunk.quarter_length(c) <= size for c in chunks)

@@ -27,12 +27,17 @@ def test_no_cross_join_and_no_stray_python(name, spark, sf_dir):
         assert not re.search(r"EvalPython|MapInPandas|MapInArrow|FlatMapGroups", text)
 
 
-@pytest.mark.parametrize("name", ["topk_with_total", "v_recent", "g_recent", "v_all_by_date"])
+@pytest.mark.parametrize("name", ["topk_with_total", "g_amounts", "g_text_search", "v_all_by_date"])
 def test_top_k_moves_no_full_table(name, spark, sf_dir):
     text = plan(QUERIES[name](spark, sf_dir))
     assert "TakeOrderedAndProject" in text and "Window" not in text
 
 
+def test_report_keys_reach_the_scan(spark, sf_dir):
+    text = plan(QUERIES["v_recent"](spark, sf_dir))
+    assert re.search(r"PushedFilters: \[.*In\(o_orderkey", text)
+
+
 def test_month_filter_reaches_the_scan(spark, sf_dir):
     text = plan(QUERIES["filter_month"](spark, sf_dir))
     assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(o_orderdate.*LessThan\(o_orderdate", text)
