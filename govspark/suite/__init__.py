@@ -1,6 +1,7 @@
 """All named queries. Importing this package fills the registry."""
 
 from govspark.suite import (
+    chains,
     filters,
     governance,
     profiles,
