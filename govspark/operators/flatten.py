@@ -53,7 +53,7 @@ def array_widths(df: DataFrame, limit: int) -> dict[str, int]:
 
 
 def _leaves(value: Column, kind: T.DataType, name: str, path: str, widths: dict[str, int], limit: int):
-    """(flat name, column) of every leaf below ``value``."""
+    """(flat name, column, type) of every leaf below ``value``."""
     if isinstance(kind, T.StructType):
         for f in kind.fields:
             yield from _leaves(value[f.name], f.dataType, f"{name}_{sanitize_name(f.name)}", f"{path}.{f.name}", widths, limit)
@@ -63,11 +63,17 @@ def _leaves(value: Column, kind: T.DataType, name: str, path: str, widths: dict[
             yield from _leaves(F.get(value, F.lit(i)), kind.elementType, f"{name}_{i}", f"{path}[]", widths, limit)
         if width == limit:
             beyond = F.slice(value, limit + 1, F.greatest(F.size(value) - limit, F.lit(0)))
-            yield f"{name}_rest", F.when(F.size(value) > limit, F.to_json(beyond))
+            yield f"{name}_rest", F.when(F.size(value) > limit, F.to_json(beyond)), T.StringType()
     elif isinstance(kind, (T.MapType, T.VariantType)):
-        yield name, F.to_json(value)
+        yield name, F.to_json(value), T.StringType()
     else:
-        yield name, value
+        yield name, value, kind
+
+
+def _later_first(found: list[tuple[Column, T.DataType]]) -> Column:
+    """The last of several leaves of one name that has a value; as text where their types differ."""
+    same = len({kind.simpleString() for _, kind in found}) == 1
+    return F.coalesce(*[leaf if same else leaf.cast("string") for leaf, _ in reversed(found)])
 
 
 def flatten_wide(df: DataFrame, max_array: int = 16, on_collision: str = "error") -> DataFrame:
@@ -78,14 +84,14 @@ def flatten_wide(df: DataFrame, max_array: int = 16, on_collision: str = "error"
     ``on_collision="last"`` asks for the later one.
     """
     widths = array_widths(df, max_array)
-    leaves: dict[str, list[Column]] = defaultdict(list)
+    leaves: dict[str, list[tuple[Column, T.DataType]]] = defaultdict(list)
     for f in df.schema.fields:
-        for name, leaf in _leaves(F.col(f"`{f.name}`"), f.dataType, sanitize_name(f.name), f.name, widths, max_array):
-            leaves[name].append(leaf)
+        for name, leaf, kind in _leaves(F.col(f"`{f.name}`"), f.dataType, sanitize_name(f.name), f.name, widths, max_array):
+            leaves[name].append((leaf, kind))
     twice = [n for n, found in leaves.items() if len(found) > 1]
     if twice and on_collision != "last":
         raise ValueError(f"keys collide after cleaning: {twice}")
-    return df.select(*[found[-1].alias(name) for name, found in leaves.items()])
+    return df.select(*[(_later_first(f) if len(f) > 1 else f[0][0]).alias(name) for name, f in leaves.items()])
 
 
 def flatten_long(df: DataFrame, key: str, column: str, max_depth: int = 8) -> DataFrame:

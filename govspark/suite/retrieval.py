@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from govspark.operators import quota, retrieval, vector
+from govspark.operators import buckets, quota, retrieval, vector
+from govspark.scratch import run_dir
 from govspark.sources.tables import table
 from govspark.suite.registry import query
 
@@ -75,6 +76,13 @@ def vector_topk_batch(spark, sf):
     return hits(spark, sf, 5)
 
 
+@query("vector_lsh")
+def vector_lsh(spark, sf):
+    path = run_dir(spark, "buckets")
+    buckets.write_bucketed(vectors(spark, sf), path)
+    return buckets.approx_topk(spark, path, mean_query(spark, sf), K)
+
+
 @query("rerank_flagged", f"""
 WITH {hits_sql()}, flagged AS (SELECT *, label <= 2 AS flag, max(score) OVER (PARTITION BY query_id) AS best FROM hits),
 near AS (SELECT *, bool_or(flag AND ROUND(best - score, 6) <= 0.05) OVER (PARTITION BY query_id) AS any_near FROM flagged)

@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from govspark.functions import documents
-from govspark.operators import chunk, flatten, history, joins, ordered, quota, retrieval, vector
+from govspark.operators import buckets, chunk, flatten, history, joins, ordered, quota, retrieval, vector
 from govspark.operators.topk import lookup_for_few, topk_with_total, topk_with_total_one_pass
+from govspark.plans import ingest
 from govspark.sources import scans, sinks
 
 
@@ -142,6 +143,46 @@ def test_vector_search_forms(spark):
     assert vector.topk(v, q.where("query_id < 0"), 7).count() == 0
 
 
+def test_bucketed_search_recall(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(20, 16))
+    points = np.concatenate([c + 0.2 * rng.normal(size=(40, 16)) for c in centers]).astype(np.float32)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id bigint, embedding array<float>")
+    q = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers[:3])], "query_id bigint, embedding array<double>")
+    path = str(tmp_path / "b")
+    buckets.write_bucketed(v, path)
+    exact = {(r["query_id"], r["vec_id"]) for r in vector.topk(v, q, 10).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in buckets.approx_topk(spark, path, q, 10, probes=8).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    every = {(r["query_id"], r["vec_id"]) for r in buckets.approx_topk(spark, path, q, 10, probes=64).collect()}
+    assert every == exact
+    one = buckets.approx_topk(spark, path, q.where("query_id = 0"), 700, probes=1)
+    assert one.count() == 700
+
+
+def test_ingest_from_files(spark, tmp_path):
+    envelopes = {
+        "polkadot_ReferendumV2_Root_20240101.json": [
+            {"index": 1, "createdAt": "2024-01-01T00:00:00", "onChainInfo": {"hash": "0xa", "beneficiaries": [{"amount": "10", "assetId": None}]}},
+            {"index": 2, "title": "t", "tags": [{"value": "v"}], "other": {}},
+        ],
+        "kusama_Bounty_20240101.json": [{"index": 3, "index ": 4, "onChainInfo": {"hash": "0xb"}}],
+        "polkadot_Tip_20240101.json": [],
+    }
+    for name, items in envelopes.items():
+        (tmp_path / name).write_text(json.dumps({"network": "n", "items": items}, indent=2))
+    items = ingest.raw_items(spark, str(tmp_path))
+    wide = ingest.wide_table(items)
+    rows, missing, extra = ingest.curated(wide, {"index": "integer", "createdat": "timestamp"})
+    got = {r["row_index"]: r for r in rows.collect()}
+    assert set(got) == {"polkadot_ReferendumV2_1_0xa", "polkadot_ReferendumV2_2_", "kusama_Bounty_4_0xb"}
+    first = got["polkadot_ReferendumV2_1_0xa"]
+    assert (first["source_row_id"], first["onchaininfo_beneficiaries_0_amount"], first["createdat"].year) == (1, "10", 2024)
+    assert "topic" in missing and extra == [] and rows.columns[:4] == ["source_file", "source_network", "source_proposal_type", "source_row_id"]
+    known = rows.where("index = 2").select("row_index")
+    assert {r["row_index"] for r in ingest.new_rows(rows, known).collect()} == set(got) - {"polkadot_ReferendumV2_2_"}
+
+
 def test_hash_embeddings(spark):
     df = spark.createDataFrame([(1, "one two two"), (2, "!!"), (3, "one two two")], "id int, content string")
     rows = {r["id"]: np.array(r["embedding"]) for r in vector.hash_embeddings(df, 32).collect()}

@@ -10,7 +10,7 @@ from govspark.suite import QUERIES
 
 PYTHON_QUERIES = {
     "chunk_recursive", "vector_topk", "vector_topk_filtered", "vector_topk_batch", "rerank_flagged", "retrieval_confidence",
-    "pick_collection", "merge_collections", "filter_min_score", "extract_sources", "pack_context", "context_gate",
+    "vector_lsh", "search_documents", "answer_inputs", "pick_collection", "merge_collections", "filter_min_score", "extract_sources", "pack_context", "context_gate",
 }
 RUNS_JOBS_FIRST = {"quota_stream", "quota_stateful", "incremental_load"}
 
