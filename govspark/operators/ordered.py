@@ -1,9 +1,10 @@
 """Running totals and positions inside groups of any size.
 
-A window over one group runs in one task, so a group with a third of all rows would stall the job. Here every group is
-cut along its order key into parts of about equal size (split points from one approximate-quantile aggregate). Each
-part is summed on its own, and the totals of the parts before it are added: a join on (group, part) that reuses the
-partitioning of the window.
+A window over one group runs in one task, so a group with a third of all rows would stall the job. Hot groups are looked
+for first, on a sample that only steers the plan: missing one would cost time, never change a result. Where there is none, a plain window does.
+Otherwise only the hot groups are cut along their order key into parts of about equal size (split points from one
+approximate-quantile aggregate over their rows). Each part is summed on its own, and the totals of the parts before it,
+a small table, are added.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from govspark.scratch import settle
+
 
 def default_parts(df: DataFrame) -> int:
     """One part per shuffle partition, so that even a single group fills the cluster."""
@@ -25,45 +28,93 @@ def split_points(df: DataFrame, key: Column, parts: int) -> list[float]:
     return sorted(set(row["cuts"] or [0.0]))
 
 
+#: Rows of one group that a plain window may get, and sampled rows by which a larger group is told.
+WINDOW_ROWS, SAMPLED_ROWS = 1_000_000, 10_000
+
+
+def _sampled(df: DataFrame, window_rows: int) -> tuple[DataFrame, float]:
+    share = min(1.0, SAMPLED_ROWS / max(window_rows, 1))
+    return (df.sample(share, seed=11) if share < 1 else df), share
+
+
+def hot_groups(df: DataFrame, keys: list[str], window_rows: int) -> DataFrame:
+    """Keys of the groups with about ``window_rows`` rows or more: at most as many as the rows divided by that."""
+    sample, share = _sampled(df.select(*keys), window_rows)
+    counted = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > window_rows * share)
+    return settle(counted.select(*keys, F.lit(True).alias("_hot")), "hot-groups")
+
+
+def _null_free(df: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
+    """Group keys without nulls, so that they can be joined on: per nullable column a filled one and a flag."""
+    added, names = {}, []
+    for i, name in enumerate(group):
+        field = df.schema[name]
+        filler = F.lit("1970-01-01" if field.dataType.typeName().startswith(("date", "timestamp")) else "0")
+        added[f"_g{i}"] = F.coalesce(F.col(name), filler.cast(field.dataType))
+        names.append(f"_g{i}")
+        if field.nullable:
+            added[f"_g{i}_null"] = F.col(name).isNull()
+            names.append(f"_g{i}_null")
+    return df.withColumns(added), names
+
+
 def running(
     df: DataFrame,
     group: list[str],
     order: list[str],
     measures: dict[str, Column],
     totals: bool = False,
+    window_rows: int = WINDOW_ROWS,
     parts: int | None = None,
 ) -> DataFrame:
     """Adds per measure its sum over the rows of the same group up to and including this row.
 
-    ``order`` must be unique inside a group; its first column is numeric or a timestamp, has no nulls and spreads the
-    rows. With ``totals`` also ``<name>_total``, the sum over the whole group.
+    ``group`` columns are numbers, texts, dates or timestamps. ``order`` must be unique inside a group; its first column
+    is numeric or a timestamp, has no nulls and spreads the rows. With ``totals`` also ``<name>_total``, the sum over
+    the whole group.
     """
-    parts = parts or default_parts(df)
+    names = list(measures)
+    measured, keys = _null_free(df.withColumns({f"_m_{n}": m for n, m in measures.items()}), group)
+    internal = [*keys, *[f"_m_{n}" for n in names]]
+
+    def inside(*by: str) -> dict[str, Column]:
+        whole = W.partitionBy(*by)
+        up_to = whole.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        sums = {n: F.sum(f"_m_{n}").over(up_to) for n in names}
+        return sums | ({f"{n}_total": F.sum(f"_m_{n}").over(whole) for n in names} if totals else {})
+
+    hot = hot_groups(measured, keys, window_rows)
+    if hot.isEmpty():
+        return measured.withColumns(inside(*keys)).drop(*internal)
+
     key = F.col(order[0])
     if dict(df.dtypes)[order[0]].startswith("timestamp"):
         key = F.unix_micros(key.cast("timestamp"))
-    cuts = split_points(df, key, parts)
+    flagged = measured.join(hot, keys, "left").withColumn("_key", key.cast("double"))
+    # Any split points are right; sampled ones are near enough to even.
+    rows, _ = _sampled(flagged.where("_hot").select("_key"), window_rows)
+    cuts = split_points(rows, F.col("_key"), parts or default_parts(df))
     bucketizer = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_part", handleInvalid="keep"
+        splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_cut", handleInvalid="keep"
     )
-    names = list(measures)
-    measured = df.withColumns({f"_m_{n}": m for n, m in measures.items()}).withColumn("_group", F.struct(*group))
-    cut = bucketizer.transform(measured.withColumn("_key", key.cast("double")))
+    cut = bucketizer.transform(flagged).withColumn("_part", F.when(F.col("_hot"), F.col("_cut")).otherwise(-1.0))
 
-    per_part = cut.groupBy("_group", "_part").agg(*[F.sum(f"_m_{n}").alias(f"_p_{n}") for n in names])
-    before = W.partitionBy("_group").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    added = {f"_b_{n}": F.coalesce(F.sum(f"_p_{n}").over(before), F.lit(0)) for n in names}
+    per_part = cut.where("_hot").groupBy(*keys, "_part").agg(*[F.sum(f"_m_{n}").alias(f"_p_{n}") for n in names])
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    added = {f"_b_{n}": F.sum(f"_p_{n}").over(before) for n in names}
     if totals:
-        added |= {f"{n}_total": F.sum(f"_p_{n}").over(W.partitionBy("_group")) for n in names}
+        added |= {f"_t_{n}": F.sum(f"_p_{n}").over(W.partitionBy(*keys)) for n in names}
     offsets = per_part.withColumns(added).drop(*[f"_p_{n}" for n in names])
 
-    inside = W.partitionBy("_group", "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = cut.withColumns({f"_r_{n}": F.sum(f"_m_{n}").over(inside) for n in names})
-    joined = local.join(offsets, ["_group", "_part"])
-    internal = ["_group", "_part", "_key", *[f"{p}{n}" for n in names for p in ("_m_", "_r_", "_b_")]]
-    return joined.withColumns({n: F.col(f"_r_{n}") + F.col(f"_b_{n}") for n in names}).drop(*internal)
+    joined = cut.withColumns(inside(*keys, "_part")).join(offsets, [*keys, "_part"], "left")
+    out = {n: F.col(n) + F.coalesce(f"_b_{n}", F.lit(0)) for n in names}
+    if totals:
+        out |= {f"{n}_total": F.coalesce(f"_t_{n}", f"{n}_total") for n in names}
+    return joined.withColumns(out).drop(*internal, "_hot", "_key", "_cut", "_part", *[f"{p}{n}" for n in names for p in ("_b_", "_t_")])
 
 
-def positions(df: DataFrame, group: list[str], order: list[str], name: str = "row_number", totals: bool = False) -> DataFrame:
+def positions(
+    df: DataFrame, group: list[str], order: list[str], name: str = "row_number", totals: bool = False, window_rows: int = WINDOW_ROWS
+) -> DataFrame:
     """1-based position of every row in its group; with ``totals`` also ``<name>_total``, the size of the group."""
-    return running(df, group, order, {name: F.lit(1).cast("bigint")}, totals)
+    return running(df, group, order, {name: F.lit(1).cast("bigint")}, totals, window_rows)

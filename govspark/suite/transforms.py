@@ -86,10 +86,11 @@ def source_tracking(spark, sf):
     for kind, name in FILES.items():
         file = file.when(F.col("event_type") == kind, F.lit(name))
     rows = table(spark, sf, "events").select("event_id", file.alias("source_file"))
-    tracked = rows.withColumn("source_network", links.file_network(F.col("source_file"))).withColumn(
+    # Numbered first: the derived texts need not move with the rows.
+    numbered = ordered.positions(rows, ["source_file"], ["event_id"], "source_row_id")
+    return numbered.withColumn("source_network", links.file_network(F.col("source_file"))).withColumn(
         "source_proposal_type", links.file_proposal_type(F.col("source_file"))
     )
-    return ordered.positions(tracked, ["source_file"], ["event_id"], "source_row_id")
 
 
 RAW_SQL = """

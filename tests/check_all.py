@@ -1,6 +1,6 @@
 """Command line: check some or all queries against their SQL twins.
 
-python tests/check_all.py [name-prefix ...]   (SF_DIR selects the tables)
+python tests/check_all.py [name-prefix ...]   (SF_DIR selects the tables, SESSION_TZ another session time zone)
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ def main() -> None:
     wanted = [n for n in QUERIES if not sys.argv[1:] or any(n.startswith(a) for a in sys.argv[1:])]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("OFF")
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("SESSION_TZ", "UTC"))
     con = connect(sf_dir)
     bad = 0
     for name in wanted:

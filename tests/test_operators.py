@@ -11,35 +11,37 @@ import pytest
 from pyspark.sql import functions as F
 
 from govspark.functions import documents
-from govspark.operators import buckets, chunk, flatten, history, joins, ordered, quota, retrieval, vector
+from govspark.operators import buckets, chunk, flatten, history, joins, ordered, profile, quota, retrieval, vector
 from govspark.operators.topk import lookup_for_few, topk_with_total, topk_with_total_one_pass
 from govspark.plans import ingest
 from govspark.sources import scans, sinks
 
 
-def test_running_over_hot_and_null_groups(spark):
+@pytest.mark.parametrize("window_rows", [0, 10**6])
+def test_running_over_hot_and_null_groups(spark, window_rows):
     rng = random.Random(1)
-    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.randint(0, 9)) for i in rng.sample(range(10_000), 2_000)]
-    df = spark.createDataFrame(rows, "g string, o int, v int")
-    got = ordered.running(df, ["g"], ["o"], {"s": F.col("v")}, totals=True, parts=16)
+    day = dt.datetime(2024, 1, 1)
+    rows = [
+        (rng.choice(["hot", "hot", "hot", "0", None]), rng.choice([day, None]), i, rng.randint(0, 9))
+        for i in rng.sample(range(10_000), 2_000)
+    ]
+    df = spark.createDataFrame(rows, "g string, d timestamp_ntz, o int, v int")
+    got = ordered.running(df, ["g", "d"], ["o"], {"s": F.col("v")}, totals=True, window_rows=window_rows, parts=16).collect()
     sums: dict = {}
     expected = set()
-    for g, o, v in sorted(rows, key=lambda r: r[1]):
-        sums[g] = sums.get(g, 0) + v
-        expected.add((g, o, v, sums[g]))
-    assert {(r["g"], r["o"], r["v"], r["s"]) for r in got.collect()} == expected
-    assert {(r["g"], r["s_total"]) for r in got.collect()} == set(sums.items())
+    for g, d, o, v in sorted(rows, key=lambda r: r[2]):
+        sums[g, d] = sums.get((g, d), 0) + v
+        expected.add((g, d, o, v, sums[g, d]))
+    assert {(r["g"], r["d"], r["o"], r["v"], r["s"]) for r in got} == expected and len(got) == len(rows)
+    assert {((r["g"], r["d"]), r["s_total"]) for r in got} == set(sums.items())
 
 
-def test_running_on_one_order_value(spark):
-    df = spark.createDataFrame([("g", 5, i) for i in range(20)], "g string, o int, t int")
-    got = ordered.positions(df, ["g"], ["o", "t"], parts_test := "n")
-    assert sorted(r[parts_test] for r in got.collect()) == list(range(1, 21))
-
-
-def test_running_on_no_rows(spark):
-    df = spark.createDataFrame([], "g string, o int")
-    assert ordered.positions(df, ["g"], ["o"]).count() == 0
+@pytest.mark.parametrize("window_rows", [0, 10**6])
+def test_positions_at_the_edges(spark, window_rows):
+    same = spark.createDataFrame([("g", 5, i) for i in range(20)], "g string, o int, t int")
+    got = ordered.positions(same, ["g"], ["o", "t"], "n", window_rows=window_rows)
+    assert sorted(r["n"] for r in got.collect()) == list(range(1, 21))
+    assert ordered.positions(same.where("o < 0"), ["g"], ["o", "t"], window_rows=window_rows).count() == 0
 
 
 def test_both_top_k_forms_agree(spark):
@@ -364,3 +366,26 @@ def test_append_is_verified(spark, tmp_path):
     path = str(tmp_path / "t")
     assert sinks.load_table(spark.range(5), path).first()["complete"]
     assert tuple(sinks.load_table(spark.range(3), path, "append").select("rows_after", "complete").first()) == (8, True)
+
+
+def test_profile_forms_agree(spark):
+    df = spark.range(500).select(
+        F.col("id"), F.when(F.col("id") < 100, F.col("id").cast("string")).alias("some"), F.lit(1.5).alias("one"), F.lit(None).cast("string").alias("none")
+    )
+    exact = {r["column_name"]: r for r in profile.profile_columns(df).collect()}
+    approx = {r["column_name"]: r for r in profile.profile_columns_approx(df).collect()}
+    for name, distinct in {"id": 500, "some": 100, "one": 1, "none": 0}.items():
+        assert exact[name]["unique_count"] == distinct and abs(approx[name]["unique_count"] - distinct) <= 0.05 * distinct
+        assert exact[name]["null_count"] == approx[name]["null_count"]
+    assert exact["none"]["sample_values"] is None and exact["some"]["sample_values"] == "0 | 1 | 10 | 11 | 12"
+    flags = {r["column_name"]: (r["has_nulls"], r["is_unique"]) for r in profile.structure_profile(df).collect()}
+    assert flags == {"id": (False, True), "some": (True, False), "one": (False, False), "none": (True, False)}
+
+
+def test_file_inventory(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).coalesce(1).write.parquet(path)
+    spark.range(5).coalesce(1).write.mode("append").parquet(path)
+    rows = profile.file_inventory(spark.read.parquet(path)).collect()
+    assert sorted((r["row_count"], r["column_count"]) for r in rows) == [(5, 1), (10, 1)]
+    assert all(r["bytes"] > 0 for r in rows)
