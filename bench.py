@@ -1,6 +1,6 @@
 """Wall time of the headline queries: one JSON line on standard output.
 
-BENCH_SF_DIR (tables, default sf0.1), BENCH_CPUS (local cores, default 8), BENCH_RUNS (warm runs, default 3),
+BENCH_SF_DIR (tables, default sf0.1), BENCH_CPUS (local cores, default 8), BENCH_RUNS (warm runs, default 2),
 BENCH_QUERIES (comma-separated names; "all" for every query).
 """
 
@@ -30,7 +30,7 @@ history_transcript memory_recall quota_batch quota_windows
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if wanted == "all" else wanted.split(",") if wanted else HEADLINE
     spark = local_session(cores)
