@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from govspark.functions.text import let, strip, truncated
+from govspark.operators.joins import salted_join
 from govspark.operators.search import tokens
 
 # Messages of history, their cut, topics, recalled memories.
@@ -48,7 +49,8 @@ def memory_recall(messages: DataFrame, k: int = MEMORIES) -> DataFrame:
         F.max_by(F.struct("turn", "text"), "turn").alias("asked")
     )
     words = tokens(F.col("asked.text"))
-    earlier = messages.where(strip(F.col("text")) != "").join(asked, "conv_id").where(F.col("turn") < F.col("asked.turn"))
+    spoken = messages.where(strip(F.col("text")) != "").select("conv_id", "turn", "text")
+    earlier = salted_join(spoken, asked, "conv_id").where(F.col("turn") < F.col("asked.turn"))
     scored = earlier.select("conv_id", "turn", "text", F.size(F.array_intersect(tokens(F.col("text")), words)).alias("overlap"))
     best = W.partitionBy("conv_id").orderBy(F.col("overlap").desc(), F.col("turn").desc())
     top = scored.where(F.col("overlap") > 0).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

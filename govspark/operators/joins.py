@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from govspark.operators.ordered import WINDOW_ROWS, hot_groups
+
 #: Largest number of keys that is broadcast; with keys of up to ~100 bytes this stays below 100 MB.
 BROADCAST_KEYS = 1_000_000
 
@@ -39,3 +41,20 @@ def keep_keys(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def except_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Distinct keys of ``left`` that ``right`` lacks."""
     return distinct_keys(left, key).join(right.select(key), key, "left_anti")
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, group_rows: int = WINDOW_ROWS, salts: int = 64) -> DataFrame:
+    """Inner join of rows to a table that has ``key`` unique, for results that are grouped by the same key next.
+
+    There AQE does not split a hot key, since that would undo the partitioning the grouping relies on. Hot keys, found on
+    a sample, are split by salt, and only their rows of ``one`` are repeated per salt.
+    """
+    hot = hot_groups(many.where(F.col(key).isNotNull()), [key], group_rows)
+    if hot.isEmpty():
+        return many.join(one, key)
+    others = [c for c in many.columns if c != key]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*others), F.lit(salts))).otherwise(0).cast("int")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = one.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")

@@ -62,6 +62,16 @@ def test_report_lookup_forms_agree(spark, monkeypatch):
         assert {tuple(r) for r in lookup_for_few(few, many, "k", k).select("k", "v", "w").collect()} == expected
 
 
+@pytest.mark.parametrize("group_rows", [10, 10**6])
+def test_salted_join(spark, group_rows):
+    rows = [("hot", i) for i in range(300)] + [("a", 1), ("b", 2), (None, 3), ("lost", 4)]
+    many = spark.createDataFrame(rows, "k string, v int")
+    one = spark.createDataFrame([("hot", "H"), ("a", "A"), ("b", "B"), (None, "N")], "k string, w string")
+    names = {"hot": "H", "a": "A", "b": "B"}
+    got = joins.salted_join(many, one, "k", group_rows).collect()
+    assert sorted((r["k"], r["v"], r["w"]) for r in got) == sorted((k, v, names[k]) for k, v in rows if k in names)
+
+
 def test_new_records_forms_agree(spark, monkeypatch):
     source = spark.createDataFrame([(1,), (2,), (None,), (5,)], "k int")
     target = spark.createDataFrame([(2,), (3,), (None,)], "k int")
