@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import bpe
+from govspark.llm import bpe, substring_dedup
 from govspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,8 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 @register
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@register
+def op2_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut(table(spark, sf_dir, "documents")).drop("kept")
