@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import bpe, substring_dedup
+from govspark.llm import bpe, jaccard_join, substring_dedup
 from govspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.cut(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@register
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
