@@ -99,7 +99,7 @@ def _hash_block(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
-                grams, first = gram_sets(part.column("text"), width)
+                grams, first = gram_sets(part.column("body"), width)
                 n = np.diff(first)
                 doc = part.column("doc").to_numpy()
                 a, b = _segment_sums(mix(grams), first), _segment_sums(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), first)
@@ -125,7 +125,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
-                grams, first = gram_sets(part.column("text"), width)
+                grams, first = gram_sets(part.column("body"), width)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(np.diff(first).astype(np.int32)), lists], names=["doc", "n", "grams"])
 
@@ -151,7 +151,7 @@ def similarity_components(
     plain = plain_docs(docs, key, text)
     block = _hash_block(plain, width, percent).repartition("gram")
     several = block.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("gram")
-    hits = block.join(several, "gram", "left_semi").groupBy("doc", "n").agg(F.count("*").alias("hits"))
+    hits = block.join(several, "gram").groupBy("doc", "n").agg(F.count("*").alias("hits"))
     hits = hits.filter(F.col("hits") >= _slack(need(F.col("n"), percent))).select("doc", "n", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
     found = settle(hits.unionByName(block.filter("a IS NOT NULL").select("doc", "n", "a", "b")), "blocks")
     profiles = found.filter("a IS NOT NULL").distinct()

@@ -13,8 +13,8 @@ is a property of the window's words, so all occurrences of a window stay or go t
 Exact copies are set apart first: all windows of a copy start in the first document of its class.
 
 Defined results: a null or blank text has no words and nothing is removed; repeats inside one document are kept. A key
-stands for one text: repeated rows of a key come out as often as they go in, with equal results. Other columns are not
-read. Windows are compared by 64-bit hashes.
+stands for one text: repeated rows of a key come out as often as they go in, with equal results; a row without a key
+loses nothing and takes nothing. Other columns are not read. Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from govspark.llm.tables import broadcast_ids, plain_docs
+from govspark.llm.tables import broadcast_ids, not_null, plain_docs, required
 from govspark.llm.words import Words, parts, split_words, window_hashes
 from govspark.scratch import settle
 
 WIDTH = 13
 SEED = 6
+MIN_LONG = -(2**63)
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -58,7 +59,7 @@ def _window_minima(hashes: np.ndarray, first: np.ndarray, width: int, seed: int)
 
 def _exact_copies(docs: DataFrame) -> DataFrame:
     """Documents whose text also belongs to a smaller key."""
-    digest = docs.select("doc", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"), F.octet_length("text").alias("n"))
+    digest = docs.select("doc", F.xxhash64("body").alias("a"), F.xxhash64(F.lit(1), F.col("body")).alias("b"), F.octet_length("body").alias("n"))
     digest = digest.filter("n > 0")
     first = digest.groupBy("a", "b", "n").agg(F.min("doc").alias("first"), F.count("*").alias("m")).filter("m > 1")
     return digest.join(first, ["a", "b", "n"]).filter("doc > first").select("doc")
@@ -68,14 +69,14 @@ def _seed_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
-                words = split_words(part.column("text"))
+                words = split_words(part.column("body"))
                 low, starts = _window_minima(words.hashes(), words.first, width, seed)
                 owner = words.document()[starts]
                 new = np.ones(len(low), bool)
                 new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-                yield pa.RecordBatch.from_arrays([_signed(low[new]), pa.array(part.column("doc").to_numpy()[owner[new]])], names=["low", "doc"])
+                yield required(low=_signed(low[new]), doc=part.column("doc").to_numpy()[owner[new]])
 
-    return docs.mapInArrow(run, "low long, doc long")
+    return docs.mapInArrow(run, not_null(low="long", doc="long"))
 
 
 def _node_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -84,7 +85,7 @@ def _node_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
-                words = split_words(part.column("text"))
+                words = split_words(part.column("body"))
                 hashes = words.hashes()
                 low, starts = _window_minima(hashes, words.first, width, seed)
                 shared = np.unique(part.column("lows").flatten().to_numpy())
@@ -100,34 +101,33 @@ def _node_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 previous = np.where(before[node_at], short[node_at - 1], 0).astype(np.uint64)
                 following = np.where(after[node_at], short[np.minimum(node_at + width - 1, len(short) - 1)], 0).astype(np.uint64) if len(node_at) else previous
                 owner = words.document()[node_at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _signed(nodes),
-                        _signed((previous << np.uint64(32)) | following),
-                        pa.array(part.column("doc").to_numpy()[owner]),
-                        pa.array((node_at - words.first[owner]).astype(np.int32)),
-                    ],
-                    names=["node", "around", "doc", "pos"],
+                yield required(
+                    node=_signed(nodes),
+                    around=_signed((previous << np.uint64(32)) | following),
+                    doc=part.column("doc").to_numpy()[owner],
+                    pos=(node_at - words.first[owner]).astype(np.int32),
                 )
 
-    return docs.mapInArrow(run, "node long, around long, doc long, pos int")
+    return docs.mapInArrow(run, not_null(node="long", around="long", doc="long", pos="int"))
 
 
 def _repeated_paths(docs: DataFrame, originals: DataFrame, width: int, seed: int) -> DataFrame:
     """(doc, start, stop, first_doc): words of paths that also occur in a smaller document; originals: no exact copies."""
-    # one shuffle serves the counts and the join with them
+    # one shuffle serves the counts and the join with them; columns that cannot be null keep it free of differing filters
     lows = _seed_rows(originals, width, seed).repartition("low")
     several = lows.groupBy("low").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("low")
-    may_repeat = lows.join(several, "low", "left_semi").groupBy("doc").agg(F.collect_set("low").alias("lows"))
+    may_repeat = lows.join(several, "low").groupBy("doc").agg(F.collect_set("low").alias("lows"))
     nodes = _node_rows(docs.join(may_repeat, "doc"), width, seed).repartition("node")
     mask = F.lit(0xFFFFFFFF)
     straight = (
         nodes.groupBy("node")
-        .agg(F.min("around").alias("a"), F.max("around").alias("b"))
-        .filter((F.col("a") == F.col("b")) & (F.shiftrightunsigned("a", 32) != 0) & (F.col("a").bitwiseAND(mask) != 0))
-        .select("node")
+        .agg(F.min("around").alias("a"), F.max("around").alias("b"), F.min("pos").alias("p"), F.max("doc").alias("d"))
+        # p and d say nothing, but keep both readers of ``nodes`` at the same columns, so that they share one shuffle
+        .filter((F.col("p") >= 0) & (F.col("d") >= MIN_LONG) & (F.col("a") == F.col("b")) & (F.shiftrightunsigned("a", 32) != 0) & (F.col("a").bitwiseAND(mask) != 0))
+        .select("node", F.lit(True).alias("straight"))
     )
-    ends = nodes.join(straight, "node", "left_anti").withColumn("following", F.col("around").bitwiseAND(mask))
+    # plain joins: a semi or anti join would be pushed below the shuffle that is to be shared
+    ends = nodes.join(straight, "node", "left").filter("straight IS NULL").withColumn("following", F.col("around").bitwiseAND(mask))
     paths = ends.withColumn("end", F.lead("pos").over(Window.partitionBy("doc").orderBy("pos"))).filter("following != 0 AND end > pos")
     paths = paths.select("doc", "node", "following", "pos", "end")
     firsts = paths.groupBy("node", "following").agg(F.min("doc").alias("first_doc"), F.count("*").alias("m")).filter("m > 1")
@@ -140,7 +140,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
     Exact copies are left out here; ``cut`` treats them as wholly repeated.
     """
-    plain = plain_docs(docs, key, text)
+    plain = plain_docs(docs, key, text).filter("doc IS NOT NULL")
     copies = settle(_exact_copies(plain), "copies")
     originals = plain.join(broadcast_ids(copies), "doc", "left_anti")
     return _repeated_paths(plain, originals, width, seed).withColumnRenamed("doc", key)
@@ -166,7 +166,8 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
     ``kept`` is the text without the bytes of removed words and of the white space that follows them; null if nothing
     is removed.
     """
-    plain = plain_docs(docs, key, text)
+    keyless = plain_docs(docs, key, text).filter("doc IS NULL")
+    plain = plain_docs(docs, key, text).filter("doc IS NOT NULL")
     copies = settle(_exact_copies(plain), "copies")
     originals = plain.join(broadcast_ids(copies), "doc", "left_anti")
     spans = _repeated_paths(plain, originals, width, seed)
@@ -174,13 +175,14 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = W
     none = F.array().cast("array<struct<start:int,stop:int>>")
     changes = by_doc.unionByName(copies.select("doc", none.alias("spans"), F.lit(True).alias("copy")))
     joined = plain.join(changes, "doc", "left").select(
-        "doc", "text", F.coalesce("spans", none).alias("spans"), F.coalesce("copy", F.lit(False)).alias("copy")
+        "doc", "body", F.coalesce("spans", none).alias("spans"), F.coalesce("copy", F.lit(False)).alias("copy")
     )
+    joined = joined.unionByName(keyless.select("doc", "body", none.alias("spans"), F.lit(False).alias("copy")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
-                words = split_words(part.column("text"))
+                words = split_words(part.column("body"))
                 copy = part.column("copy").to_numpy(zero_copy_only=False)
                 gone = _removed(words, part.column("spans"), copy, width)
                 total = np.concatenate([[0], np.cumsum(gone)])

@@ -100,7 +100,7 @@ def split_words(texts: pa.Array, lower: bool = False, separator: np.ndarray = SP
     return Words(data, starts, np.flatnonzero(finishes) + 1, np.searchsorted(starts, offsets))
 
 
-def parts(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str = "body") -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about PART_BYTES of text, whole rows each."""
     sizes = batch.column(column).cast(pa.large_string()).fill_null("")
     ends = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
