@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import bpe, jaccard_join, substring_dedup
+from govspark.llm import bpe, decontamination, jaccard_join, substring_dedup
 from govspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,35 @@ def op2_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS_10 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLES["op10_benchmark_decontamination"] = f"""
+WITH item AS (SELECT item_id, {_WORDS_10} AS w FROM benchmark),
+phrase AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + least(len(w), 10) - 1) AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+),
+length AS (SELECT DISTINCT len(p) AS k FROM phrase),
+doc AS (SELECT doc_id, {_WORDS_10} AS w FROM documents),
+place AS (
+  SELECT doc_id, i, k, list_slice(w, i, i + k - 1) AS p
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, length WHERE len(w) >= k)
+),
+match AS (SELECT DISTINCT doc_id, i, k, item_id FROM place JOIN phrase USING (p)),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT doc_id, i, unnest(range(k)) AS j FROM match) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id FROM match) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
