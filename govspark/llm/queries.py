@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import bpe, decontamination, jaccard_join, substring_dedup
+from govspark.llm import (
+    bpe,
+    decontamination,
+    jaccard_join,
+    quality,
+    sharding,
+    substring_dedup,
+    url_templates,
+)
 from govspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +28,11 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+@register
+def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -27,7 +40,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op2_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.cut(table(spark, sf_dir, "documents")).drop("kept")
+    return substring_dedup.cut(table(spark, sf_dir, "documents"), texts=False)
 
 
 @register
@@ -65,3 +78,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+@register
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op4_url_templates"] = url_templates.ORACLE
+
+
+@register
+def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs)

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from govspark.llm.tables import broadcast_ids, not_null, plain_docs, required
 from govspark.llm.words import Words, parts, split_words, window_hashes
@@ -160,46 +161,55 @@ def _removed(words: Words, spans: pa.Array, copies: np.ndarray, width: int) -> n
     return gone
 
 
-def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """Per document: key, n_words, n_removed, kept_sha256 (kept words joined by one space) and ``kept``.
+def cut(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED, carry: tuple[str, ...] = (), texts: bool = True
+) -> DataFrame:
+    """Per document: key, n_words, n_removed, kept_sha256 (kept words joined by one space), ``kept`` if ``texts``, and
+    the columns to ``carry``.
 
-    ``kept`` is the text without the bytes of removed words and of the white space that follows them; null if nothing
-    is removed.
+    ``kept`` is the text without the bytes of removed words and of the white space that follows them; a text from which
+    nothing is removed stays as it is, null too.
     """
-    keyless = plain_docs(docs, key, text).filter("doc IS NULL")
-    plain = plain_docs(docs, key, text).filter("doc IS NOT NULL")
+    rest = [F.struct(*(docs[c] for c in carry)).alias("rest")] if carry else []
+    both = docs.select(docs[key].cast("long").alias("doc"), docs[text].cast("string").alias("body"), *rest)
+    plain = both.filter("doc IS NOT NULL")
     copies = settle(_exact_copies(plain), "copies")
-    originals = plain.join(broadcast_ids(copies), "doc", "left_anti")
+    originals = plain.select("doc", "body").join(broadcast_ids(copies), "doc", "left_anti")
     spans = _repeated_paths(plain, originals, width, seed)
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"), F.lit(False).alias("copy"))
     none = F.array().cast("array<struct<start:int,stop:int>>")
     changes = by_doc.unionByName(copies.select("doc", none.alias("spans"), F.lit(True).alias("copy")))
-    joined = plain.join(changes, "doc", "left").select(
-        "doc", "body", F.coalesce("spans", none).alias("spans"), F.coalesce("copy", F.lit(False)).alias("copy")
-    )
-    joined = joined.unionByName(keyless.select("doc", "body", none.alias("spans"), F.lit(False).alias("copy")))
+    changed = [F.coalesce("spans", none).alias("spans"), F.coalesce("copy", F.lit(False)).alias("copy")]
+    joined = plain.join(changes, "doc", "left").select(*plain.columns, *changed)
+    joined = joined.unionByName(both.filter("doc IS NULL").select("*", none.alias("spans"), F.lit(False).alias("copy")))
+    schema = T.StructType([
+        T.StructField("doc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),
+        *([T.StructField("kept", T.StringType())] if texts else []), *([both.schema["rest"]] if carry else []),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
                 words = split_words(part.column("body"))
-                copy = part.column("copy").to_numpy(zero_copy_only=False)
-                gone = _removed(words, part.column("spans"), copy, width)
+                gone = _removed(words, part.column("spans"), part.column("copy").to_numpy(zero_copy_only=False), width)
                 total = np.concatenate([[0], np.cumsum(gone)])
                 removed = total[words.first[1:]] - total[words.first[:-1]]
-                digests, texts = [], []
                 data = memoryview(words.data.tobytes())
+                digests, kept = [], []
+                whole = part.column("body").to_pylist() if texts else None
                 for d in range(part.num_rows):
                     a, b = words.first[d], words.first[d + 1]
                     stay = np.flatnonzero(~gone[a:b]) + a if removed[d] else np.arange(a, b)
-                    digests.append(hashlib.sha256(b" ".join([data[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist())])).hexdigest())
-                    texts.append(_without(data, words, gone, a, b) if removed[d] else None)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(np.diff(words.first)), pa.array(removed), pa.array(digests), pa.array(texts, pa.string())],
-                    names=["doc", "n_words", "n_removed", "kept_sha256", "kept"],
-                )
-
-    return joined.mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string, kept string").withColumnRenamed("doc", key)
+                    words_left = [data[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist())]
+                    digests.append(hashlib.sha256(b" ".join(words_left)).hexdigest())
+                    if texts:
+                        kept.append(_without(data, words, gone, a, b) if removed[d] else whole[d])
+                columns = [part.column("doc"), pa.array(np.diff(words.first)), pa.array(removed), pa.array(digests)]
+                columns += ([pa.array(kept, pa.string())] if texts else []) + ([part.column("rest")] if carry else [])
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    out = joined.mapInArrow(run, schema)
+    return out.select(F.col("doc").alias(key), *schema.names[1:5 if texts else 4], *(F.col(f"rest.{c}") for c in carry))
 
 
 def _without(data: memoryview, words: Words, gone: np.ndarray, a: int, b: int) -> str:

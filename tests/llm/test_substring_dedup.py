@@ -31,7 +31,7 @@ def brute(rows, width=13):
 
 def result(spark, rows, **kw):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted((tuple(r) for r in cut(df, **kw).drop("kept").collect()), key=str)
+    return sorted((tuple(r) for r in cut(df, texts=False, **kw).collect()), key=str)
 
 
 def corpus(seed):
@@ -67,5 +67,5 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, text, 1, "a"), (2, "new words " + text, 2, "b")], "doc_id long, text string, doc int, spans string")
     spans = [tuple(r) for r in repeated_spans(df).collect()]
     assert spans == [(2, 2, 32, 1)]
-    kept = {r.doc_id: r.kept for r in cut(df).collect()}
-    assert kept == {1: None, 2: "new words"}
+    out = cut(df, carry=("doc", "spans"))
+    assert {r.doc_id: (r.kept, r.doc, r.spans) for r in out.collect()} == {1: (text, 1, "a"), 2: ("new words", 2, "b")}
