@@ -12,6 +12,7 @@ from govspark.llm import (
     bpe,
     decontamination,
     jaccard_join,
+    license_scan,
     quality,
     sharding,
     substring_dedup,
@@ -92,3 +93,13 @@ ORACLES["op4_url_templates"] = url_templates.ORACLE
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs)
+
+
+@register
+def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
+    joined = [F.array_join(c, ",").alias(c) for c in ("text_licenses", "line_licenses")]
+    return found.select("doc_id", "digest", *joined)
+
+
+ORACLES["op6_license_digests"] = license_scan.oracle()
