@@ -10,6 +10,9 @@ Most windows occur once, and the graph is built only of those that may repeat: t
 hash among their ``seed``-word parts, so a window is left out when that smallest hash occurs in one document only. This
 is a property of the window's words, so all occurrences of a window stay or go together.
 
+A word, or a few, repeated over and over in one document would make one node occur any number of times there; such a run
+is folded into a few rows that say how far it goes.
+
 Exact copies are set apart first: all windows of a copy start in the first document of its class.
 
 Defined results: a null or blank text has no words and nothing is removed; repeats inside one document are kept. A key
@@ -80,6 +83,29 @@ def _seed_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, not_null(low="long", doc="long"))
 
 
+def _fold_periods(nodes: np.ndarray, at: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that stay, ``last`` of each): what repeats with a short period inside one document becomes a few rows.
+
+    Of a run with period q the first and the last period stay. One period in between stands for all others: its rows say
+    where their last repetition is (``last``). The period after it only marks where paths end (``last`` is -1).
+    """
+    last, stay = at.copy(), np.ones(len(at), bool)
+    free = np.ones(len(at), bool)
+    for q in range(1, longest + 1):
+        same = (nodes[q:] == nodes[:-q]) & (at[q:] - at[:-q] == q) & free[q:] & free[:-q]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+        for a, b in edges.reshape(-1, 2).tolist():
+            stop = b + q
+            if stop - a < 6 * q:
+                continue
+            free[a:stop] = False
+            middle = np.arange(a + q, a + 2 * q)
+            last[middle] = at[middle + (stop - q - 1 - middle) // q * q]
+            last[a + 2 * q : a + 3 * q] = -1
+            stay[a + 3 * q : stop - q] = False
+    return stay, last[stay]
+
+
 def _node_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """One row per node beside a window that may repeat: the node, the words around it (0: none there), where it is."""
 
@@ -102,14 +128,17 @@ def _node_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 previous = np.where(before[node_at], short[node_at - 1], 0).astype(np.uint64)
                 following = np.where(after[node_at], short[np.minimum(node_at + width - 1, len(short) - 1)], 0).astype(np.uint64) if len(node_at) else previous
                 owner = words.document()[node_at]
+                stay, last = _fold_periods(nodes, node_at, width - 1)
+                nodes, node_at, previous, following, owner = (x[stay] for x in (nodes, node_at, previous, following, owner))
                 yield required(
                     node=_signed(nodes),
                     around=_signed((previous << np.uint64(32)) | following),
                     doc=part.column("doc").to_numpy()[owner],
                     pos=(node_at - words.first[owner]).astype(np.int32),
+                    last=np.where(last < 0, -1, last - words.first[owner]).astype(np.int32),
                 )
 
-    return docs.mapInArrow(run, not_null(node="long", around="long", doc="long", pos="int"))
+    return docs.mapInArrow(run, not_null(node="long", around="long", doc="long", pos="int", last="int"))
 
 
 def _repeated_paths(docs: DataFrame, originals: DataFrame, width: int, seed: int) -> DataFrame:
@@ -122,15 +151,15 @@ def _repeated_paths(docs: DataFrame, originals: DataFrame, width: int, seed: int
     mask = F.lit(0xFFFFFFFF)
     straight = (
         nodes.groupBy("node")
-        .agg(F.min("around").alias("a"), F.max("around").alias("b"), F.min("pos").alias("p"), F.max("doc").alias("d"))
-        # p and d say nothing, but keep both readers of ``nodes`` at the same columns, so that they share one shuffle
-        .filter((F.col("p") >= 0) & (F.col("d") >= MIN_LONG) & (F.col("a") == F.col("b")) & (F.shiftrightunsigned("a", 32) != 0) & (F.col("a").bitwiseAND(mask) != 0))
+        .agg(F.min("around").alias("a"), F.max("around").alias("b"), F.min("pos").alias("p"), F.min("last").alias("l"), F.max("doc").alias("d"))
+        # p, l and d say nothing, but keep both readers of ``nodes`` at the same columns, so that they share one shuffle
+        .filter((F.col("p") >= 0) & (F.col("l") >= -1) & (F.col("d") >= MIN_LONG) & (F.col("a") == F.col("b")) & (F.shiftrightunsigned("a", 32) != 0) & (F.col("a").bitwiseAND(mask) != 0))
         .select("node", F.lit(True).alias("straight"))
     )
     # plain joins: a semi or anti join would be pushed below the shuffle that is to be shared
     ends = nodes.join(straight, "node", "left").filter("straight IS NULL").withColumn("following", F.col("around").bitwiseAND(mask))
-    paths = ends.withColumn("end", F.lead("pos").over(Window.partitionBy("doc").orderBy("pos"))).filter("following != 0 AND end > pos")
-    paths = paths.select("doc", "node", "following", "pos", "end")
+    paths = ends.withColumn("end", F.lead("pos").over(Window.partitionBy("doc").orderBy("pos"))).filter("following != 0 AND end > pos AND last >= 0")
+    paths = paths.select("doc", "node", "following", "pos", (F.col("last") + F.col("end") - F.col("pos")).alias("end"))
     firsts = paths.groupBy("node", "following").agg(F.min("doc").alias("first_doc"), F.count("*").alias("m")).filter("m > 1")
     found = paths.join(firsts, ["node", "following"]).filter("first_doc < doc")
     return found.select("doc", F.col("pos").alias("start"), (F.col("end") + width - 1).alias("stop"), "first_doc")

@@ -50,7 +50,25 @@ def corpus(seed):
     return rows + [(5000, None), (5001, ""), (5002, "  \n"), (-3, rows[0][1])]
 
 
-@pytest.mark.parametrize("seed", range(4))
+def periodic(seed):
+    rng = random.Random(seed)
+    rows = []
+    for d in rng.sample(range(500), 30):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            cycle = [rng.choice("abc") for _ in range(rng.choice([1, 2, 2, 3, 5, 13]))]
+            words += (cycle * 80)[: rng.choice([3, 12, 13, 14, 30, 61, 80, 150])] + [rng.choice("abxy") for _ in range(rng.randint(0, 3))]
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_periods_against_brute_force(spark, seed):
+    rows = periodic(seed)
+    assert result(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
 def test_against_brute_force(spark, seed):
     rows = corpus(seed)
     assert result(spark, rows) == brute(rows)
