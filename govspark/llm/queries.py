@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from govspark.llm import (
     bpe,
     decontamination,
+    hnsw,
     jaccard_join,
     license_scan,
     quality,
@@ -103,3 +104,8 @@ def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_license_digests"] = license_scan.oracle()
+
+
+@register
+def op8_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
