@@ -13,6 +13,7 @@ from govspark.llm import (
     decontamination,
     hnsw,
     jaccard_join,
+    language_model,
     license_scan,
     quality,
     sharding,
@@ -109,3 +110,10 @@ ORACLES["op6_license_digests"] = license_scan.oracle()
 @register
 def op8_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+@register
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    found = language_model.score(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
