@@ -7,7 +7,7 @@
 3. Templates that differ in their last segment only are siblings. A sibling whose share of blocked labels does not differ
    from that of the others (two-proportion test) is merged with them.
 4. A template's purity is its share of allowed labels, smoothed by that of its host, which is smoothed by that of all.
-   Purity below one half is rejected.
+   Purity below one half is rejected; a host without any label is let through.
 
 Labels come from a column, or else from the rules: what a rule allows or blocks teaches the rest of its host.
 
@@ -100,7 +100,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", label: str |
     overall = all_good / (all_good + all_bad) if all_good + all_bad else 1.0
     smoothed = lambda good, bad, prior: (F.col(good) + PRIOR * prior) / (F.col(good) + F.col(bad) + PRIOR)
     purity = smoothed("good", "bad", smoothed("host_good", "host_bad", F.lit(overall)))
-    decided = branches.join(hosts, "host").select("host", "branch", F.when(purity < 0.5, "block").otherwise("allow").alias("learned"))
+    decided = branches.join(hosts, "host").select("host", "branch", F.when((purity < 0.5) & (F.col("host_good") + F.col("host_bad") > 0), "block").otherwise("allow").alias("learned"))
     verdicts = named.join(merged.select("host", "template", "branch"), ["host", "template"]).join(decided, ["host", "branch"]).select("host", "shape", "branch", "learned")
     out = base.join(verdicts, ["host", "shape"], "left")
     return out.select(F.col("_key").alias(key), "host", "path", "rule", F.coalesce("_said", "learned").alias("verdict"), F.col("branch").alias("template"))
@@ -158,9 +158,9 @@ merged AS (
 ),
 branches AS (SELECT host, branch, sum(good) AS good, sum(bad) AS bad FROM merged GROUP BY ALL),
 overall AS (SELECT CASE WHEN sum(good) + sum(bad) > 0 THEN CAST(sum(good) AS DOUBLE) / (sum(good) + sum(bad)) ELSE 1.0 END AS o FROM shapes),
-hosts AS (SELECT host, (sum(good) + 4.0::DOUBLE * (SELECT o FROM overall)) / (sum(good) + sum(bad) + 4.0::DOUBLE) AS prior FROM shapes GROUP BY host),
+hosts AS (SELECT host, (sum(good) + 4.0::DOUBLE * (SELECT o FROM overall)) / (sum(good) + sum(bad) + 4.0::DOUBLE) AS prior, sum(good) + sum(bad) AS known FROM shapes GROUP BY host),
 decided AS (
-  SELECT host, branch, CASE WHEN (good + 4.0::DOUBLE * prior) / (good + bad + 4.0::DOUBLE) < 0.5 THEN 'block' ELSE 'allow' END AS learned FROM branches JOIN hosts USING (host)
+  SELECT host, branch, CASE WHEN known > 0 AND (good + 4.0::DOUBLE * prior) / (good + bad + 4.0::DOUBLE) < 0.5 THEN 'block' ELSE 'allow' END AS learned FROM branches JOIN hosts USING (host)
 )
 SELECT page_id, host, path, rule, coalesce(label, learned) AS verdict, branch AS template
 FROM said JOIN named USING (host, shape) JOIN merged USING (host, template) JOIN decided USING (host, branch)
