@@ -38,8 +38,12 @@ def with_display(rows: DataFrame, amount: str, asset_id: str) -> DataFrame:
 
 
 def remove_zeros(amount: Column, decimals: int = 9) -> Column:
-    """Base units to whole units without rounding, for amounts of up to ``36 - decimals`` digits."""
-    return amount.cast(f"decimal({36 - decimals},0)") / F.lit(10**decimals).cast(f"decimal({decimals + 1},0)")
+    """Base units to whole units without rounding, for amounts of up to 38 digits; what is no such number is null."""
+    number = amount.try_cast("decimal(38,0)").cast("string")
+    digits, sign = F.ltrim(number, F.lit("-")), F.when(F.startswith(number, F.lit("-")), "-").otherwise("")
+    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(decimals + 1)), "0")
+    whole = F.left(padded, F.length(padded) - decimals)
+    return F.concat(sign, whole, F.lit("."), F.right(padded, F.lit(decimals))).try_cast(f"decimal(38,{decimals})")
 
 
 def conviction_weighted(balance: Column, lock_period: Column) -> Column:

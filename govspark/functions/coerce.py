@@ -48,9 +48,19 @@ def to_date(value: Column) -> Column:
 
 
 def to_integer(value: Column) -> Column:
-    """Whole number of up to 32 digits, cut towards zero, without the precision loss of a float."""
-    number = strip(value.cast("string")).try_cast("decimal(38,6)")
-    return F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("decimal(38,0)")
+    """Whole number of up to 38 digits, cut towards zero, without the precision loss of a float; more digits are null.
+
+    Plain numbers are cut as text. With an exponent the number is exact where it is whole; one with a fraction is small
+    enough for a double to hold its whole part.
+    """
+    text = strip(value.cast("string"))
+    plain = F.regexp_extract(text, r"^([+-]?)0*(\d*)\.?\d*$", 1), F.regexp_extract(text, r"^[+-]?0*(\d*)\.?\d*$", 1)
+    whole = F.concat(plain[0], F.when(plain[1] == "", "0").otherwise(plain[1])).try_cast("decimal(38,0)")
+    double = text.try_cast("double")
+    cut = F.when(double < 0, F.ceil(double)).otherwise(F.floor(double)).cast("decimal(38,0)")
+    is_plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$")
+    fraction = (F.abs(double) < 2**53) & (double != F.floor(double))
+    return F.when(is_plain, whole).when(fraction, cut).otherwise(text.try_cast("decimal(38,0)"))
 
 
 def to_float(value: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from govspark.operators.joins import BROADCAST_KEYS
@@ -19,37 +18,14 @@ def count_rows(rows: DataFrame) -> Column:
 def topk_with_total(rows: DataFrame, order: Sequence[Column], k: int = 10, counted: DataFrame | None = None) -> DataFrame:
     """The first ``k`` rows plus ``total_count``.
 
-    For rows that are cheap to read twice. Each task keeps k rows, and the count is a map-side count; the literal
-    ``count(*) OVER ()`` would move every match into one task. ``counted`` replaces ``rows`` under the count where
-    both have the same number of rows but ``counted`` is narrower.
+    Each task keeps its k best rows and counts its own, so k rows and one number per task move; the literal
+    ``count(*) OVER ()`` would move every match into one task. An aggregate under both shares its shuffle; of a join the
+    count reads the keys only. ``counted`` replaces ``rows`` under the count where both have the same number of rows but
+    ``counted`` is narrower.
     """
     return rows.orderBy(*order).limit(k).withColumn("total_count", count_rows(rows if counted is None else counted))
 
 
-def topk_with_total_one_pass(
-    rows: DataFrame, order: Sequence[Column], spread: Sequence[str], k: int = 10, buckets: int = 1024
-) -> DataFrame:
-    """As above for rows that are dear to compute (joins, aggregates): they are computed once.
-
-    Rows are spread over hash buckets; each bucket keeps its k best and carries its size on the best one. The last
-    step sees at most ``buckets * k`` rows whatever the input size.
-    """
-    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)))
-    best = W.partitionBy("_bucket").orderBy(*order)
-    kept = (
-        bucketed.withColumn("_rank", F.row_number().over(best))
-        .withColumn("_size", F.count(F.lit(1)).over(W.partitionBy("_bucket")))
-        .where(F.col("_rank") <= k)
-    )
-    size_once = F.when(F.col("_rank") == 1, F.col("_size"))
-    return (
-        kept.withColumn("total_count", F.sum(size_once).over(W.partitionBy()))
-        .orderBy(*order)
-        .limit(k)
-        .drop("_bucket", "_rank", "_size")
-    )
-
-
 #: Rows of a top-k report that are fetched to look up their keys by value.
 REPORT_ROWS = 1000
 

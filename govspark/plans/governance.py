@@ -1,4 +1,5 @@
-"""Question templates over proposals. Every builder returns a lazy DataFrame.
+"""Question templates over proposals. Builders are lazy, but for reports that look up the network of their few rows: those
+run the ranking while they build.
 
 ``proposals`` has proposal_index, proposer, status, proposal_type, createdat, amount; ``networks`` maps a proposer to
 its network, one row per proposer. The network is a lookup on a unique key, so it never changes the number of rows:
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govspark.functions import predicates as p
-from govspark.operators.topk import lookup_for_few, topk_with_total, topk_with_total_one_pass
+from govspark.operators.topk import lookup_for_few, topk_with_total
 
 KEY_COLUMNS = ["proposal_index", "status", "createdat", "network", "proposal_type"]
 
@@ -41,7 +42,7 @@ def listing_nulls_last(proposals: DataFrame, networks: DataFrame, k: int = 10) -
 def listing_by_network(proposals: DataFrame, networks: DataFrame, network: str, k: int = 10) -> DataFrame:
     here = networks.where(F.col("network") == network)
     matching = p.guarded(proposals, "createdat").join(here, "proposer").select(*KEY_COLUMNS)
-    return topk_with_total_one_pass(matching, newest_first(), ["proposal_index"], k)
+    return topk_with_total(matching, newest_first(), k)
 
 
 def count_by_network(proposals: DataFrame, networks: DataFrame, network: str) -> DataFrame:
@@ -96,12 +97,12 @@ def active_proposers(proposals: DataFrame, k: int = 10) -> DataFrame:
 def compare_networks(proposals: DataFrame, networks: DataFrame) -> DataFrame:
     """Counts and amounts per network; aggregated per proposer before the lookup, so a busy proposer moves as one row."""
     per_proposer = proposals.groupBy("proposer").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).alias("total")
+        F.count(F.lit(1)).alias("n"), F.try_sum(F.when(p.is_number("amount"), F.col("amount")).try_cast("decimal(38,2)")).alias("total")
     )
     return (
         per_proposer.join(networks, "proposer")
         .groupBy("network")
-        .agg(F.sum("n").alias("proposals"), F.sum("total").cast("double").alias("total_amount"))
+        .agg(F.sum("n").alias("proposals"), F.try_sum("total").cast("double").alias("total_amount"))
     )
 
 

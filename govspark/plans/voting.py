@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govspark.functions import predicates as p
-from govspark.operators.topk import lookup_for_few, topk_with_total, topk_with_total_one_pass
+from govspark.operators.topk import lookup_for_few, topk_with_total
 
+#: The widest type of sums with two decimals.
+MONEY = "decimal(38,2)"
 VOTE_KEY = ["parent_vote_id", "proposal_index", "voter", "lock_period"]
 
 
@@ -50,11 +52,11 @@ def distinct_voters(votes: DataFrame, year: int, month: int, name: str = "unique
 
 
 def over_power(votes: DataFrame, power: DataFrame, threshold: float, k: int = 10) -> DataFrame:
-    strong = power.where(F.col("self_voting_power") > threshold)
+    strong = p.guarded(power, "self_voting_power").where(p.is_number("self_voting_power") & (F.col("self_voting_power") > threshold))
     joined = p.guarded(votes, "voter").join(strong, F.col("parent_vote_id") == F.col("id"))
     rows = joined.select("voter", "self_voting_power", *[c for c in VOTE_KEY if c != "voter"])
     order = [F.col("self_voting_power").desc_nulls_last(), *tie_break()]
-    return topk_with_total_one_pass(rows, order, VOTE_KEY, k).select("voter", "self_voting_power", "total_count")
+    return topk_with_total(rows, order, k).select("voter", "self_voting_power", "total_count")
 
 
 def on_proposal(votes: DataFrame, power: DataFrame, proposal_index: int) -> DataFrame:
@@ -86,16 +88,18 @@ def conviction(votes: DataFrame, power: DataFrame, lock_period: int) -> DataFram
 
 
 def top_voters(votes: DataFrame, power: DataFrame, k: int = 10) -> DataFrame:
-    """Voters by total power. Sums are decimal, so the result does not depend on the order of addition."""
+    """Voters by total power; NaN and missing powers are no votes. Sums are decimal, so the result does not depend on the
+    order of addition. A single power beyond 36 digits does not count; a sum beyond them is null and comes last.
+    """
     joined = p.guarded(votes.select("voter", "parent_vote_id"), "voter").join(
-        p.guarded(power, "self_voting_power"), F.col("parent_vote_id") == F.col("id")
+        p.guarded(power, "self_voting_power").where(p.is_number("self_voting_power")), F.col("parent_vote_id") == F.col("id")
     )
     grouped = joined.groupBy("voter").agg(
-        F.sum(F.col("self_voting_power").cast("decimal(18,2)")).alias("total_voting_power"),
+        F.try_sum(F.col("self_voting_power").try_cast(MONEY)).alias("total_voting_power"),
         F.count(F.lit(1)).alias("vote_count"),
     )
     order = [F.col("total_voting_power").desc_nulls_last(), F.col("voter").asc()]
-    top = topk_with_total_one_pass(grouped, order, ["voter"], k)
+    top = topk_with_total(grouped, order, k)
     return top.withColumn("total_voting_power", F.col("total_voting_power").cast("double"))
 
 

@@ -6,21 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: How text survives CSV: all of it quoted, a doubled quote inside, nothing trimmed, a null as a bare \\N.
+CSV = {
+    "header": "true", "quoteAll": "true", "escape": '"', "emptyValue": "", "nullValue": "\\N", "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+}
+
 ENVELOPE = "network string, timestamp string, total_items int, items array<{item}>"
 
 
-def scan_envelopes(spark: SparkSession, path: str, item: str, multi_line: bool = False) -> DataFrame:
+def scan_envelopes(spark: SparkSession, path: str, item: str, multi_line: bool = True) -> DataFrame:
     """Items of {network, timestamp, total_items, items[]} files; files without items yield nothing.
 
-    ``item`` is the type of one item, for example ``struct<id:bigint,title:string>``. ``multi_line`` reads files that
-    hold one indented record each.
+    ``item`` is the type of one item, for example ``struct<id:bigint,title:string>``. Files hold one record
+    each, indented or not; ``multi_line=False`` reads files of one record per line, which Spark can split. A damaged file
+    gives nothing here and shows in ``file_report``.
     """
     read = spark.read.schema(ENVELOPE.format(item=item)).option("multiLine", multi_line)
     records = read.json(path).select("network", F.explode("items").alias("item"))
     return records.select("network", "item.*")
 
 
-def file_report(spark: SparkSession, path: str, item: str, multi_line: bool = False) -> DataFrame:
+def file_report(spark: SparkSession, path: str, item: str, multi_line: bool = True) -> DataFrame:
     """Per file: items read, damaged records and whether the file counts as processed."""
     schema = T.StructType.fromDDL(ENVELOPE.format(item=item)).add("_corrupt_record", "string")
     records = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", multi_line).json(path)
@@ -67,8 +74,11 @@ def scan_votes(spark: SparkSession, path: str, whole_files: bool = True) -> Data
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with header under a declared schema; inference would read the data twice."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with header, as ``write_csv`` writes it, under a declared schema; inference would read the data twice.
+
+    Line breaks, quotes and blanks in text come back as they were; an empty text and a null stay apart.
+    """
+    return spark.read.schema(schema).options(**CSV).option("multiLine", True).csv(path)
 
 
 def scan_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govspark.operators.ordered import positions
+from govspark.sources.scans import CSV
 
 ENVELOPE_ITEMS = 1000
 
@@ -35,7 +36,7 @@ def load_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_key_list(df: DataFrame, path: str, columns: list[str], fmt: str = "json") -> None:

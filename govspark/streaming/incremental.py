@@ -2,44 +2,74 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govspark.operators.joins import new_records_of_small_batch
 
-BATCH = "_batch"
+LOAD, BATCH, BUCKET = "_load", "_batch", "_bucket"
+#: Parts of the target by hash of the key; a batch reads only those its keys fall into.
+BUCKETS = 64
+
+
+def load_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the load that a checkpoint stands for; kept beside its progress, so a new checkpoint is a new load."""
+    path = f"{checkpoint}/load_id"
+    try:
+        return spark.read.text(path).first()["value"]
+    except AnalysisException:
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(path)
+        return spark.read.text(path).first()["value"]
+
 
+def _table_schema(schema: T.StructType) -> T.StructType:
+    parts = [T.StructField(LOAD, T.StringType()), T.StructField(BATCH, T.LongType()), T.StructField(BUCKET, T.IntegerType())]
+    return T.StructType([*schema.fields, *parts])
 
-def append_new(batch: DataFrame, batch_id: int, target: str, key: str) -> None:
-    """Writes the batch's unseen keys as one partition of the target.
 
-    Each batch owns its partition and compares itself with the others, so a batch that is run again after a failure
-    writes the same rows to the same place.
+def append_new(batch: DataFrame, batch_id: int, target: str, key: str, load: str = "load") -> None:
+    """Writes the batch's unseen keys as one partition of the target, by load and batch.
+
+    Each batch owns its partition and compares itself with all others, so a batch that is run again after a failure
+    writes the same rows to the same place, and batches of another load are never overwritten.
     """
     spark = batch.sparkSession
-    schema = batch.schema.add(BATCH, T.LongType())
-    known = spark.read.schema(schema).parquet(target).where(F.col(BATCH) != batch_id)
-    fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).persist()
-    new_records_of_small_batch(fresh, known, key).write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn(BUCKET, bucket).persist()
+    touched = [r[BUCKET] for r in fresh.select(BUCKET).distinct().collect()]  # BUCKETS rows at most
+    known = spark.read.schema(_table_schema(batch.schema)).parquet(target).where(F.col(BUCKET).isin(touched))
+    known = known.where((F.col(LOAD) != load) | (F.col(BATCH) != batch_id))
+    new = new_records_of_small_batch(fresh, known, key)
+    new.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{target}/{LOAD}={load}/{BATCH}={batch_id}")
     fresh.unpersist()
 
 
+def start_table(empty: DataFrame, target: str, load: str) -> None:
+    """An empty partition, so that the target can be read before its first batch."""
+    empty.coalesce(1).write.mode("overwrite").parquet(f"{target}/{LOAD}={load}/{BATCH}=-1/{BUCKET}=-1")
+
+
 def incremental_load(
     spark: SparkSession, landing: str, target: str, checkpoint: str, schema: str, key: str, files_per_batch: int = 1000
 ) -> DataFrame:
     """Loads all files that have landed since the last run and returns the target table.
 
-    Target and checkpoint belong together: partitions of the target are named by the batches of the checkpoint.
+    Partitions of the target are named by the load that the checkpoint stands for and its batches. A load under another
+    checkpoint adds to the same target.
     """
     empty = spark.createDataFrame([], schema)
-    empty.write.mode("overwrite").parquet(f"{target}/{BATCH}=-1")
+    load = load_id(spark, checkpoint)
+    start_table(empty, target, load)
     landed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(landing)
     run = (
-        landed.writeStream.foreachBatch(lambda batch, batch_id: append_new(batch, batch_id, target, key))
+        landed.writeStream.foreachBatch(lambda batch, batch_id: append_new(batch, batch_id, target, key, load))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return spark.read.schema(empty.schema.add(BATCH, T.LongType())).parquet(target).drop(BATCH)
+    return spark.read.schema(_table_schema(empty.schema)).parquet(target).drop(LOAD, BATCH, BUCKET)

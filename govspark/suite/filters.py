@@ -10,7 +10,7 @@ from govspark.functions import predicates as p
 from govspark.functions import text as t
 from govspark.operators import joins, union
 from govspark.operators.spread import spread_scan
-from govspark.operators.topk import topk_with_total, topk_with_total_one_pass
+from govspark.operators.topk import topk_with_total
 from govspark.plans import governance as g
 from govspark.plans import voting as v
 from govspark.sources.tables import proposals, proposer_networks, table, votes, voting_power
@@ -196,7 +196,7 @@ GROUP BY l_partkey ORDER BY votes DESC, proposal_index LIMIT 10""")
 def grouped_topk(spark, sf):
     grouped = votes(spark, sf).groupBy("proposal_index").agg(F.count(F.lit(1)).alias("votes"))
     order = [F.col("votes").desc(), F.col("proposal_index").asc()]
-    return topk_with_total_one_pass(grouped, order, ["proposal_index"])
+    return topk_with_total(grouped, order)
 
 
 @query("recent_topk", """
@@ -247,7 +247,7 @@ SELECT l_suppkey AS voter, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS D
 FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def top_voters(spark, sf):
     grouped = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("voter")).agg(
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("power"), F.count(F.lit(1)).alias("n")
+        F.try_sum(F.col("l_extendedprice").try_cast("decimal(38,2)")).alias("power"), F.count(F.lit(1)).alias("n")
     )
     top = grouped.orderBy(F.col("power").desc(), "voter").limit(10)
     return top.withColumn("power", F.col("power").cast("double"))

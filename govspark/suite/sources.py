@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from govspark.functions import documents as d
 from govspark.functions import text as t
 from govspark.operators import chunk, flatten, vector
+from govspark.operators.joins import new_records
 from govspark.operators.spread import spread_scan
 from govspark.scratch import run_dir
 from govspark.sources import scans, sinks
@@ -25,12 +26,12 @@ def event_files(spark, sf):
 
 @query("scan_json_envelope", "SELECT event_type AS network, event_id, user_id, value FROM events")
 def scan_json_envelope(spark, sf):
-    return scans.scan_envelopes(spark, event_files(spark, sf), EVENT_ITEM)
+    return scans.scan_envelopes(spark, event_files(spark, sf), EVENT_ITEM, multi_line=False)
 
 
 @query("scan_file_report")
 def scan_file_report(spark, sf):
-    return scans.file_report(spark, event_files(spark, sf), EVENT_ITEM)
+    return scans.file_report(spark, event_files(spark, sf), EVENT_ITEM, multi_line=False)
 
 
 @query("sink_json_batched", """
@@ -85,6 +86,27 @@ def scan_csv_roundtrip(spark, sf):
     return scans.scan_csv(spark, path, customers.schema)
 
 
+@query("scan_csv_texts", """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '' ELSE ' "' || text || chr(10) || '\\' END AS text, source FROM documents""")
+def scan_csv_texts(spark, sf):
+    path = run_dir(spark, "csv-texts")
+    key = F.col("doc_id")
+    odd = F.when(key % 7 == 0, None).when(key % 11 == 0, "").otherwise(F.concat(F.lit(' "'), "text", F.lit("\n\\")))
+    documents = table(spark, sf, "documents").select("doc_id", odd.alias("text"), "source")
+    sinks.write_csv(documents, path)
+    return scans.scan_csv(spark, path, documents.schema)
+
+
+@query("sink_key_list", "SELECT event_id, event_type FROM events WHERE event_id % 2 = 1")
+def sink_key_list(spark, sf):
+    """The keys of records that were not known before, as a file."""
+    path = run_dir(spark, "keys")
+    events = table(spark, sf, "events")
+    fresh = new_records(events, events.where("event_id % 2 = 0"), "event_id")
+    sinks.write_key_list(fresh, path, ["event_id", "event_type"])
+    return spark.read.schema("event_id bigint, event_type string").json(path)
+
+
 @query("partition_pruned_scan", """
 SELECT o_orderkey AS proposal_index, o_orderstatus AS status, o_orderpriority AS proposal_type FROM orders
 WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH'""")

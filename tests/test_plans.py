@@ -27,7 +27,7 @@ def test_no_cross_join_and_no_stray_python(name, spark, sf_dir):
         assert not re.search(r"EvalPython|MapInPandas|MapInArrow|FlatMapGroups", text)
 
 
-@pytest.mark.parametrize("name", ["topk_with_total", "g_amounts", "g_text_search", "v_all_by_date"])
+@pytest.mark.parametrize("name", ["topk_with_total", "g_amounts", "g_text_search", "v_all_by_date", "v_top_voters", "v_over_power", "g_by_network", "grouped_topk_with_total"])
 def test_top_k_moves_no_full_table(name, spark, sf_dir):
     text = plan(QUERIES[name](spark, sf_dir))
     assert "TakeOrderedAndProject" in text and "Window" not in text

@@ -90,8 +90,17 @@ def test_incremental_load_restarts(spark, tmp_path):
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     target = str(tmp_path / "target")
-    spark.createDataFrame([], SCHEMA).write.parquet(f"{target}/{incremental.BATCH}=-1")
+    incremental.start_table(spark.createDataFrame([], SCHEMA), target, "load")
     batch = spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA)
     for _ in range(2):
         incremental.append_new(batch, 0, target, "id")
     assert spark.read.parquet(target).count() == 2
+
+
+def test_loads_under_two_checkpoints_keep_all_rows(spark, tmp_path):
+    target = str(tmp_path / "target")
+    for name, ids in (("one", range(5)), ("two", range(3, 13))):
+        landing = str(tmp_path / f"landing-{name}")
+        spark.createDataFrame([(i, name) for i in ids], SCHEMA).coalesce(1).write.json(landing)
+        table = incremental.incremental_load(spark, landing, target, str(tmp_path / f"checkpoint-{name}"), SCHEMA, "id")
+    assert sorted((r["id"], r["v"]) for r in table.collect()) == [(i, "one" if i < 5 else "two") for i in range(13)]

@@ -52,6 +52,9 @@ def test_conviction(spark, balance, lock, weighted):
 
 def test_units_are_exact(spark):
     assert str(one(spark, amounts.remove_zeros(F.lit("2955235968346605113")))).rstrip("0") == "2955235968.346605113"
+    assert str(one(spark, amounts.remove_zeros(F.lit("-" + "7" * 38)))) == "-" + "7" * 29 + "." + "7" * 9
+    assert str(one(spark, amounts.remove_zeros(F.lit("5")))) == "5E-9" or one(spark, amounts.remove_zeros(F.lit("5"))) * 10**9 == 5
+    assert one(spark, amounts.remove_zeros(F.lit("x"))) is None
 
 
 @pytest.mark.parametrize(
@@ -60,6 +63,8 @@ def test_units_are_exact(spark):
         ("Yes", True, None, None), (" f ", False, None, None), ("1", True, 1, 1.0), ("12.9", None, 12, 12.9),
         ("-12.9", None, -12, -12.9), ("NaN", None, None, None), ("", None, None, None), ("maybe", None, None, None),
         ("2955235968346605113", None, 2955235968346605113, 2955235968346605113.0),
+        ("9" * 38, None, 10**38 - 1, 1e38), ("1e33", None, 10**33, 1e33), ("1.9999996", None, 1, 1.9999996), ("-1.9999999", None, -1, -1.9999999),
+        ("1.5e0", None, 1, 1.5), ("-0.5", None, 0, -0.5), (".5", None, 0, 0.5), ("+7.", None, 7, 7.0), ("000012", None, 12, 12.0), ("9" * 39, None, None, 1e39), (".", None, None, None),
     ],
 )
 def test_coercion(spark, raw, boolean, integer, number):
