@@ -8,19 +8,19 @@ is taken over blocks of the incidence that size-derived bounds leave:
    elsewhere has no partner and leaves. One shuffle of about a quarter of the incidence serves counts and join.
 2. *Classes.* Equal sets become one row of the matrix; membership is kept aside.
 3. *Block by rarity.* In the remaining rows, n-grams of one document only go, rows left with fewer than ``need(n)`` go,
-   and of the others only the rarest ``usable - need(n) + extra`` columns are multiplied: what many documents share is
+   and of the others only the rarest ``usable - need(n) + 1`` columns are multiplied: what many documents share is
    multiplied last and so hardly ever.
 4. *Product.* Of each column, first the smallest document is multiplied with the others (as many products as entries).
-   Survivors form components. Then columns that still hold several components are multiplied across components only; the
-   overlaps of a pair are added up over the columns and pairs whose bound stays below ``need`` are discarded. Pairs that
-   remain get their whole overlap.
+   Survivors form components. Then columns that still hold several components are multiplied across components only. A
+   product is made only if either row has enough columns left, from the common one on, for the overlap that the two sizes
+   ask for: this holds at the first column that a linked pair has in common. Pairs that remain get their whole overlap.
 
 No link between different components is lost: linked documents share a column, and are either joined already or
 multiplied there. Inside a component further products change nothing and are not made.
 
 Defined results: upper-case A-Z is lowered; a text with fewer than ``width`` words is one n-gram of all of them; a null or
 blank text has an empty set, links with nothing and is its own component. Repeated rows of a key come out as often as
-they go in. N-grams are compared by 64-bit hashes, sets by 128 bits and their size.
+they go in; a row without a key comes out with nulls. N-grams are compared by 64-bit hashes, sets by 128 bits and their size.
 """
 
 from __future__ import annotations
@@ -40,10 +40,9 @@ from govspark.scratch import settle
 
 WIDTH = 5
 PERCENT = 80
+MIN_LONG = -(2**63)
 #: Share of a set, in percent, that two linked documents must have in common in the block by hash order.
 SLACK = 5
-#: Share of the least overlap, in percent, that they must have in common in the block by rarity.
-EXTRA = 2
 
 
 def need(n, percent: int):
@@ -140,22 +139,31 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= (F.size("ga") + F.size("gb") - F.col("common")) * percent).select("a", "b")
 
 
-def _sizes_fit(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) >= need(F.greatest(F.col(a), F.col(b)), percent)
+def _can_link(na: str, nb: str, rest_a: str, rest_b: str, percent: int) -> Column:
+    """Whether two rows whose first common column leaves ``rest`` columns of each, itself included, can overlap enough.
+
+    A similarity of p / 100 is an overlap of at least p / (100 + p) of both sizes together.
+    """
+    least = F.floor(((F.col(na) + F.col(nb)) * percent + 99 + percent) / (100 + percent))
+    return F.least(rest_a, rest_b) >= least
 
 
 def similarity_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
     """Per document: key, n_shingles, component_id (the smallest key reachable by links, itself included)."""
-    plain = plain_docs(docs, key, text)
+    plain = plain_docs(docs, key, text).filter("doc IS NOT NULL")
     block = _hash_block(plain, width, percent).repartition("gram")
-    several = block.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("gram")
-    hits = block.join(several, "gram").groupBy("doc", "n").agg(F.count("*").alias("hits"))
-    hits = hits.filter(F.col("hits") >= _slack(need(F.col("n"), percent))).select("doc", "n", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
-    found = settle(hits.unionByName(block.filter("a IS NOT NULL").select("doc", "n", "a", "b")), "blocks")
-    profiles = found.filter("a IS NOT NULL").distinct()
-    partners = found.filter("a IS NULL").select("doc")
+    ends = block.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), *(F.max(c).alias(f"max_{c}") for c in ("n", "a", "b")))
+    # the conditions on n, a and b say nothing, but keep both readers of ``block`` at the same columns, so that they share one shuffle
+    same = F.col("max_n") >= 0
+    for c in ("max_a", "max_b"):
+        same = same & (F.col(c).isNull() | (F.col(c) >= MIN_LONG))
+    several = ends.filter(same & (F.col("lo") < F.col("hi"))).select("gram", F.lit(1).alias("shared"))
+    hits = block.join(several, "gram", "left").filter("shared IS NOT NULL OR a IS NOT NULL")
+    found = settle(hits.groupBy("doc", "n").agg(F.count("shared").alias("hits"), F.max("a").alias("a"), F.max("b").alias("b")), "blocks")
+    profiles = found.select("doc", "n", "a", "b")
+    partners = found.filter(F.col("hits") >= _slack(need(F.col("n"), percent))).select("doc")
 
     # one row of the matrix for each distinct set that may have a partner
     classes = profiles.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("first"))
@@ -169,33 +177,29 @@ def similarity_components(
         "doc", "n", "gram",
         F.row_number().over(of_doc.orderBy("df", "gram")).alias("place"), F.count("*").over(of_doc).alias("usable"),
     )
-    least = need(F.col("n"), percent)
-    extra = F.greatest(F.lit(1), F.floor(least * EXTRA / 100).cast("int"))
-    rare = rare.filter((F.col("usable") >= least) & (F.col("place") <= F.col("usable") - least + extra))
-    columns = settle(rare.select("doc", "n", "gram", (least - extra).alias("rest")), "columns")
-
-    heads = columns.groupBy("gram").agg(F.min(F.struct("doc", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1")
-    stars = columns.join(heads, "gram").select(F.col("head.doc").alias("a"), F.col("head.n").alias("na"), F.col("doc").alias("b"), F.col("n").alias("nb"))
-    stars = stars.filter((F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent)).select("a", "b").distinct()
+    rare = rare.withColumn("rest", F.col("usable") - F.col("place") + 1).filter(F.col("rest") >= need(F.col("n"), percent))
+    columns = settle(rare.select("doc", "n", "gram", "rest"), "columns")
+
+    heads = columns.groupBy("gram").agg(F.min(F.struct("doc", "n", "rest")).alias("head"), F.count("*").alias("m")).filter("m > 1")
+    stars = columns.join(heads, "gram").filter(F.col("head.doc") < F.col("doc"))
+    stars = stars.filter(_can_link("head.n", "n", "head.rest", "rest", percent)).select(F.col("head.doc").alias("a"), F.col("doc").alias("b")).distinct()
     first_links = settle(_linked(stars, sets, percent), "links")
 
     placed = columns.join(components(first_links).withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
     split = placed.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("gram")
     split = settle(placed.join(split, "gram", "left_semi").select("gram", "doc", "n", "rest", "c"), "split")
-    groups = split.select("gram", "c").distinct()
-    across = groups.join(groups.select("gram", F.col("c").alias("d")), "gram").filter("c < d")
+    groups = split.groupBy("gram", "c").agg(F.min("n").alias("nc"), F.max("rest").alias("rc"))
+    others = groups.select("gram", F.col("c").alias("d"), F.col("nc").alias("nd"), F.col("rc").alias("rd"))
+    across = groups.join(others, "gram").filter((F.col("c") < F.col("d")) & _can_link("nc", "nd", "rc", "rd", percent)).select("gram", "c", "d")
     left = split.select("gram", "c", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"))
     right = split.select("gram", F.col("c").alias("d"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
-    products = across.join(left, ["gram", "c"]).join(right, ["gram", "d"]).filter(_sizes_fit("na", "nb", percent))
-    overlaps = products.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count("*").alias("common"))
-    # columns of the row whose block ends first are multiplied up to there for both; beyond it only its rest can be common
-    able = F.col("common") + F.greatest("ra", "rb") >= need(F.greatest("na", "nb"), percent)
-    more_links = _linked(overlaps.filter(able).select("a", "b"), sets, percent)
+    products = across.join(left, ["gram", "c"]).join(right, ["gram", "d"]).filter(_can_link("na", "nb", "ra", "rb", percent))
+    more_links = _linked(products.select("a", "b").distinct(), sets, percent)
 
     joined = components(first_links.unionByName(more_links)).withColumnRenamed("node", "first")
     member = profiles.join(classes, ["n", "a", "b"], "left").join(joined, "first", "left")
     member = member.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "first", "doc").alias("component_id"))
-    return docs.select(key).join(member.withColumnRenamed("doc", key), key)
+    return docs.select(key).join(member.withColumnRenamed("doc", key), key, "left")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
