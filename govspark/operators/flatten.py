@@ -43,27 +43,23 @@ def _array_sizes(value: Column, kind: T.DataType, path: str, lists: bool = False
             yield from _array_sizes(inner, f.dataType, f"{path}.{f.name}", lists)
 
 
-def array_widths(df: DataFrame, limit: int) -> dict[str, int]:
-    """Largest number of elements of each array, capped at ``limit``, from one aggregate row."""
+def array_widths(df: DataFrame) -> dict[str, int]:
+    """Largest number of elements of each array, from one aggregate row."""
     sizes = [s for f in df.schema.fields for s in _array_sizes(F.col(f"`{f.name}`"), f.dataType, f.name)]
     if not sizes:
         return {}
     row = df.agg(*[F.max(size).alias(str(i)) for i, (_, size) in enumerate(sizes)]).first()
-    return {path: min(max(row[i] or 0, 0), limit) for i, (path, _) in enumerate(sizes)}
+    return {path: max(row[i] or 0, 0) for i, (path, _) in enumerate(sizes)}
 
 
-def _leaves(value: Column, kind: T.DataType, name: str, path: str, widths: dict[str, int], limit: int):
+def _leaves(value: Column, kind: T.DataType, name: str, path: str, widths: dict[str, int]):
     """(flat name, column, type) of every leaf below ``value``."""
     if isinstance(kind, T.StructType):
         for f in kind.fields:
-            yield from _leaves(value[f.name], f.dataType, f"{name}_{sanitize_name(f.name)}", f"{path}.{f.name}", widths, limit)
+            yield from _leaves(value[f.name], f.dataType, f"{name}_{sanitize_name(f.name)}", f"{path}.{f.name}", widths)
     elif isinstance(kind, T.ArrayType):
-        width = widths[path]
-        for i in range(width):
-            yield from _leaves(F.get(value, F.lit(i)), kind.elementType, f"{name}_{i}", f"{path}[]", widths, limit)
-        if width == limit:
-            beyond = F.slice(value, limit + 1, F.greatest(F.size(value) - limit, F.lit(0)))
-            yield f"{name}_rest", F.when(F.size(value) > limit, F.to_json(beyond)), T.StringType()
+        for i in range(widths[path]):
+            yield from _leaves(F.get(value, F.lit(i)), kind.elementType, f"{name}_{i}", f"{path}[]", widths)
     elif isinstance(kind, (T.MapType, T.VariantType)):
         yield name, F.to_json(value), T.StringType()
     else:
@@ -76,17 +72,19 @@ def _later_first(found: list[tuple[Column, T.DataType]]) -> Column:
     return F.coalesce(*[leaf if same else leaf.cast("string") for leaf, _ in reversed(found)])
 
 
-def flatten_wide(df: DataFrame, max_array: int = 16, on_collision: str = "error") -> DataFrame:
+def flatten_wide(df: DataFrame, max_array: int | None = None, on_collision: str = "error") -> DataFrame:
     """One flat column per leaf: ``parent_child`` for fields, ``parent_0`` for list elements.
 
-    One generated projection, no shuffle. Lists are as wide as the longest one found, at most ``max_array``; elements
-    beyond that stay in a JSON column ``<name>_rest``. Two leaves of one flat name are an error unless
-    ``on_collision="last"`` asks for the later one.
+    One generated projection, no shuffle. Lists are as wide as the longest one found; with ``max_array`` a longer
+    one is an error. A job finds the widths first. Two leaves of one flat name are an error unless
+    ``on_collision="last"`` asks for the later one that has a value: a null does not hide an earlier value.
     """
-    widths = array_widths(df, max_array)
+    widths = array_widths(df)
+    if max_array is not None and (wide := [f"{p}: {n}" for p, n in widths.items() if n > max_array]):
+        raise ValueError(f"lists longer than {max_array}: {wide}")
     leaves: dict[str, list[tuple[Column, T.DataType]]] = defaultdict(list)
     for f in df.schema.fields:
-        for name, leaf, kind in _leaves(F.col(f"`{f.name}`"), f.dataType, sanitize_name(f.name), f.name, widths, max_array):
+        for name, leaf, kind in _leaves(F.col(f"`{f.name}`"), f.dataType, sanitize_name(f.name), f.name, widths):
             leaves[name].append((leaf, kind))
     twice = [n for n, found in leaves.items() if len(found) > 1]
     if twice and on_collision != "last":
@@ -94,16 +92,33 @@ def flatten_wide(df: DataFrame, max_array: int = 16, on_collision: str = "error"
     return df.select(*[(_later_first(f) if len(f) > 1 else f[0][0]).alias(name) for name, f in leaves.items()])
 
 
-def flatten_long(df: DataFrame, key: str, column: str, max_depth: int = 8) -> DataFrame:
+def depth_of(json: Column) -> Column:
+    """How deep containers are nested in a JSON text; strings in it are set aside first."""
+    plain = F.regexp_replace(F.regexp_replace(json, r"\\.", ""), '"[^"]*"', "")
+    brackets = F.regexp_replace(plain, r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, sign: Column) -> Column:
+        now = F.when(sign.isin("[", "{"), acc["now"] + 1).when(sign.isin("]", "}"), acc["now"] - 1).otherwise(acc["now"])
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["most"])
+
+
+def flatten_long(df: DataFrame, key: str, column: str, max_depth: int | None = None) -> DataFrame:
     """One row per leaf of a JSON text column: key, path, value as text.
 
     Containers are opened level by level while leaves pass through, in one pass without a shuffle. Empty containers
-    yield nothing, a key that cleans to nothing adds no text; whatever lies deeper than ``max_depth`` stays as JSON text.
+    yield nothing, a key that cleans to nothing adds no text. As many levels are opened as the deepest document has, which a
+    job finds first; with ``max_depth`` a deeper one is an error.
     """
+    depth = df.agg(F.max(depth_of(F.to_json(F.try_parse_json(F.col(column)))))).first()[0] or 0
+    if max_depth is not None and depth > max_depth:
+        raise ValueError(f"documents are nested {depth} deep, more than {max_depth}")
     rows = df.select(
         F.col(key), F.lit("").alias("path"), F.lit(None).cast("string").alias("leaf_key"), F.try_parse_json(F.col(column)).alias("value")
     ).where(F.col("value").isNotNull())
-    for _ in range(max_depth):
+    for _ in range(depth):
         # The outer form gives one row without position for a leaf and for an empty container: both are kept as is.
         stepped = rows.lateralJoin(
             df.sparkSession.tvf.variant_explode_outer(F.col("value").outer()).toDF("pos", "child_key", "child")
@@ -122,7 +137,7 @@ def flatten_long(df: DataFrame, key: str, column: str, max_depth: int = 8) -> Da
     return rows.where(~text.isin("{}", "[]")).select(key, "path", "leaf_key", shown.alias("value"))
 
 
-def text_leaves(df: DataFrame, key: str, column: str, max_depth: int = 8) -> DataFrame:
+def text_leaves(df: DataFrame, key: str, column: str, max_depth: int | None = None) -> DataFrame:
     """Meaningful texts of a JSON document, object fields with their key in front.
 
     Every text is kept; a caller that wants the first thousand per document ranks by ``path``.

@@ -27,7 +27,7 @@ def raw_items(spark: SparkSession, path: str, whole_files: bool = True) -> DataF
     return exploded.select("source_file", "pos", F.to_json("item").alias("item"))
 
 
-def wide_table(items: DataFrame, schema: str | None = None, max_array: int = 16) -> DataFrame:
+def wide_table(items: DataFrame, schema: str | None = None, max_array: int | None = None) -> DataFrame:
     """All items in one wide table: a merged schema instead of a union of one table per file.
 
     ``items`` has source_file, pos and item. The schema is found in one pass over the items unless it is given. Source

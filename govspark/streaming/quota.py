@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +17,31 @@ from govspark.operators.quota import MAX_REQUESTS, WINDOW_SECONDS, with_admissio
 REQUESTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def request_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
-    """Requests from landed files, with the event time as an instant."""
+#: A moment after all requests.
+END_OF_TIME = dt.datetime(2999, 1, 1)
+
+
+def end_requests(spark: SparkSession, folder: str) -> None:
+    """Lands one row without a user after all others, which closes every window that is still open."""
+    end = spark.createDataFrame([(None, END_OF_TIME, None, None, None, None)], REQUESTS)
+    end.coalesce(1).write.mode("append").parquet(folder)
+
+
+def request_stream(
+    spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 100, end: str | None = None
+) -> DataFrame:
+    """Requests from landed files, with the event time as an instant.
+
+    ``end`` is a folder that stays empty while requests come in; ``end_requests`` lands the closing row there.
+    """
     stream = (
         spark.readStream.schema(REQUESTS)
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
     )
+    if end is not None:
+        stream = stream.unionByName(spark.readStream.schema(REQUESTS).parquet(end))
     return stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
 
 
@@ -34,6 +53,7 @@ def quota_stream(requests: DataFrame, limit: int = MAX_REQUESTS, seconds: int =
     """
     once = requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     counted = once.groupBy("user_id", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("requests"))
+    counted = counted.where(F.col("user_id").isNotNull())
     return with_admission(counted.select("user_id", F.col("w.start").alias("window_start"), "requests"), limit)
 
 
@@ -89,11 +109,19 @@ def anchored_quota(requests: DataFrame, limit: int = MAX_REQUESTS, seconds: int
     decided = per_second.groupBy("user_id").transformWithStateInPandas(
         AnchoredWindow(limit, seconds), ANCHORED, "append", "eventTime"
     )
-    return decided.withColumn("second", F.timestamp_seconds("second"))
+    return decided.where(F.col("user_id").isNotNull()).withColumn("second", F.timestamp_seconds("second"))
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The RocksDB state store for the streams started inside; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -62,18 +62,19 @@ def structure_profile(spark, sf):
     return pr.structure_profile(spread_scan(table(spark, sf, "orders")))
 
 
-MERGED = """merged AS (
-  SELECT c_custkey, c_mktsegment, NULL AS s_suppkey, NULL AS s_acctbal, NULL AS topic FROM customer
-  UNION ALL SELECT NULL, NULL, s_suppkey, s_acctbal, NULL FROM supplier)"""
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+SUPPLIER = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
+MERGED = f"""merged AS (
+  SELECT {', '.join(CUSTOMER)}, {', '.join('NULL AS ' + c for c in SUPPLIER)}, NULL AS topic FROM customer
+  UNION ALL SELECT {', '.join('NULL' for _ in CUSTOMER)}, {', '.join(SUPPLIER)}, NULL FROM supplier)"""
 
 
 @query("null_profile", f"WITH {MERGED} " + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS null_count, COUNT({c}) > 0 AS has_data FROM merged"
-    for c in ["c_custkey", "c_mktsegment", "s_suppkey", "s_acctbal", "topic"]) + " ORDER BY 2 DESC, 1 LIMIT 10")
+    for c in [*CUSTOMER, *SUPPLIER, "topic"]) + " ORDER BY 2 DESC, 1 LIMIT 10")
 def null_profile(spark, sf):
     merged = union.union_merge_schema(
-        table(spark, sf, "customer").select("c_custkey", "c_mktsegment"),
-        table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"),
+        table(spark, sf, "customer"), table(spark, sf, "supplier")
     ).withColumn("topic", F.lit(None).cast("string"))
     return pr.most_nulls(merged)
 

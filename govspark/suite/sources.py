@@ -118,15 +118,16 @@ def partition_pruned_scan(spark, sf):
 
 
 @query("vector_table_write", """
-WITH cut AS (SELECT doc_id, source, length(text) // 4 AS step, text, unnest([0, 1, 2]) AS i FROM documents),
-kept AS (SELECT source FROM cut WHERE length(trim(substr(text, i * step + 1, 3000), ' ' || chr(9) || chr(10) || chr(13))) > 200)
-SELECT source AS collection, COUNT(*) AS chunks, COUNT(*) AS chunk_ids, 256 AS dim FROM kept GROUP BY source""")
+SELECT source AS collection, COUNT(*) AS documents, CAST(SUM(length(regexp_replace(text, '\\s', '', 'g'))) AS BIGINT) AS letters, TRUE AS distinct_ids, 256 AS dim
+FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY source""")
 def vector_table_write(spark, sf):
+    """Whole texts: recursive chunks, vectors, one stored collection per source."""
     path = run_dir(spark, "vectors")
-    chunks = chunk.chunk_fixed(spread_scan(table(spark, sf, "documents"))).withColumnRenamed("source", "collection")
+    chunks = chunk.chunk_recursive(spread_scan(table(spark, sf, "documents")), size=200, overlap=0).withColumnRenamed("source", "collection")
     sinks.write_vectors(vector.hash_embeddings(chunks), path)
+    letters = F.sum(F.length(F.regexp_replace("content", r"\s", ""))).alias("letters")
     return spark.read.parquet(path).groupBy("collection").agg(
-        F.count(F.lit(1)).alias("chunks"), F.countDistinct("chunk_id").alias("chunk_ids"), F.max(F.size("embedding")).alias("dim"))
+        F.countDistinct("doc_id").alias("documents"), letters, (F.countDistinct("chunk_id") == F.count(F.lit(1))).alias("distinct_ids"), F.max(F.size("embedding")).alias("dim"))
 
 
 HEADED_SQL = """
@@ -281,7 +282,7 @@ SELECT event_id, unnest(['kind', 'onchaininfo_totals_amount_paid', 'onchaininfo_
   unnest([event_type, CAST(value AS VARCHAR), CAST(user_id AS VARCHAR), CAST(user_id + 1 AS VARCHAR), CAST(json_extract(props, '$.k') AS VARCHAR)]) AS value FROM events
 UNION ALL SELECT event_id, unnest(['tags_0', 'tags_1']), unnest([CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR)]) FROM events WHERE event_type = 'purchase'""")
 def flatten_long(spark, sf):
-    flat = flatten.flatten_long(nested(spark, sf), "event_id", "record", max_depth=4)
+    flat = flatten.flatten_long(nested(spark, sf), "event_id", "record")
     number = F.when(F.col("path").like("%amount_paid"), F.col("value").cast("double").cast("string")).otherwise(F.col("value"))
     return flat.select("event_id", "path", number.alias("value"))
 
@@ -298,4 +299,4 @@ def json_text_leaves(spark, sf):
     record = F.struct(
         F.concat_ws(" ", "source", F.lit("in"), "lang", F.lit("text")).alias("title"), t.lines(F.col("text")).alias("lines"))
     docs = spread_scan(table(spark, sf, "documents")).select("doc_id", F.to_json(record).alias("record"))
-    return flatten.text_leaves(docs, "doc_id", "record", max_depth=2).select("doc_id", "extract")
+    return flatten.text_leaves(docs, "doc_id", "record").select("doc_id", "extract")

@@ -13,21 +13,28 @@ from govspark.suite.registry import query
 LIMIT = 2
 
 
+def empty_folder(spark):
+    """A folder with a table of no rows, where the closing row will land."""
+    path = run_dir(spark, "end")
+    spark.createDataFrame([], quota.REQUESTS).coalesce(1).write.parquet(path)
+    return path
+
+
 @query("quota_stream", f"""
 WITH counted AS (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, COUNT(*) AS requests FROM events GROUP BY 1, 2)
 SELECT user_id, window_start, requests, least(requests, {LIMIT}) AS allowed, requests - least(requests, {LIMIT}) AS refused,
        {LIMIT} - least(requests, {LIMIT}) AS remaining
-FROM counted WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+FROM counted""")
 def quota_stream(spark, sf):
-    stream = quota.quota_stream(quota.request_stream(spark, sf, "events.parquet"), LIMIT)
-    closed = run_to_table(stream, "quota-stream")
+    last = empty_folder(spark)
+    stream = quota.quota_stream(quota.request_stream(spark, sf, "events.parquet", end=last), LIMIT)
+    closed = run_to_table(stream, "quota-stream", lambda: quota.end_requests(spark, last))
     return closed.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("quota_stateful", f"""
 WITH RECURSIVE seconds AS (SELECT user_id, date_trunc('second', ts) AS second, COUNT(*) AS requests FROM events GROUP BY 1, 2),
-closed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY second) AS i FROM seconds
-           WHERE second + INTERVAL 1 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES),
+closed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY second) AS i FROM seconds),
 walk AS (SELECT user_id, second, requests, i, second AS opened, CAST(0 AS BIGINT) AS before FROM closed WHERE i = 1
   UNION ALL SELECT c.user_id, c.second, c.requests, c.i,
     CASE WHEN c.second >= w.opened + INTERVAL 1 HOUR THEN c.second ELSE w.opened END,
@@ -35,9 +42,10 @@ walk AS (SELECT user_id, second, requests, i, second AS opened, CAST(0 AS BIGINT
   FROM walk w JOIN closed c ON c.user_id = w.user_id AND c.i = w.i + 1)
 SELECT user_id, second, requests, least(requests, greatest(0, {LIMIT} - before)) AS allowed, greatest(0, {LIMIT} - before - requests) AS remaining FROM walk""")
 def quota_stateful(spark, sf):
-    quota.use_rocksdb(spark)
-    stream = quota.anchored_quota(quota.request_stream(spark, sf, "events.parquet"), LIMIT)
-    decided = run_to_table(stream, "quota-stateful")
+    last = empty_folder(spark)
+    stream = quota.anchored_quota(quota.request_stream(spark, sf, "events.parquet", end=last), LIMIT)
+    with quota.rocksdb(spark):
+        decided = run_to_table(stream, "quota-stateful", lambda: quota.end_requests(spark, last))
     return decided.withColumn("second", F.col("second").cast("timestamp_ntz"))
 
 

@@ -35,14 +35,35 @@ def chunk_recursive(spark, sf):
     return chunk.chunk_recursive(docs(spark, sf), size=200, overlap=40)
 
 
+# A chunker is no SQL, but whole texts without overlap must come out letter by letter.
+LETTERS = "length(regexp_replace(text, '\\s', '', 'g'))"
+
+
+def whole_chunks(spark, sf, size=200):
+    chunks = chunk.chunk_recursive(docs(spark, sf), size=size, overlap=0)
+    return chunks.withColumn("letters", F.length(F.regexp_replace("content", r"\s", "")).cast("bigint"))
+
+
+@query("chunk_cover", f"""
+SELECT doc_id, md5(regexp_replace(text, '\\s', '', 'g')) AS digest, TRUE AS numbered FROM documents WHERE {LETTERS} > 0""")
+def chunk_cover(spark, sf):
+    """All chunks of a document, put together again, are its text."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
+    joined = whole_chunks(spark, sf).groupBy("doc_id").agg(parts.alias("parts"), F.max("total_chunks").alias("n"))
+    text = F.regexp_replace(F.array_join(F.col("parts.content"), ""), r"\s", "")
+    numbered = F.col("parts.chunk_index") == F.sequence(F.lit(0), F.col("n") - 1)
+    return joined.select("doc_id", F.md5(text).alias("digest"), numbered.alias("numbered"))
+
+
 @query("filter_chunk_tokens", f"""
-WITH cut AS (SELECT doc_id, length(text) // 4 AS step, text, unnest([0, 1, 2]) AS i FROM documents),
-chunks AS (SELECT doc_id, i, trim(substr(text, i * step + 1, 3000), {B}) AS content FROM cut)
-SELECT doc_id, i AS chunk_index, length(content) // 4 AS chunk_tokens FROM chunks
-WHERE length(content) > 200 AND length(content) // 4 BETWEEN 100 AND 500""")
+SELECT doc_id, {LETTERS} AS letters, TRUE AS in_bounds FROM documents WHERE {LETTERS} > 0""")
 def filter_chunk_tokens(spark, sf):
-    chunks = chunk.with_tokens(chunk.chunk_fixed(docs(spark, sf)))
-    return chunk.filter_by_tokens(chunks, 100, 500).select("doc_id", "chunk_index", "chunk_tokens")
+    """What the filter keeps and what it drops make up each text, and what it keeps is in bounds."""
+    chunks = whole_chunks(spark, sf)
+    kept = chunk.filter_by_tokens(chunks, 50, 200).withColumn("fits", F.col("chunk_size").between(200, 803))
+    dropped = chunks.where((F.col("chunk_tokens") < 50) | (F.col("chunk_tokens") > 200)).withColumn("fits", F.lit(True))
+    both = kept.unionByName(dropped).groupBy("doc_id")
+    return both.agg(F.sum("letters").alias("letters"), F.every("fits").alias("in_bounds"))
 
 
 @query("chunk_fixed", f"""
@@ -54,23 +75,32 @@ def chunk_fixed(spark, sf):
     return chunk.chunk_fixed(docs(spark, sf))
 
 
-CHUNK_SQL = f"""
-cut AS (SELECT doc_id, source, length(text) // 4 AS step, text, unnest([0, 1, 2]) AS i FROM documents),
-chunks AS (SELECT source, length(content) AS n, length(content) // 4 AS t
-           FROM (SELECT source, trim(substr(text, i * step + 1, 3000), {B}) AS content FROM cut) WHERE length(content) > 200)
-"""
-CHUNK_STATS = """COUNT(*) AS total_chunks, ROUND(AVG(n), 6) AS average_chunk_size, MIN(n) AS min_chunk_size, MAX(n) AS max_chunk_size,
-  ROUND(AVG(t), 6) AS average_tokens, MIN(t) AS min_tokens, MAX(t) AS max_tokens, CAST(SUM(t) AS BIGINT) AS total_tokens"""
+def stats_agree(stats):
+    """What holds of any chunks of whole texts without overlap: averages are sums by counts, no chunk is too large."""
+    tokens = F.round(F.col("total_tokens") / F.col("total_chunks"), 6) == F.col("average_tokens")
+    ordered = F.col("min_chunk_size").between(1, F.col("average_chunk_size")) & (F.col("average_chunk_size") <= F.col("max_chunk_size"))
+    return tokens & ordered & (F.col("max_tokens") <= 200)
+
+
+def letters_and_stats(spark, sf, by):
+    # each chunk counts its letters as its size, so that sums can be compared with those of the texts
+    chunks = whole_chunks(spark, sf)
+    stats = chunk.chunk_stats(chunks, by)
+    letters = chunk.chunk_stats(chunks.withColumn("chunk_tokens", F.col("letters")), by)
+    keys = [by] if by else []
+    agree = stats.select(*keys, stats_agree(stats).alias("agree"))
+    total = letters.select(*keys, F.col("total_tokens").cast("bigint").alias("letters"))
+    return agree.join(total, by) if by else agree.withColumn("letters", total.select("letters").scalar())
 
 
-@query("chunk_stats", f"WITH {CHUNK_SQL} SELECT {CHUNK_STATS} FROM chunks")
+@query("chunk_stats", f"SELECT CAST(SUM({LETTERS}) AS BIGINT) AS letters, TRUE AS agree FROM documents WHERE {LETTERS} > 0")
 def chunk_stats(spark, sf):
-    return chunk.chunk_stats(chunk.with_tokens(chunk.chunk_fixed(docs(spark, sf))))
+    return letters_and_stats(spark, sf, None)
 
 
-@query("chunk_stats_by_source", f"WITH {CHUNK_SQL} SELECT source, {CHUNK_STATS} FROM chunks GROUP BY source")
+@query("chunk_stats_by_source", f"SELECT source, CAST(SUM({LETTERS}) AS BIGINT) AS letters, TRUE AS agree FROM documents WHERE {LETTERS} > 0 GROUP BY source")
 def chunk_stats_by_source(spark, sf):
-    return chunk.chunk_stats(chunk.with_tokens(chunk.chunk_fixed(docs(spark, sf))), "source")
+    return letters_and_stats(spark, sf, "source")
 
 
 DELIMITERS = [*chunk.PARAGRAPH_DELIMITERS, "\n"]
@@ -117,10 +147,13 @@ def text_section_samples(spark, sf):
     return sections.select("doc_id", "section", F.explode(samples).alias("sample")).distinct()
 
 
-@query("embed_chunks")
+@query("embed_chunks", f"SELECT doc_id, {LETTERS} AS letters, TRUE AS unit, 256 AS dim FROM documents WHERE {LETTERS} > 0")
 def embed_chunks(spark, sf):
-    embedded = hash_embeddings(chunk.chunk_fixed(docs(spark, sf)))
-    return embedded.select("doc_id", "chunk_index", "embedding")
+    """One vector of length one for every chunk of every text that has a word."""
+    embedded = hash_embeddings(whole_chunks(spark, sf))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x)
+    unit = (F.abs(norm - 1) < 1e-5) | ~F.col("content").rlike(r"\w")
+    return embedded.groupBy("doc_id").agg(F.sum("letters").alias("letters"), F.every(unit).alias("unit"), F.max(F.size("embedding")).alias("dim"))
 
 
 @query("topic_terms", f"""

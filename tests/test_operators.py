@@ -109,9 +109,15 @@ def test_flatten_long(spark):
     assert got == {(i, path, as_text(v)) for i, value in NESTED for path, v in flat(value)}
 
 
-def test_flatten_long_keeps_what_is_too_deep(spark):
-    df = spark.createDataFrame([(1, '{"a":{"b":{"c":1}}}')], "id int, record string")
-    assert [tuple(r) for r in flatten.flatten_long(df, "id", "record", 2).select("path", "value").collect()] == [("a_b", '{"c":1}')]
+def test_flatten_long_at_any_depth(spark):
+    record = json.dumps({"k[{": "]}\\\"["})
+    for _ in range(12):
+        record = f'{{"a":[{record}]}}'
+    df = spark.createDataFrame([(1, record), (2, "7"), (3, "{}")], "id int, record string")
+    got = [tuple(r) for r in flatten.flatten_long(df, "id", "record").select("id", "path", "value").collect()]
+    assert sorted(got) == [(1, "a_0_" * 12 + "k", ']}\\"['), (2, "", "7")]
+    with pytest.raises(ValueError, match="25 deep"):
+        flatten.flatten_long(df, "id", "record", 24)
 
 
 def test_flatten_wide(spark):
@@ -121,8 +127,10 @@ def test_flatten_wide(spark):
     row = flatten.flatten_wide(parsed).where("id = 0").first().asDict()
     expected = {"id": 0, **{k: v for k, v in flat(records[0])}}
     assert {k: float(v) if k == "m_d_e" else v for k, v in row.items() if v is not None} == expected
-    capped = flatten.flatten_wide(parsed, max_array=2).where("id = 0").first()
-    assert capped["a_0_b_rest"] == "[3]"
+    with pytest.raises(ValueError, match="longer than 2"):
+        flatten.flatten_wide(parsed, max_array=2)
+    long = spark.createDataFrame([([{"v": i} for i in range(40)],)], "t array<struct<v:int>>")
+    assert list(flatten.flatten_wide(long).first()) == list(range(40))
 
 
 def test_flatten_wide_collision(spark):

@@ -9,7 +9,7 @@ import pytest
 from govspark.suite import QUERIES
 
 PYTHON_QUERIES = {
-    "chunk_recursive", "vector_topk", "vector_topk_filtered", "vector_topk_batch", "rerank_flagged", "retrieval_confidence",
+    "chunk_recursive", "chunk_cover", "chunk_stats", "chunk_stats_by_source", "filter_chunk_tokens", "embed_chunks", "vector_topk", "vector_topk_filtered", "vector_topk_batch", "rerank_flagged", "retrieval_confidence",
     "vector_lsh", "search_documents", "answer_inputs", "pick_collection", "merge_collections", "filter_min_score", "extract_sources", "pack_context", "context_gate",
 }
 RUNS_JOBS_FIRST = {"quota_stream", "quota_stateful", "incremental_load"}

@@ -32,7 +32,7 @@ def requests(n, users, seed):
 
 def test_anchored_quota_over_batches(spark, tmp_path):
     rows = requests(600, 5, 4)
-    quota.use_rocksdb(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", quota.ROCKSDB)
     stream = quota.request_stream(spark, landed(spark, tmp_path, "req", rows, 4), files_per_batch=1)
     got = run_to_table(quota.anchored_quota(stream, 3, 3600, "1 minute"), "anchored").collect()
     per_second: dict = {}
