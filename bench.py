@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from govspark.session import local_session
@@ -33,7 +34,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if wanted == "all" else wanted.split(",") if wanted else HEADLINE
-    spark = local_session(cores)
+    spark = local_session(cores, checkpoint_dir=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("OFF")
     seconds = {}
     for name in names:

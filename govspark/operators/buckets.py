@@ -17,6 +17,8 @@ from govspark.operators import vector
 from govspark.scratch import settle
 
 BITS, SEED = 6, 17
+#: Queries that may be probed at once.
+MAX_QUERIES = 10_000
 
 
 def planes(dim: int, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -35,7 +37,7 @@ def write_bucketed(vectors: DataFrame, path: str, bits: int = BITS) -> None:
                     [batch.column("vec_id"), batch.column("embedding"), pa.array(codes, pa.int32())], ["vec_id", "embedding", "bucket"]
                 )
 
-    coded = vectors.select("vec_id", "embedding").mapInArrow(code, "vec_id bigint, embedding array<float>, bucket int")
+    coded = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(code, "vec_id bigint, embedding array<float>, bucket int")
     coded.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
@@ -51,10 +53,13 @@ def probed_buckets(query: np.ndarray, probes: int, bits: int = BITS) -> list[int
 def approx_topk(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, probes: int = 16, bits: int = BITS) -> DataFrame:
     """The k nearest vectors in the probed buckets; queries for which these hold fewer than k are searched exactly.
 
-    Meant for few queries: their buckets become a partition filter.
+    Meant for few queries: their buckets become a partition filter. More than ``MAX_QUERIES`` are an error.
     """
+    asked = queries.limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: search the whole table instead")
     stored = spark.read.parquet(path)
-    wanted = sorted({b for q in queries.collect() for b in probed_buckets(np.array(q["embedding"]), probes, bits)})
+    wanted = sorted({b for q in asked for b in probed_buckets(np.array(q["embedding"]), probes, bits)})
     near = settle(vector.topk(stored.where(F.col("bucket").isin(wanted)), queries, k), "near")
     full = near.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     short = queries.join(full, "query_id", "left_anti")

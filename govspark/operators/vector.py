@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that one task may hold, as 8-byte numbers; more are searched block against block.
 MAX_QUERY_BYTES = 32 * 1024 * 1024
+#: Scores held at once while vectors meet queries.
+SCORE_CELLS = 2_000_000
 SCORE_DIGITS = 6
 
 
@@ -23,6 +25,15 @@ def _scores(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.round(1.0 - squared, SCORE_DIGITS)
 
 
+def _columns(vectors: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, scores of all vectors) one query after another, computed in tiles of at most about SCORE_CELLS numbers."""
+    step = max(1, SCORE_CELLS // max(1, len(vectors)))
+    for first in range(0, len(queries), step):
+        tile = _scores(vectors, queries[first : first + step])
+        for q in range(tile.shape[1]):
+            yield first + q, tile[:, q]
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Index of the k best, by score and then by id."""
     if len(scores) > k:
@@ -52,11 +63,10 @@ def _search_few(vectors: DataFrame, query_ids: list, queries: np.ndarray, k: int
             if batch.num_rows == 0:
                 continue
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            scores = _scores(_matrix(batch.column("embedding")), queries)
-            for q, (old_ids, old_scores) in enumerate(kept):
-                best = _best(ids, scores[:, q], k)
-                all_ids = np.concatenate([old_ids, ids[best]])
-                all_scores = np.concatenate([old_scores, scores[best, q]])
+            for q, scores in _columns(_matrix(batch.column("embedding")), queries):
+                best = _best(ids, scores, k)
+                all_ids = np.concatenate([kept[q][0], ids[best]])
+                all_scores = np.concatenate([kept[q][1], scores[best]])
                 top = _best(all_ids, all_scores, k)
                 kept[q] = (all_ids[top], all_scores[top])
         yield pa.RecordBatch.from_pydict(
@@ -78,10 +88,10 @@ def _search_blocks(vectors: DataFrame, queries: DataFrame, k: int, vector_blocks
         out = []
         if len(left) and len(right):
             ids = left["vec_id"].to_numpy()
-            scores = _scores(np.stack(left["embedding"]).astype(np.float64), np.stack(right["embedding"]).astype(np.float64))
-            for q, query_id in enumerate(right["query_id"]):
-                best = _best(ids, scores[:, q], k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": scores[best, q]}))
+            query_ids = right["query_id"].to_numpy()
+            for q, scores in _columns(np.stack(left["embedding"]).astype(np.float64), np.stack(right["embedding"]).astype(np.float64)):
+                best = _best(ids, scores, k)
+                out.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[best], "score": scores[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     def block(key: str, n: int) -> Column:
@@ -116,6 +126,8 @@ def topk(
     small query table, judged by its size, travels with the task; a larger one is searched in blocks.
     """
     searched = vectors if where is None else vectors.where(where)
+    searched = searched.withColumn("vec_id", F.col("vec_id").cast("bigint"))
+    queries = queries.withColumn("query_id", F.col("query_id").cast("bigint"))
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     if not size["n"]:
         return searched.select(

@@ -29,9 +29,12 @@ def scan_json_envelope(spark, sf):
     return scans.scan_envelopes(spark, event_files(spark, sf), EVENT_ITEM, multi_line=False)
 
 
-@query("scan_file_report")
+@query("scan_file_report", "SELECT event_type AS network, COUNT(*) AS items, CAST(0 AS BIGINT) AS damaged, TRUE AS success FROM events GROUP BY 1")
 def scan_file_report(spark, sf):
-    return scans.file_report(spark, event_files(spark, sf), EVENT_ITEM, multi_line=False)
+    """Files are named by chance, so the report is added up by the network whose folder they lie in."""
+    report = scans.file_report(spark, event_files(spark, sf), EVENT_ITEM, multi_line=False)
+    network = F.regexp_extract("file", "file_network=([^/]+)/", 1).alias("network")
+    return report.groupBy(network).agg(F.sum("items").alias("items"), F.sum("damaged").alias("damaged"), F.every("success").alias("success"))
 
 
 @query("sink_json_batched", """

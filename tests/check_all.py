@@ -20,7 +20,7 @@ from tests.compare import connect, difference  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     wanted = [n for n in QUERIES if not sys.argv[1:] or any(n.startswith(a) for a in sys.argv[1:])]
-    spark = local_session(8)
+    spark = local_session(os.environ.get("TEST_CPUS", "8"))
     spark.sparkContext.setLogLevel("OFF")
     spark.conf.set("spark.sql.session.timeZone", os.environ.get("SESSION_TZ", "UTC"))
     con = connect(sf_dir)

@@ -11,10 +11,10 @@ SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from govspark.session import local_session
 
-    session = local_session(os.environ.get("TEST_CPUS", "8"))
+    session = local_session(os.environ.get("TEST_CPUS", "8"), checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
