@@ -42,6 +42,8 @@ BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 SHORT_BYTES, SHORT_PARTS = 4, 32
 #: Text (bytes) whose bigrams a task adds up before it hands them on.
 COMBINE_BYTES = 32 << 20
+#: A bigram's count takes one byte; from this number on it stands in a file of its own beside.
+LARGE = 255
 #: Buckets of the model per partition of the input.
 BUCKETS_PER_PART = 2
 
@@ -139,7 +141,10 @@ def _store_bigrams(bigrams: DataFrame, folder: str) -> DataFrame:
         marks = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order], [-1]])))
         for a, b in zip(marks, marks[1:]):
             rows = order[a:b]
-            _write(folder, "pair", int(bucket[rows[0]]), key=pairs[rows], c=c[rows].astype(np.uint32))
+            _write(folder, "pair", int(bucket[rows[0]]), key=pairs[rows], c=np.minimum(c[rows], LARGE).astype(np.uint8))
+            rows = rows[c[rows] >= LARGE]
+            if len(rows):
+                _write(folder, "large", int(bucket[rows[0]]), key=pairs[rows], c=c[rows])
         yield statistics(v, w, c)
 
     return bigrams.mapInArrow(run, ", ".join(f"{name} long" for name in _STATISTICS))
@@ -253,8 +258,12 @@ def score_batch(texts: pa.Array, model: dict) -> tuple[np.ndarray, ...]:
     _, once, back = np.unique(pairs, return_index=True, return_inverse=True)
     bucket = _bucket(before[once], token[once], short[once], buckets)
     order = np.lexsort((pairs[once], bucket))
+    bucket, key = bucket[order], pairs[once][order]
+    sorted_count = _lookup(model, "pair", bucket, key, {"c": (np.int64, 0)})["c"]
+    large = np.flatnonzero(sorted_count == LARGE)
+    sorted_count[large] = _lookup(model, "large", bucket[large], key[large], {"c": (np.int64, 0)})["c"]
     count = np.empty(len(once), np.int64)
-    count[order] = _lookup(model, "pair", bucket[order], pairs[once][order], {"c": (np.int64, 0)})["c"]
+    count[order] = sorted_count
     c = count[back]
     total = found["total"][v]
     seen = (c - _discount(c, model["discounts"])) / np.maximum(1, total)

@@ -59,7 +59,7 @@ def test_against_brute_force(spark):
     rng = random.Random(2)
     vocabulary = ["The", "of", "é", "longer-word", "x"] + [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(rng.choice(vocabulary[: rng.choice([5, 45])]) for _ in range(rng.randint(0, 60))), i % 4 != 0) for i in range(80)]
-    rows += [(100, None, True), (101, "", False), (102, "never seen words", False), (104, "\n", True)]
+    rows += [(100, None, True), (101, "", False), (102, "never seen words", False), (104, "\n", True), (105, "w1 w2 " * 300, True)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, train boolean, c int")
     truth = brute(rows)
     got = score(df, F.col("train")).collect()
