@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from govspark.functions.links import NETWORKS
 from govspark.functions.text import let, lines, strip
-from govspark.operators.ordered import running
+from govspark.operators.ordered import positions, running
 
 # Header marks, the separator line, the number of lines and topics that are read.
 TITLE, URL, TYPE, DESCRIPTION = "Title: ", "URL: ", "Type: ", "Description: "
@@ -141,15 +141,29 @@ def text_before_json(files: DataFrame) -> DataFrame:
     return files.where(F.col("extension") == "txt").unionByName(kept)
 
 
+def _pieces(files: DataFrame, group: str, order: str, title: str, content: str) -> DataFrame:
+    piece = F.concat(F.lit("\n\n--- FILE: "), F.col(title), F.lit(" ---\n"), F.col(content))
+    return files.where(strip(F.col(content)) != "").select(group, order, piece.alias("piece"))
+
+
+def combined_pieces(files: DataFrame, order: str, title: str, content: str, group: str | None = None) -> DataFrame:
+    """A combined document as ordered pieces: one row per file with its place, whatever the size of the document.
+
+    Without a group all files make one document.
+    """
+    name = group or "_all"
+    grouped = files if group else files.withColumn(name, F.lit(0))
+    numbered = positions(_pieces(grouped, name, order, title, content), [name], [order], "position")
+    return numbered.select(*([group] if group else []), "position", "piece")
+
+
 def combine_by_group(files: DataFrame, group: str, order: str, title: str, content: str, part_chars: int = PART_CHARS) -> DataFrame:
     """All files of a group as one document, in parts.
 
     A document of a large group would not fit one row, so it comes as numbered parts whose texts, joined by line
     breaks in order, are the document. A part holds about ``part_chars`` characters and never cuts a file.
     """
-    present = files.where(strip(F.col(content)) != "")
-    piece = F.concat(F.lit("\n\n--- FILE: "), F.col(title), F.lit(" ---\n"), F.col(content))
-    pieces = present.select(group, order, piece.alias("piece"))
+    pieces = _pieces(files, group, order, title, content)
     measured = running(pieces, [group], [order], {"end": F.length("piece") + F.lit(1)})
     start = F.col("end") - F.length("piece") - 1
     return (

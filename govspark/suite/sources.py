@@ -255,6 +255,21 @@ def combine_by_group(spark, sf):
     return d.combine_by_group(files, "source", "doc_id", "title", "text", COMBINE_CHARS)
 
 
+PIECES_SQL = f"SELECT *, chr(10) || chr(10) || '--- FILE: doc' || doc_id || ' ---' || chr(10) || text AS piece FROM documents WHERE trim(text, {B}) <> ''"
+
+
+@query("combine_pieces", f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position, piece FROM ({PIECES_SQL})")
+def combine_pieces(spark, sf):
+    files = table(spark, sf, "documents").withColumn("title", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    return d.combined_pieces(files, "doc_id", "title", "text", "source")
+
+
+@query("combine_all", f"SELECT row_number() OVER (ORDER BY doc_id) AS position, piece FROM ({PIECES_SQL})")
+def combine_all(spark, sf):
+    files = table(spark, sf, "documents").withColumn("title", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    return d.combined_pieces(files, "doc_id", "title", "text")
+
+
 def nested(spark, sf):
     """Events as nested JSON records."""
     extra = F.when(F.col("event_type") == "purchase", F.array(F.col("user_id"), F.col("event_id")))
