@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality, near duplicates, repeated spans, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next one's docs. All but
-the last return the columns of ``documents``. There is no SQL twin: two stages cannot be said in SQL.
+the last return the columns of ``documents``. A row without a key goes through all stages unjudged and uncut.
+There is no SQL twin: two stages cannot be said in SQL.
 """
 
 from __future__ import annotations

@@ -128,6 +128,6 @@ def contamination(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` without a match."""
+    """The rows of ``docs`` whose key has no match. No match can name a row without a key: it stays, whatever its text."""
     dirty = contamination(docs, benchmark, key, text, **how).filter("n_hit > 0").select(key).distinct()
     return docs.join(dirty, key, "left_anti")

@@ -203,6 +203,7 @@ def similarity_components(
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its component."""
-    kept = similarity_components(docs, key, text, **how).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi")
+    """The rows of ``docs`` but those whose key is not the smallest of its component. A row without a key is in no
+    component and stays."""
+    later = settle(similarity_components(docs, key, text, **how).filter(F.col(key) != F.col("component_id")).select(key).distinct(), "later")
+    return docs.join(broadcast_ids(later), key, "left_anti")

@@ -159,6 +159,6 @@ def score(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that are not rejected."""
+    """The rows of ``docs`` whose key is not rejected. A row without a key is scored, but no rejection can name it: it stays."""
     rejected = settle(score(docs, labels, key, **how).filter("NOT keep").select(key).distinct(), "rejected")
     return docs.join(rejected, key, "left_anti")

@@ -60,3 +60,15 @@ def test_stages_keep_the_columns(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(40)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_stages_keep_rows_without_a_key(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    leak = table(spark, sf_dir, "benchmark").filter("length(text) > 0").select("text")
+    texts = leak.unionByName(docs.filter("length(text) > 0").select("text").limit(3)).limit(5)
+    loose = texts.unionByName(texts).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
+    loose = spark.createDataFrame(loose.collect() + [(None, None, "en", "s", None)], docs.select(*loose.columns).schema)
+    few = docs.select(*loose.columns).limit(40).unionByName(loose)
+    expected = sorted(map(repr, loose.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert sorted(map(repr, stage(spark, few, sf_dir).filter("doc_id IS NULL").collect())) == expected, name
