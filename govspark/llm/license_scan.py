@@ -4,7 +4,7 @@ A text is made canonical: lower case, equivalent spellings joined, copyright lin
 out, single spaces. Its digest is looked up among those of known licences by a hash join. The same is done for every line,
 whose digest is looked up among known licence notices. Only lines as long as a known notice are kept for the join.
 
-The known texts are a table of the caller's or ``KNOWN``; their digests travel to every task only while their counted
+The known texts are a table of the caller's or ``catalogue()``; their digests travel to every task only while their counted
 number is within ``BROADCAST_ROWS``. The documents' text is never shuffled.
 
 Defined results: a null, blank or wholly copyright text has the digest null and no licence; known texts that become equal
@@ -14,6 +14,8 @@ often as they go in, and repeated keys share what is found under any of their ro
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,57 @@ KNOWN = (
     ("BSD-3-Clause", "line", "SPDX-License-Identifier: BSD-3-Clause"),
 )
 
+#: Usual headings of the short licences.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "License: MIT", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "0BSD": ("0BSD", "BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": (
+        "BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause", "The 2-Clause BSD License", "2-Clause BSD License", 'BSD 2-Clause "Simplified" License',
+        "Simplified BSD License", "The Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License",
+    ),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause", "The 3-Clause BSD License", "3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License',
+        "New BSD License", "The New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License",
+    ),
+}
+#: Marks of the conditions: digits, letters, roman digits; of bullets and dashes the canonical form keeps nothing.
+MARKS = (("1. ", "2. ", "3. "), ("", "", ""), ("a. ", "b. ", "c. "), ("i. ", "ii. ", "iii. "))
+#: What follows these lines in a whole text is advice on its use, often left out; the line itself stays or goes.
+ENDS = ("END OF TERMS AND CONDITIONS", "ADDENDUM: How to use this License for your documents", "Exhibit A - Source Code Form License Notice")
+
+
+def catalogue() -> list[tuple[str, str, str]]:
+    """``KNOWN``; the short licences under all ``TITLES`` and none, with all ``MARKS``; the texts in ``licenses``, whole and up to ``ENDS``."""
+    plain = [
+        ("MIT", f"{_MIT_GRANT}\n{_MIT_WARRANTY}"),
+        ("0BSD", f"{_ISC_GRANT}.\n{_ISC_WARRANTY}"),
+        ("0BSD", f"{_ISC_GRANT}.\n{_ISC_WARRANTY}".replace("and/or distribute", "and distribute")),
+    ]
+    for notice in (", provided", " provided"):
+        for verbs in ("and/or distribute", "and distribute"):
+            plain.append(("ISC", f"{_ISC_GRANT}{notice} that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}".replace("and/or distribute", verbs)))
+    holders = (("copyright holder", "COPYRIGHT HOLDER"), ("University", "REGENTS"))
+    for marks in MARKS:
+        two, three = _BSD_2, _BSD_3.replace("3. ", marks[2])
+        for number, mark in zip(("1. ", "2. "), marks):
+            two = two.replace(f"\n{number}", f"\n{mark}")
+        for name, shout in holders:
+            warranty = _BSD_WARRANTY.replace("COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS" if shout == "COPYRIGHT HOLDER" else shout).replace("THE COPYRIGHT HOLDER OR", f"THE {shout} OR")
+            plain.append(("BSD-2-Clause", f"{two}\n{warranty}"))
+            plain.append(("BSD-3-Clause", f"{two}\n{three.replace('copyright holder', name)}\n{warranty}"))
+    rows = [(name, "text", f"{title}\n{text}") for name, text in plain for title in ("", *TITLES[name])]
+    for file in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            text = file.read_text(encoding="utf-8")
+            rows.append((file.name.removesuffix(".txt"), "text", text))
+            for end in ENDS:
+                if end in text:
+                    head = text[: text.index(end)]
+                    rows += [(file.name.removesuffix(".txt"), "text", t) for t in (head, f"{head}{end}")]
+    return [*KNOWN, *rows]
+
+
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
@@ -78,8 +131,8 @@ def canonical_text(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def known_licenses(spark: SparkSession, rows=KNOWN) -> DataFrame:
-    return spark.createDataFrame(rows, "license string, kind string, text string")
+def known_licenses(spark: SparkSession, rows=None) -> DataFrame:
+    return spark.createDataFrame(catalogue() if rows is None else rows, "license string, kind string, text string")
 
 
 def _digests(known: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from importlib import resources
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,20 @@ def test_licences(spark):
         (1, False, ("MIT",), ()), (1, False, ("MIT",), ()), (2, True, (), ()), (3, True, (), ()), (4, False, (), ("MIT",)), (5, False, (), ()), (6, False, (), ()),
     ]
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string"), license_scan.known_licenses(spark)).collect() == []
+
+
+def test_whole_licences_titles_and_list_marks(spark):
+    whole = {f.name.removesuffix(".txt"): f.read_text() for f in resources.files(license_scan.__package__).joinpath("licenses").iterdir()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(whole)
+    end = "END OF TERMS AND CONDITIONS"
+    head = "Copyright (c) 2020, Someone\nAll rights reserved.\n\n"
+    two, three, warranty = license_scan._BSD_2, license_scan._BSD_3, license_scan._BSD_WARRANTY
+    bullets = f"{two}\n{three}".replace("1. ", " * ").replace("2. ", " * ").replace("3. ", " * ")
+    rows = [(f"{name}", text) for name, text in whole.items()]
+    rows += [(name, whole[name].split(end)[0] + tail) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1") for tail in ("", end)]
+    rows += [("GPL-3.0", "\n\n".join(" ".join(line.split()) for line in whole["GPL-3.0"].split("\n"))), ("BSD-3-Clause", f"BSD 3-Clause License\n\n{head}{two}\n\n{three}\n\n{warranty}")]
+    rows += [("BSD-3-Clause", f"{head}{bullets}\n{warranty}"), ("BSD-3-Clause", f"The BSD 3-Clause License\n{head}{bullets}\n{warranty}"), ("BSD-2-Clause", f"BSD 2-Clause License\n{head}{two}\n{warranty}")]
+    rows += [("MIT", f"The MIT License\n{head}{license_scan._MIT_GRANT}\n{license_scan._MIT_WARRANTY}"), ("", f"BSD 3-Clause License\n{two} more"), ("", whole["GPL-3.0"].replace("free", "dear"))]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    found = dict(license_scan.scan(docs, license_scan.known_licenses(spark)).select("doc_id", F.array_join("text_licenses", ",")).collect())
+    assert [found[i] for i in range(len(rows))] == [name for name, _ in rows]
