@@ -18,6 +18,7 @@ from govspark.llm import (
     quality,
     sharding,
     substring_dedup,
+    tokenizer_alignment,
     url_templates,
 )
 from govspark.sources.tables import table
@@ -117,3 +118,9 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     found = language_model.score(table(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+@register
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return tokenizer_alignment.align(table(spark, sf_dir, "documents"), a, b)
