@@ -17,6 +17,7 @@ from govspark.llm import (
     license_scan,
     quality,
     sharding,
+    spelling,
     substring_dedup,
     tokenizer_alignment,
     url_templates,
@@ -124,3 +125,8 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return tokenizer_alignment.align(table(spark, sf_dir, "documents"), a, b)
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(spelling.vocabulary(table(spark, sf_dir, "documents"), slip=97))
