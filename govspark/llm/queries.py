@@ -13,6 +13,7 @@ from govspark.llm import (
     decontamination,
     hnsw,
     jaccard_join,
+    language_id,
     language_model,
     license_scan,
     quality,
@@ -130,3 +131,11 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.groups(spelling.vocabulary(table(spark, sf_dir, "documents"), slip=97))
+
+
+@register
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = language_id.predict(docs, language_id.train(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
