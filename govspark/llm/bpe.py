@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govspark.llm.words import parts, text_buffers
@@ -189,22 +190,21 @@ class Ranks:
         if len(self.slots) > CACHE_PIECES:
             self._forget()
         missing = [piece for piece in pieces if piece not in self.slots]
-        if missing:
-            short = [piece for piece in missing if len(piece) <= LONG_PIECE]
+        short = [piece for piece in missing if len(piece) <= LONG_PIECE]
+        if short:
             flat, sizes = self._merge_together(short)
-            for piece in missing:
-                if len(piece) > LONG_PIECE:
-                    ids = _merge_long(piece, self.ids)
-                    flat, sizes = np.append(flat, ids), np.append(sizes, len(ids))
-                    short.append(piece)
             self.slots.update(zip(short, range(len(self.slots), len(self.slots) + len(short))))
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-        kept = pa.LargeListArray.from_arrays(pa.array(self.bounds), pa.array(self.flat))
-        out = kept.take(pa.array(np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))))
-        if missing and any(len(piece) > LONG_PIECE for piece in missing):
-            self._forget()  # a long piece is hardly met again
-        return out
+        bounds, flat, long = self.bounds, self.flat, {}
+        if len(short) < len(missing):  # a long piece is hardly met again, and is not kept
+            found = {piece: _merge_long(piece, self.ids) for piece in missing if len(piece) > LONG_PIECE}
+            long = dict(zip(found, range(len(self.slots), len(self.slots) + len(found))))
+            bounds = np.concatenate([bounds, bounds[-1] + np.cumsum([len(ids) for ids in found.values()])])
+            flat = np.concatenate([flat, *(np.array(ids, np.int32) for ids in found.values())])
+        kept = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(flat))
+        places = map(self.slots.__getitem__, pieces) if not long else (self.slots[p] if p in self.slots else long[p] for p in pieces)
+        return kept.take(pa.array(np.fromiter(places, np.int64, len(pieces))))
 
     def _merge_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, number of ids of each): one merge in every unfinished piece at a time, for all at once."""
@@ -353,6 +353,30 @@ def decode(docs: DataFrame, ranks_path: str, tokens: str = "tokens", text: str =
     return docs.mapInArrow(run, schema)
 
 
+def encode_verified(docs: DataFrame, ranks_path: str, kept: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The ``kept`` columns, n_tokens, tokens and decoded_sha256, a digest of the bytes that the ids give back.
+
+    Encoding and decoding share one pass and one worker, and a part's ids are all that is held beside its text.
+    """
+    plain = docs.select(*(docs[c].alias(f"kept_{i}") for i, c in enumerate(kept)), docs[text].cast("string").alias("body"))
+    fields = [T.StructField(f"kept_{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]
+    schema = T.StructType([*fields, T.StructField("n_tokens", T.IntegerType(), False), T.StructField("tokens", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded_sha256", T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(ranks_path)
+        for batch in batches:
+            for part in parts(batch):
+                ids, at = encode_batch(part.column("body"), ranks)
+                data, cuts = decode_batch(ids, at, ranks)
+                data = memoryview(np.ascontiguousarray(data))
+                digests = pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])], pa.string())
+                tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(np.diff(at).astype(np.int32)), tokens, digests], names=schema.names)
+
+    found = plain.mapInArrow(run, schema)
+    return found.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(kept)), "n_tokens", "tokens", "decoded_sha256")
+
+
 def round_trip_digests(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document the number of tokens and digests of its ids and of what they decode to.
 

@@ -45,6 +45,10 @@ def test_operators(spark, truth):
     out = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert [r.tokens for r in out] == [truth.encode_ordinary(t or "") for _, t, _ in rows]
     assert [bytes(r.decoded).decode() for r in out] == [t or "" for _, t, _ in rows]
+    both = bpe.encode_verified(df, PATH, kept=("doc_id", "tokens")).toDF("doc_id", "old", "n_tokens", "tokens", "decoded_sha256").collect()
+    assert [(r.doc_id, r.old, r.tokens, r.n_tokens) for r in both] == [(r.doc_id, o[2], r.tokens, len(r.tokens)) for r, o in zip(out, rows)]
+    assert [r.tokens for r in both] == [r.tokens for r in out]
+    assert [r.decoded_sha256 for r in both] == [hashlib.sha256((t or "").encode()).hexdigest() for _, t, _ in rows]
     first = out[0]
     assert [first.text.encode()[a:b] for a, b in zip(first.token_starts, [*first.token_starts[1:], None])] == [truth.decode_single_token_bytes(t) for t in first.tokens]
     digests = {r.decoded_sha256: (r.n_tokens, r.ids_sha256) for r in bpe.round_trip_digests(df, PATH).collect()}
@@ -56,4 +60,4 @@ def test_operators(spark, truth):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(df, PATH).columns == ["doc_id", "text", "tokens", "token_starts"]
-    assert bpe.encode(df, PATH).collect() == bpe.round_trip_digests(df, PATH).collect() == []
+    assert bpe.encode(df, PATH).collect() == bpe.round_trip_digests(df, PATH).collect() == bpe.encode_verified(df, PATH).collect() == []
