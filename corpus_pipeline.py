@@ -42,10 +42,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids and their number, and a digest of what the ids decode to."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks).drop("text", "token_starts")
-    decoded = bpe.decode(encoded, ranks)
-    return decoded.select("doc_id", "lang", "source", F.size("tokens").alias("n_tokens"), "tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode_verified(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), kept=("doc_id", "lang", "source"))
 
 
 STAGES = [
