@@ -141,7 +141,8 @@ def text_before_json(files: DataFrame) -> DataFrame:
     return files.where(F.col("extension") == "txt").unionByName(kept)
 
 
-def _pieces(files: DataFrame, group: str, order: str, title: str, content: str) -> DataFrame:
+def file_pieces(files: DataFrame, group: str, order: str, title: str, content: str) -> DataFrame:
+    """(group, order, piece): every file that is not blank, behind a blank line and its title."""
     piece = F.concat(F.lit("\n\n--- FILE: "), F.col(title), F.lit(" ---\n"), F.col(content))
     return files.where(strip(F.col(content)) != "").select(group, order, piece.alias("piece"))
 
@@ -153,7 +154,7 @@ def combined_pieces(files: DataFrame, order: str, title: str, content: str, grou
     """
     name = group or "_all"
     grouped = files if group else files.withColumn(name, F.lit(0))
-    numbered = positions(_pieces(grouped, name, order, title, content), [name], [order], "position")
+    numbered = positions(file_pieces(grouped, name, order, title, content), [name], [order], "position")
     return numbered.select(*([group] if group else []), "position", "piece")
 
 
@@ -163,7 +164,7 @@ def combine_by_group(files: DataFrame, group: str, order: str, title: str, conte
     A document of a large group would not fit one row, so it comes as numbered parts whose texts, joined by line
     breaks in order, are the document. A part holds about ``part_chars`` characters and never cuts a file.
     """
-    pieces = _pieces(files, group, order, title, content)
+    pieces = file_pieces(files, group, order, title, content)
     measured = running(pieces, [group], [order], {"end": F.length("piece") + F.lit(1)})
     start = F.col("end") - F.length("piece") - 1
     return (
