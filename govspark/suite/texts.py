@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from govspark.functions import classify
-from govspark.operators import chunk, history, search
+from govspark.operators import chunk, combined_chunks, history, search
 from govspark.operators.spread import spread_scan
 from govspark.operators.vector import hash_embeddings
 from govspark.sources.tables import table
@@ -55,15 +55,37 @@ def chunk_cover(spark, sf):
     return joined.select("doc_id", F.md5(text).alias("digest"), numbered.alias("numbered"))
 
 
+# Without white space a text has no separator, and the chunker becomes a window over its characters, which SQL can say.
+DENSE = "regexp_replace(text, '\\s', '', 'g')"
+
+
+def dense_sql(size: int, overlap: int) -> str:
+    width, step = 4 * size, 4 * (size - overlap)
+    return f"""
+texts AS (SELECT doc_id, source, t, CASE WHEN length(t) <= {width} THEN 1 ELSE 1 + CAST(ceil((length(t) - {width}) / {step}.0) AS BIGINT) END AS n
+          FROM (SELECT doc_id, source, {DENSE} AS t FROM documents) WHERE length(t) > 0),
+chunks AS (SELECT doc_id, source, CAST(i AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS total_chunks, substr(t, i * {step} + 1, {width}) AS content
+           FROM (SELECT *, unnest(range(n)) AS i FROM texts)),
+sized AS (SELECT *, CAST(length(content) AS INTEGER) AS chunk_size, CAST(length(content) // 4 AS INTEGER) AS chunk_tokens FROM chunks)"""
+
+
+def dense_chunks(spark, sf, size=200, overlap=40):
+    dense = docs(spark, sf).withColumn("text", F.regexp_replace("text", r"\s", ""))
+    return chunk.chunk_recursive(dense, size=size, overlap=overlap)
+
+
+@query("chunk_overlap", f"""
+WITH {dense_sql(chunk.CHUNK_SIZE, chunk.CHUNK_OVERLAP)}
+SELECT doc_id, source, chunk_index, total_chunks, chunk_size, chunk_tokens, content FROM sized""")
+def chunk_overlap(spark, sf):
+    return dense_chunks(spark, sf, chunk.CHUNK_SIZE, chunk.CHUNK_OVERLAP)
+
+
 @query("filter_chunk_tokens", f"""
-SELECT doc_id, {LETTERS} AS letters, TRUE AS in_bounds FROM documents WHERE {LETTERS} > 0""")
+WITH {dense_sql(200, 40)} SELECT doc_id, chunk_index, chunk_size, chunk_tokens, content FROM sized WHERE chunk_tokens BETWEEN 50 AND 199""")
 def filter_chunk_tokens(spark, sf):
-    """What the filter keeps and what it drops make up each text, and what it keeps is in bounds."""
-    chunks = whole_chunks(spark, sf)
-    kept = chunk.filter_by_tokens(chunks, 50, 200).withColumn("fits", F.col("chunk_size").between(200, 803))
-    dropped = chunks.where((F.col("chunk_tokens") < 50) | (F.col("chunk_tokens") > 200)).withColumn("fits", F.lit(True))
-    both = kept.unionByName(dropped).groupBy("doc_id")
-    return both.agg(F.sum("letters").alias("letters"), F.every("fits").alias("in_bounds"))
+    kept = chunk.filter_by_tokens(dense_chunks(spark, sf), 50, 199)
+    return kept.select("doc_id", "chunk_index", "chunk_size", "chunk_tokens", "content")
 
 
 @query("chunk_fixed", f"""
@@ -75,32 +97,57 @@ def chunk_fixed(spark, sf):
     return chunk.chunk_fixed(docs(spark, sf))
 
 
-def stats_agree(stats):
-    """What holds of any chunks of whole texts without overlap: averages are sums by counts, no chunk is too large."""
-    tokens = F.round(F.col("total_tokens") / F.col("total_chunks"), 6) == F.col("average_tokens")
-    ordered = F.col("min_chunk_size").between(1, F.col("average_chunk_size")) & (F.col("average_chunk_size") <= F.col("max_chunk_size"))
-    return tokens & ordered & (F.col("max_tokens") <= 200)
-
-
-def letters_and_stats(spark, sf, by):
-    # each chunk counts its letters as its size, so that sums can be compared with those of the texts
-    chunks = whole_chunks(spark, sf)
-    stats = chunk.chunk_stats(chunks, by)
-    letters = chunk.chunk_stats(chunks.withColumn("chunk_tokens", F.col("letters")), by)
-    keys = [by] if by else []
-    agree = stats.select(*keys, stats_agree(stats).alias("agree"))
-    total = letters.select(*keys, F.col("total_tokens").cast("bigint").alias("letters"))
-    return agree.join(total, by) if by else agree.withColumn("letters", total.select("letters").scalar())
+STATS_SQL = """COUNT(*) AS total_chunks, ROUND(AVG(chunk_size), 6) AS average_chunk_size, MIN(chunk_size) AS min_chunk_size, MAX(chunk_size) AS max_chunk_size,
+  ROUND(AVG(chunk_tokens), 6) AS average_tokens, MIN(chunk_tokens) AS min_tokens, MAX(chunk_tokens) AS max_tokens, CAST(SUM(chunk_tokens) AS BIGINT) AS total_tokens"""
 
 
-@query("chunk_stats", f"SELECT CAST(SUM({LETTERS}) AS BIGINT) AS letters, TRUE AS agree FROM documents WHERE {LETTERS} > 0")
+@query("chunk_stats", f"WITH {dense_sql(200, 40)} SELECT {STATS_SQL} FROM sized")
 def chunk_stats(spark, sf):
-    return letters_and_stats(spark, sf, None)
+    return chunk.chunk_stats(dense_chunks(spark, sf))
 
 
-@query("chunk_stats_by_source", f"SELECT source, CAST(SUM({LETTERS}) AS BIGINT) AS letters, TRUE AS agree FROM documents WHERE {LETTERS} > 0 GROUP BY source")
+@query("chunk_stats_by_source", f"WITH {dense_sql(200, 40)} SELECT source, {STATS_SQL} FROM sized GROUP BY source")
 def chunk_stats_by_source(spark, sf):
-    return letters_and_stats(spark, sf, "source")
+    return chunk.chunk_stats(dense_chunks(spark, sf), "source")
+
+
+def combined_files(spark, sf):
+    return table(spark, sf, "documents").withColumn("title", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+
+
+@query("chunk_combined")
+def chunk_combined(spark, sf):
+    """Chunks of each source's combined document; tests hold them against the chunker on the joined text."""
+    return combined_chunks.chunk_combined(combined_files(spark, sf), "doc_id", "title", "text", "source")
+
+
+WIDE_SIZE, WIDE_OVERLAP = 64_000, 8_000
+WIDE_CHARS, WIDE_BACK = 4 * WIDE_SIZE, 4 * WIDE_OVERLAP
+
+
+# No file is longer than such a chunk, so only blank lines are cut at: SQL follows the chunks from one to the next.
+@query("chunk_combined_wide", f"""
+WITH RECURSIVE joined AS (
+  SELECT lang, string_agg(chr(10) || chr(10) || '--- FILE: doc' || doc_id || ' ---' || chr(10) || text, chr(10) ORDER BY doc_id) AS t
+  FROM documents WHERE trim(text, {B}) <> '' GROUP BY lang),
+cut AS (SELECT lang, unnest(string_split(t, chr(10) || chr(10))) AS p, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS i FROM joined),
+segment AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY i) AS i, p FROM
+  (SELECT lang, i, CASE WHEN i = 1 THEN p ELSE chr(10) || chr(10) || p END AS p FROM cut) WHERE p <> ''),
+placed AS (SELECT *, SUM(length(p)) OVER (PARTITION BY lang ORDER BY i) AS e, e - length(p) AS s, COUNT(*) OVER (PARTITION BY lang) AS n FROM segment),
+begun AS (SELECT x.lang, x.i, min(y.i) AS j, min(y.s) AS js, any_value(x.n) AS n FROM placed x JOIN placed y ON y.lang = x.lang AND y.i <= x.i
+  AND x.s - y.s <= {WIDE_BACK} AND x.e - y.s <= {WIDE_CHARS} GROUP BY 1, 2),
+steps AS (SELECT b.lang, b.i, any_value(b.j) AS j, coalesce(min(y.i), any_value(b.n) + 1) AS upto FROM
+  (SELECT lang, i, j, js, n FROM begun UNION ALL SELECT lang, 0, 1, 0, n FROM placed WHERE i = 1) b
+  LEFT JOIN placed y ON y.lang = b.lang AND y.i > b.i AND y.e - b.js > {WIDE_CHARS} GROUP BY 1, 2),
+path AS (SELECT lang, i, j, upto FROM steps WHERE i = 0
+  UNION ALL SELECT s.lang, s.i, s.j, s.upto FROM path JOIN steps s ON s.lang = path.lang AND s.i = path.upto),
+chunk AS (SELECT path.lang, path.i, trim(string_agg(p, '' ORDER BY placed.i), {B}) AS content
+  FROM path JOIN placed ON placed.lang = path.lang AND placed.i >= path.j AND placed.i < path.upto GROUP BY 1, 2)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY i) - 1 AS INTEGER) AS chunk_index, CAST(COUNT(*) OVER (PARTITION BY lang) AS INTEGER) AS total_chunks,
+  CAST(length(content) AS INTEGER) AS chunk_size, CAST(length(content) // 4 AS INTEGER) AS chunk_tokens, content FROM chunk WHERE content <> ''""")
+def chunk_combined_wide(spark, sf):
+    """Chunks for a model that reads much at once, of one combined document per language."""
+    return combined_chunks.chunk_combined(combined_files(spark, sf), "doc_id", "title", "text", "lang", WIDE_SIZE, WIDE_OVERLAP)
 
 
 DELIMITERS = [*chunk.PARAGRAPH_DELIMITERS, "\n"]
@@ -147,13 +194,20 @@ def text_section_samples(spark, sf):
     return sections.select("doc_id", "section", F.explode(samples).alias("sample")).distinct()
 
 
-@query("embed_chunks", f"SELECT doc_id, {LETTERS} AS letters, TRUE AS unit, 256 AS dim FROM documents WHERE {LETTERS} > 0")
+@query("embed_chunks", f"""
+WITH {dense_sql(200, 40)}
+SELECT doc_id, chunk_index, 256 AS dim, CASE WHEN regexp_matches(content, '[A-Za-z0-9_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM sized""")
 def embed_chunks(spark, sf):
-    """One vector of length one for every chunk of every text that has a word."""
-    embedded = hash_embeddings(whole_chunks(spark, sf))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x)
-    unit = (F.abs(norm - 1) < 1e-5) | ~F.col("content").rlike(r"\w")
-    return embedded.groupBy("doc_id").agg(F.sum("letters").alias("letters"), F.every(unit).alias("unit"), F.max(F.size("embedding")).alias("dim"))
+    """Width and length of every chunk's vector."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x))
+    return hash_embeddings(dense_chunks(spark, sf)).select("doc_id", "chunk_index", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"))
+
+
+@query("embed_chunk_vectors")
+def embed_chunk_vectors(spark, sf):
+    """Vectors of the chunks of whole texts; tests hold them against word counts."""
+    chunks = chunk.chunk_recursive(docs(spark, sf), size=200, overlap=40)
+    return hash_embeddings(chunks).select("doc_id", "chunk_index", "content", "embedding")
 
 
 @query("topic_terms", f"""
