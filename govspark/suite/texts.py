@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from govspark.functions import classify
-from govspark.operators import chunk, combined_chunks, history, search
+from govspark.operators import chunk, combined_chunks, history, search, text_index
 from govspark.operators.spread import spread_scan
 from govspark.operators.vector import hash_embeddings
+from govspark.scratch import run_dir
 from govspark.sources.tables import table
 from govspark.suite.registry import query
 
@@ -341,3 +342,59 @@ WITH {SEARCH_SQL} SELECT * FROM (SELECT doc_id, n_chars, match_score FROM scored
 ORDER BY n_chars DESC, doc_id""")
 def search_recent(spark, sf):
     return search.search_recent(docs(spark, sf), QUESTION, ATTRIBUTES, "n_chars").select("doc_id", "n_chars", "match_score")
+
+
+# Two words of every fiftieth text, the first without its second letter, as a hurried user types them.
+def typed_queries(spark, sf):
+    some = table(spark, sf, "documents").where("doc_id % 50 = 0").select("doc_id", F.filter(text_index.words(F.col("text")), lambda w: F.length(w) >= 6).alias("w"))
+    typed = F.concat(F.substr(F.get("w", F.lit(0)), F.lit(1), F.lit(1)), F.substr(F.get("w", F.lit(0)), F.lit(3)), F.lit(" "), F.get("w", F.lit(1)))
+    return some.where(F.size("w") >= 2).select(F.col("doc_id").alias("query_id"), typed.alias("query"))
+
+
+# SQL's distance counts bytes, so letters of two bytes are written as capitals, which no word has.
+ACCENTS = "ßäçèéêíñóöü"
+
+
+def one_byte(column: str) -> str:
+    return f"translate({column}, '{ACCENTS}', 'ABCDEFGHIJK')"
+
+
+def index_search_sql(where: str = "TRUE") -> str:
+    """By brute force: the distance of every query word to every word of every text."""
+    cut = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"""
+WITH long AS (SELECT doc_id, list_filter({cut.format('text')}, lambda x: length(x) >= 6) AS w FROM documents WHERE doc_id % 50 = 0),
+asked AS (SELECT doc_id AS query_id, i, CASE WHEN i = 0 THEN substr(w[1], 1, 1) || substr(w[1], 3) ELSE w[2] END AS word
+          FROM (SELECT *, unnest([0, 1]) AS i FROM long WHERE len(w) >= 2)),
+token AS (SELECT key, attribute, unnest(w) AS term, unnest(range(len(w))) AS p FROM (
+  SELECT doc_id AS key, 0 AS attribute, {cut.format('source')} AS w FROM documents WHERE {where}
+  UNION ALL SELECT doc_id, 1, {cut.format('text')} FROM documents WHERE {where})),
+term AS (SELECT DISTINCT term FROM token),
+near AS (SELECT DISTINCT word, term, levenshtein({one_byte('word')}, {one_byte('term')}) AS typos FROM (SELECT DISTINCT word FROM asked), term
+  WHERE abs(length(word) - length(term)) <= 2 AND levenshtein({one_byte('word')}, {one_byte('term')}) <= CASE WHEN length(word) >= 8 THEN 2 WHEN length(word) >= 4 THEN 1 ELSE 0 END),
+hit AS (SELECT query_id, i, key, attribute, p, typos, min(typos) OVER (PARTITION BY query_id, i, key) AS least FROM asked JOIN near USING (word) JOIN token USING (term)),
+best AS (SELECT * FROM hit WHERE typos = least),
+per_word AS (SELECT query_id, key, i, min(typos) AS typos, min(attribute) AS attribute FROM best GROUP BY ALL),
+per_post AS (SELECT query_id, key, SUM(typos) AS typos, SUM(attribute) AS attribute FROM per_word GROUP BY ALL HAVING COUNT(*) = 2),
+close AS (SELECT x.query_id, x.key, min(greatest(1, abs(x.p - y.p))) AS d FROM best x JOIN best y USING (query_id, key, attribute) WHERE x.i = 0 AND y.i = 1 GROUP BY 1, 2)
+SELECT query_id, key, CAST(typos AS INTEGER) AS typos, CAST(least(coalesce(d, 8), 8) AS INTEGER) AS proximity, CAST(attribute AS INTEGER) AS attribute,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY typos, least(coalesce(d, 8), 8), attribute, key) AS INTEGER) AS rank
+FROM per_post LEFT JOIN close USING (query_id, key) QUALIFY rank <= 5"""
+
+
+def text_search(spark, sf, where="TRUE"):
+    path = run_dir(spark, "text-index")
+    posts = table(spark, sf, "documents")
+    text_index.build(posts, path, "doc_id", ["source", "text"])
+    among = None if where == "TRUE" else posts.where(where).select(F.col("doc_id").alias("key"))
+    return text_index.search(spark, path, typed_queries(spark, sf), among=among)
+
+
+@query("typo_search", index_search_sql())
+def typo_search(spark, sf):
+    return text_search(spark, sf)
+
+
+@query("typo_search_filtered", index_search_sql("lang = 'en'"))
+def typo_search_filtered(spark, sf):
+    return text_search(spark, sf, "lang = 'en'")
