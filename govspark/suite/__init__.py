@@ -4,6 +4,7 @@ from govspark.suite import (
     chains,
     filters,
     governance,
+    loads,
     profiles,
     retrieval,
     sources,
