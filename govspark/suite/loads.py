@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from govspark.scratch import run_dir
-from govspark.sources import envelope_source
-from govspark.sources.tables import table
+from govspark.sources import envelope_source, layout
+from govspark.sources.tables import proposals, proposer_networks, table, votes, voting_power
 from govspark.streaming import growing
 from govspark.suite.registry import query
 
@@ -75,3 +77,34 @@ def growing_load(spark, sf):
 @query("growing_rejected", """SELECT '{"event_id": ' || event_id AS value FROM events WHERE event_id % 3 = 1 AND event_type = 'error'""")
 def growing_rejected(spark, sf):
     return growing.rejected(spark, grown(spark, sf)[1]).select("value")
+
+
+@query("bucketed_power", """
+SELECT l_orderkey AS parent_vote_id, l_suppkey AS voter, l_partkey AS proposal_index, o_totalprice AS self_voting_power
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""")
+def bucketed_power(spark, sf):
+    """Votes with their power, from tables that lie in the same buckets."""
+    cast = votes(spark, sf).select("parent_vote_id", "voter", "proposal_index")
+    power = voting_power(spark, sf).withColumnRenamed("id", "parent_vote_id")
+    buckets = layout.buckets_for(cast.count(), 20_000)
+    names = {}
+    for name, rows in (("votes", cast), ("power", power)):
+        path = run_dir(spark, f"bucketed-{name}")
+        names[name] = (f"{name}_{uuid.uuid4().hex}", path)
+        layout.write_bucketed(rows, *names[name], "parent_vote_id", buckets)
+    return layout.bucketed_join(spark, *names["votes"], names["power"][0], "parent_vote_id", "left")
+
+
+@query("clustered_proposals", """
+WITH p AS (SELECT o_orderkey AS proposal_index, o_orderpriority AS proposal_type, o_orderstatus AS status, r_name AS network FROM orders
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT 'network' AS asked, * FROM p WHERE network = 'ASIA' UNION ALL SELECT 'type', * FROM p WHERE proposal_type IN ('1-URGENT', '5-LOW')
+UNION ALL SELECT 'both', * FROM p WHERE network = 'EUROPE' AND status = 'P'""")
+def clustered_proposals(spark, sf):
+    """Filters on one or more of the clustered columns; each opens the files it needs."""
+    path = run_dir(spark, "clustered")
+    rows = proposals(spark, sf).join(proposer_networks(spark, sf), "proposer").select("proposal_index", "proposal_type", "status", "network")
+    layout.write_clustered(rows, path, ["network", "proposal_type", "status"], "proposal_index", file_rows=1000)
+    asked = {"network": {"network": ["ASIA"]}, "type": {"proposal_type": ["1-URGENT", "5-LOW"]}, "both": {"network": ["EUROPE"], "status": ["P"]}}
+    found = [layout.read_clustered(spark, path, where).select(F.lit(name).alias("asked"), "*") for name, where in asked.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
