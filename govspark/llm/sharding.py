@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from govspark.llm.tables import BROADCAST_IDS, spare
+
 #: Parts of a shard that are numbered apart; their sizes, shards * SUBSHARDS rows, are the only thing broadcast.
 SUBSHARDS = 512
 #: Fixed value: the multiplier of the published generator, key * M + 1 modulo 2^64, as halves.
@@ -56,20 +58,22 @@ def jump(key: Column, shards: int) -> Column:
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16, seed: int = 42) -> DataFrame:
     """All columns but the text, and size, text_crc32, law, shard, slot, grown_shard (the shard with one more shard)."""
     hashed = F.xxhash64(F.col(key), F.lit(seed))
-    placed = docs.withColumn("_to", jump(hashed, shards)).withColumn("_part", F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(SUBSHARDS)).cast("int"))
+    to, sub, at, start = spare(docs, "_to", "_part", "_at", "_start")
+    placed = docs.withColumn(to, jump(hashed, shards)).withColumn(sub, F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(SUBSHARDS)).cast("int"))
     body = F.coalesce(F.col(text), F.lit(""))
     results = {
         "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body.cast("binary")), "law": F.lit("key"),
-        "shard": F.col("_to.last").cast("int"), "grown_shard": F.col("_to.b").cast("int"),
+        "shard": F.col(f"{to}.last").cast("int"), "grown_shard": F.col(f"{to}.b").cast("int"),
     }
     kept = [c for c in docs.columns if c != text and c.lower() not in (*results, "slot")]
-    rows = placed.select(*kept, *(c.alias(name) for name, c in results.items()), "_part")
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.select(F.col("_to.last").cast("int").alias("shard"), "_part").groupBy("shard", "_part").count()
-    starts = sizes.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    rows = placed.select(*kept, *(c.alias(name) for name, c in results.items()), sub)
+    before = Window.partitionBy("shard").orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.select(F.col(f"{to}.last").cast("int").alias("shard"), sub).groupBy("shard", sub).count()
+    starts = sizes.select("shard", sub, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(start))
     # at most shards * SUBSHARDS rows
-    numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy("shard", "_part").orderBy(F.col(key), "text_crc32", "size")))
-    numbered = numbered.join(F.broadcast(starts), ["shard", "_part"]).withColumn("slot", F.col("_start") + F.col("_at") - 1)
+    starts = F.broadcast(starts) if shards * SUBSHARDS <= BROADCAST_IDS else starts
+    numbered = rows.withColumn(at, F.row_number().over(Window.partitionBy("shard", sub).orderBy(F.col(key), "text_crc32", "size")))
+    numbered = numbered.join(starts, ["shard", sub]).withColumn("slot", F.col(start) + F.col(at) - 1)
     return numbered.select(*kept, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

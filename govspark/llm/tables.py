@@ -28,6 +28,17 @@ def plain_docs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("doc"), docs[text].cast("string").alias("body"))
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """These names, each made longer until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def not_null(**fields: str) -> T.StructType:
     """A schema whose columns are never null."""
     return T.StructType([T.StructField(name, {"long": T.LongType(), "int": T.IntegerType()}[kind], False) for name, kind in fields.items()])

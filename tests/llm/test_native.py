@@ -50,6 +50,13 @@ def test_shards(spark, sf_dir):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_shards_leave_columns_of_any_name(spark):
+    rows = [(1, "a", 7, "x", 5.0, True), (2, "b", 8, "y", 6.0, False), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _part int, _to string, _at double, _start boolean")
+    found = sharding.shard(docs).orderBy("doc_id").collect()
+    assert [(r.doc_id, r["_part"], r["_to"], r["_at"], r["_start"]) for r in found] == [(r[0], *r[2:]) for r in rows]
+
+
 def test_write_shards(spark, tmp_path):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     sharding.write_shards(docs, str(tmp_path / "out"), shards=3)
