@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph with levels for each shard.
 
 Equal vectors are one node, so that any number of copies neither costs nor crowds the graph; of each class the smallest ids
-are kept, as many as a result can name. Shards are dealt by hash of the vector and bounded in size; a shard's graph is
-stored as one row of flat arrays (ids, vectors, neighbours of each level). Inner products become angles by one more
+are kept, as many as a result can name. Shards are dealt by length, to a power of two, and hash of the vector, and bounded in
+size; a shard's graph is stored as one row of flat arrays (ids, vectors, neighbours of each level). Inner products become angles by one more
 coordinate that gives all vectors of a shard one length. Nodes are inserted in batches: a batch looks for neighbours in
 the graph so far and within itself, keeps diverse ones, and links back. Queries walk all graphs of a shard together, in
 slices of bounded size; shard results are merged by score in double precision on the original vectors, ties by id.
@@ -23,6 +23,8 @@ from govspark.scratch import settle
 #: Nodes of a shard at most on average (about 100 bytes of links and 4 bytes a coordinate each), and shards at least.
 SHARD_NODES = 100_000
 LEAST_SHARDS = 4
+#: Nodes below which a shard is not cut for the sake of more tasks.
+SMALL_SHARD = 64
 #: Queries that meet a shard's graph in one group.
 SLICE_QUERIES = 100_000
 NEIGHBOURS = 16
@@ -107,14 +109,22 @@ def _chunks(total: int, width: int):
         yield a, min(total, a + step)
 
 
+def lengthen(vectors: np.ndarray) -> np.ndarray:
+    """Vectors by one common factor of about unit size, with one more coordinate that gives all of them one length."""
+    if not len(vectors):
+        return np.empty((0, vectors.shape[1] + 1), np.float32)
+    scaled = vectors / np.abs(vectors).max()
+    norms = np.einsum("ij,ij->i", scaled, scaled, dtype=np.float64)
+    rest = np.sqrt(np.maximum(0, norms.max() - norms))
+    return (np.concatenate([scaled, rest[:, None]], 1) / np.sqrt(norms.max())).astype(np.float32)
+
+
 def build_graph(vectors: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(order of nodes, lengthened vectors in that order, links per level from 0 up).
 
     Level l holds a prefix of the order, a sixteenth of the level below it; the last level has few nodes.
     """
-    norms = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
-    rest = np.sqrt(np.maximum(0, norms.max() - norms)) if len(norms) else norms
-    long = np.concatenate([vectors, rest[:, None]], 1).astype(np.float32)
+    long = lengthen(vectors)
     order = np.random.default_rng(seed).permutation(len(long))
     long = long[order]
     sizes = [len(long)]
@@ -215,10 +225,8 @@ def _search(k: int, beam: int):
             ids = np.frombuffer(index.column("ids")[0].as_py(), np.int64)
             vectors = np.frombuffer(index.column("vectors")[0].as_py(), np.float64).reshape(-1, dim)
             levels = [np.frombuffer(x, np.int32).reshape(n, -1) for n, x in zip(index.column("sizes")[0].as_py(), index.column("links")[0].as_py())]
-            norms = np.einsum("ij,ij->i", vectors, vectors)
-            long = np.concatenate([vectors, np.sqrt(np.maximum(0, norms.max() - norms))[:, None]], 1).astype(np.float32)
             wanted = _matrix(queries.column("vector"), dim).astype(np.float64)
-            found = search_graph(long, levels, wanted, k, beam)
+            found = search_graph(lengthen(vectors), levels, wanted / np.abs(wanted).max(axis=1, keepdims=True), k, beam)
             q, slot = np.nonzero(found >= 0)
             nodes = found[q, slot]
             out["query_id"].append(queries.column("query_id").to_numpy()[q])
@@ -229,6 +237,13 @@ def _search(k: int, beam: int):
     return run
 
 
+def _magnitude(vector):
+    """The power of two next to a vector's length. Vectors of one shard share it, so that no long one blurs the others."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / largest) * (x / largest))
+    return F.round(F.log2(largest) + F.log2(squares) / 2).cast("int")
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, vector as doubles, dim) of the vectors that take part."""
     v = F.col("vector")
@@ -246,13 +261,19 @@ def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "em
     first = F.min("id").over(Window.partitionBy("vector"))
     members = settle(ranked.withColumn("node", first), "classes")
     nodes = members.filter("_r = 1")
-    shards = max(LEAST_SHARDS, -(-nodes.count() // SHARD_NODES))
-    dealt = nodes.select("dim", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), "node", "vector")
+    sizes = {r.magnitude: r.n for r in nodes.groupBy(_magnitude(F.col("vector")).alias("magnitude")).agg(F.count("*").alias("n")).collect()}
+    parts, shards = {}, 0
+    for magnitude, n in sorted(sizes.items()):
+        parts[magnitude] = (shards, max(LEAST_SHARDS if n > LEAST_SHARDS * SMALL_SHARD else 1, -(-n // SHARD_NODES)))
+        shards += parts[magnitude][1]
+    of = F.create_map(*(x for m, (first, n) in parts.items() for x in (F.lit(m), F.lit(first * 2**31 + n).cast("long"))))[_magnitude(F.col("vector"))] if parts else F.lit(1)
+    shard = F.shiftright(of, 31) + F.pmod(F.xxhash64("vector"), of.bitwiseAND(F.lit(2**31 - 1)))
+    dealt = nodes.select("dim", shard.cast("int").alias("shard"), "node", "vector")
     index = settle(dealt.groupBy("dim", "shard").applyInArrow(_build, _INDEX), "graphs")
 
     queries = rows.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "vector", "dim")
     slices = max(1, -(-queries.count() // SLICE_QUERIES))
-    placed = queries.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    placed = queries.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))))
     copies = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     groups = ["dim", "shard", "slice"]
     hits = copies.groupBy(*groups).cogroup(placed.groupBy(*groups)).applyInArrow(_search(k + 1, beam), "query_id long, node long, score double")

@@ -50,3 +50,21 @@ def test_recall_on_the_embeddings(spark, sf_dir):
         order = [ids[j] for j in np.argsort(-(x @ rows[q]), kind="stable") if ids[j] != q][:20]
         hits, total = hits + len(found[q] & set(order)), total + 20
     assert hits >= 0.9 * total
+
+
+def test_a_long_vector_leaves_the_others_alone(spark, sf_dir):
+    """Lengths of all orders beside vectors of length one: recall stays, scores are exact."""
+    rows = [(r.vec_id, list(map(float, r.embedding))) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    size = len(rows[0][1])
+    rng = np.random.default_rng(2)
+    rows += [(10**6 + i, (rng.normal(size=size) * scale).tolist()) for i, scale in enumerate([1e4, 1e-4, 1e30, 1e-30, 3e2, 1e9])]
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=20).collect()
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        truth = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        mine = {r.vec_id for r in found if r.query_id == ids[q]}
+        hits, total = hits + len(mine & truth), total + 20
+    assert hits >= 0.95 * total
