@@ -289,9 +289,8 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
                     continue
                 n, known, base, own = score_batch(part.column("body"), model)
                 trained = np.full(len(n), model["tokens"], np.int64)
-                base = pa.array(base, mask=np.full(len(n), not model["tokens"]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(n), pa.array(known), pa.array(trained), base, pa.array(own)],
+                    [part.column("doc"), pa.array(n), pa.array(known), pa.array(trained), pa.array(base), pa.array(own)],
                     names=["doc", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

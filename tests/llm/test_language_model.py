@@ -75,4 +75,4 @@ def test_empty(spark):
     assert score(df, F.lit(True)).collect() == []
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     (row,) = score(df, F.lit(False)).collect()
-    assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, None, 0.0)
+    assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
