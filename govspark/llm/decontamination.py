@@ -26,6 +26,8 @@ from govspark.scratch import settle
 WIDTH = 10
 #: Benchmark terms or phrases (about 200 bytes each) that may travel to every task.
 BROADCAST_ROWS = 200_000
+#: Above all keys.
+FIRST_UNNAMED = "9223372036854775808"
 #: What separates words, and the letters that are lowered.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,7 +108,9 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH
 ) -> DataFrame:
     """Per document: key, n_words, n_hit (words inside any match), items (ids as sorted text), n_items."""
-    plain = plain_docs(docs, key, text)
+    # a row without a key gets a number beyond those of keys
+    unnamed = F.lit(FIRST_UNNAMED).cast("decimal(20,0)") + F.monotonically_increasing_id().cast("decimal(19,0)")
+    plain = plain_docs(docs, key, text).withColumn("doc", F.coalesce(F.col("doc").cast("decimal(20,0)"), unnamed.cast("decimal(20,0)")))
     found = settle(phrases(benchmark, item, item_text, width), "phrases")
     terms = settle(found.select(F.explode("terms").alias("term")).distinct(), "terms")
     anchored = settle(anchors(found, term_counts(plain, terms)), "anchors")
@@ -123,7 +127,7 @@ def contamination(
     joined = sizes.join(hit, "doc", "left").join(items, "doc", "left")
     none = F.array().cast("array<string>")
     return joined.select(
-        F.col("doc").alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")
+        F.when(F.col("doc") < F.lit(FIRST_UNNAMED).cast("decimal(20,0)"), F.col("doc").cast("long")).alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")
     ).withColumn("n_items", F.size("items").cast("long"))
 
 

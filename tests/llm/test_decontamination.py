@@ -47,7 +47,7 @@ def test_against_brute_force(spark):
         make = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", ",", "!'"]) for _ in range(n))
         items = [(i, make(rng.randint(0, 9))) for i in range(12)] + [(50, None), (51, "..."), (52, "a"), (53, "A")]
         docs = [(i, make(rng.randint(0, 40)) + " " + (rng.choice(items)[1] or "")) for i in range(25)]
-        docs += [(100, None), (101, ""), (102, "?!"), (0, docs[0][1])]
+        docs += [(100, None), (101, ""), (102, "?!"), (0, docs[0][1]), (None, docs[1][1]), (None, docs[1][1]), (None, "?")]
         check(spark, docs, items, width)
 
 
