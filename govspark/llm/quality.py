@@ -136,7 +136,8 @@ def score(
     draw = F.xxhash64("doc", F.lit("co-training"))
     total = rows.filter("y IS NOT NULL").count()
     share = min(1.0, MAX_LABELLED / total) if total else 0.0
-    labelled = rows.filter(F.col("y").isNotNull() & (F.pmod(draw, F.lit(1_000_000)) < int(share * 1_000_000)))
+    drawn = F.col("y").isNotNull() & (F.pmod(draw, F.lit(1_000_000)) < int(share * 1_000_000))
+    labelled = rows.filter(drawn)
     held = F.pmod(F.xxhash64("doc", F.lit("held")), F.lit(10)) < CALIBRATION_TENTHS
     train = labelled.filter(~held).withColumn("w", F.lit(1.0))
     kinds = {(r.h, r.y) for r in labelled.select(held.alias("h"), "y").distinct().collect()}
@@ -153,7 +154,7 @@ def score(
         text_model, meta_model = _fit(own.unionByName(pseudo("m")), "view"), _fit(own.unionByName(pseudo("t")), "meta")
 
     scored = _logit(meta_model, _logit(text_model, rows, "view", "t"), "meta", "m").withColumn("both", array_to_vector(F.array("t", "m")))
-    combine = _fit(labelled.filter(held).select("doc").join(scored, "doc").filter("y IS NOT NULL").withColumn("w", F.lit(1.0)), "both")
+    combine = _fit(scored.filter(drawn & held).withColumn("w", F.lit(1.0)), "both")
     final = _logit(combine, scored, "both", "z").withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
     return final.select(F.col("doc").alias(key), F.col("t").alias("text_score"), F.col("m").alias("meta_score"), F.col("p").alias("score"), (F.col("p") >= threshold).alias("keep"))
 

@@ -31,6 +31,17 @@ def test_odd_rows(spark):
     assert all(r.keep == bool(r.doc_id % 2) for r in found if r.doc_id is not None and r.doc_id < 80)
 
 
+def test_repeated_labelled_keys_weigh_once_each(spark, monkeypatch):
+    fitted = []
+    fit = quality._fit
+    monkeypatch.setattr(quality, "_fit", lambda rows, view: (fitted.append((view, rows.count())), fit(rows, view))[1])
+    rows = [(i, f"word {i} and more of it", "en", "s", i) for i in range(300)] + [(7, "again and again", "de", "t", 3)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    assert len(quality.score(docs, labels, rounds=0).collect()) == 800
+    assert sum(n for view, n in fitted if view in ("view", "both")) == 800
+
+
 def test_without_labels_all_is_kept(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     none = spark.createDataFrame([], "doc_id long, quality int")
