@@ -52,6 +52,11 @@ def memory_recall(messages: DataFrame, k: int = MEMORIES) -> DataFrame:
     spoken = messages.where(strip(F.col("text")) != "").select("conv_id", "turn", "text")
     earlier = salted_join(spoken, asked, "conv_id").where(F.col("turn") < F.col("asked.turn"))
     scored = earlier.select("conv_id", "turn", "text", F.size(F.array_intersect(tokens(F.col("text")), words)).alias("overlap"))
+    return memory_text(scored, k)
+
+
+def memory_text(scored: DataFrame, k: int = MEMORIES) -> DataFrame:
+    """The best messages (conv_id, turn, text, overlap) of each conversation as bullets."""
     best = W.partitionBy("conv_id").orderBy(F.col("overlap").desc(), F.col("turn").desc())
     top = scored.where(F.col("overlap") > 0).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     grouped = top.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("rows"))

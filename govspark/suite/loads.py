@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from govspark.scratch import run_dir
 from govspark.sources import envelope_source, layout
 from govspark.sources.tables import proposals, proposer_networks, table, votes, voting_power
-from govspark.streaming import growing
+from govspark.streaming import growing, memory, quota
+from govspark.streaming.sink import run_to_table
 from govspark.suite.registry import query
+from govspark.suite.texts import RECALL_SQL, TRANSCRIPT_SQL, talk
 
 EVENT_ITEMS = "network string, event_id long, user_id long, ts timestamp_ntz, value double, props string"
 
@@ -108,3 +110,20 @@ def clustered_proposals(spark, sf):
     asked = {"network": {"network": ["ASIA"]}, "type": {"proposal_type": ["1-URGENT", "5-LOW"]}, "both": {"network": ["EUROPE"], "status": ["P"]}}
     found = [layout.read_clustered(spark, path, where).select(F.lit(name).alias("asked"), "*") for name, where in asked.items()]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def remembered(spark, sf):
+    """All conversations, streamed in two batches out of order."""
+    stream = memory.conversation_states(memory.landed_messages(spark, talk(spark, sf), 2), parts=2)
+    with quota.rocksdb(spark):
+        return run_to_table(stream, "memory")
+
+
+@query("history_stream", TRANSCRIPT_SQL)
+def history_stream(spark, sf):
+    return memory.current_transcripts(remembered(spark, sf))
+
+
+@query("recall_stream", RECALL_SQL)
+def recall_stream(spark, sf):
+    return memory.current_memories(remembered(spark, sf))

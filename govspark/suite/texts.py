@@ -272,10 +272,13 @@ def history_window(spark, sf):
     return history.last_messages(talk(spark, sf))
 
 
-@query("history_transcript", f"""
+TRANSCRIPT_SQL = f"""
 WITH kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM {LAST_SQL} WHERE age <= 5)
 SELECT conv_id, string_agg(i || '. ' || upper(left(role, 1)) || substr(role, 2) || ': ' ||
-  CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END, chr(10) ORDER BY turn) AS transcript FROM kept GROUP BY conv_id""")
+  CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END, chr(10) ORDER BY turn) AS transcript FROM kept GROUP BY conv_id"""
+
+
+@query("history_transcript", TRANSCRIPT_SQL)
 def history_transcript(spark, sf):
     return history.history_transcript(talk(spark, sf))
 
@@ -287,13 +290,16 @@ def recent_user_topics(spark, sf):
     return history.recent_user_topics(talk(spark, sf))
 
 
-@query("memory_recall", f"""
+RECALL_SQL = f"""
 WITH asked AS (SELECT conv_id, max(turn) AS asked_at, arg_max(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id),
 scored AS (SELECT c.conv_id, turn, text, len(list_intersect({words('text')}, {words('q')})) AS overlap
            FROM conversations c JOIN asked a ON c.conv_id = a.conv_id WHERE turn < asked_at AND trim(text, {B}) <> ''),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn DESC) AS r FROM scored WHERE overlap > 0)
 SELECT conv_id, 'Previous relevant interactions:' || chr(10) || string_agg('- ' || text, chr(10) ORDER BY r) || chr(10) || chr(10) AS memory
-FROM ranked WHERE r <= 5 GROUP BY conv_id""")
+FROM ranked WHERE r <= 5 GROUP BY conv_id"""
+
+
+@query("memory_recall", RECALL_SQL)
 def memory_recall(spark, sf):
     return history.memory_recall(talk(spark, sf))
 
