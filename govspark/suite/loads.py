@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from govspark.operators import bitmaps, sketches
 from govspark.scratch import run_dir
-from govspark.sources import envelope_source, layout
+from govspark.sources import envelope_source, layout, quarantine
 from govspark.sources.tables import proposals, proposer_networks, table, votes, voting_power
-from govspark.streaming import growing, memory, quota
+from govspark.streaming import growing, memory, quota, standings
 from govspark.streaming.sink import run_to_table
-from govspark.suite.registry import query
+from govspark.suite.registry import ORACLES, query
+from govspark.suite import voting  # noqa: F401  its queries have the twins used here
 from govspark.suite.texts import RECALL_SQL, TRANSCRIPT_SQL, talk
 
 EVENT_ITEMS = "network string, event_id long, user_id long, ts timestamp_ntz, value double, props string"
@@ -127,3 +129,92 @@ def history_stream(spark, sf):
 @query("recall_stream", RECALL_SQL)
 def recall_stream(spark, sf):
     return memory.current_memories(remembered(spark, sf))
+
+
+DAMAGED_ITEM = "struct<event_id:bigint,value:double>"
+
+
+def damaged_envelopes(spark, sf):
+    """Envelopes per user: some items are texts, some have a text for a number, some lines end too early."""
+    item = (
+        F.when(F.col("event_id") % 50 == 0, F.lit('"lost"'))
+        .when(F.col("event_id") % 50 == 1, F.concat(F.lit('{"event_id":"x'), "event_id", F.lit('"}')))
+        .otherwise(F.to_json(F.struct("event_id", "value")))
+    )
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", item.alias("item")))), lambda e: e["item"]), ",")
+    per_user = table(spark, sf, "events").groupBy(F.concat(F.lit("u"), F.col("user_id")).alias("network"), "user_id").agg(items.alias("items"))
+    line = F.concat(F.lit('{"network":"'), "network", F.lit('","items":['), "items", F.when(F.col("user_id") % 20 == 7, "").otherwise("]}"))
+    path = run_dir(spark, "damaged")
+    per_user.select(line.alias("value")).repartition(3, "value").write.text(path)
+    return path
+
+
+def checked(spark, sf):
+    return quarantine.load_checked(spark, damaged_envelopes(spark, sf), DAMAGED_ITEM, run_dir(spark, "checked"))
+
+
+@query("quarantine_good", """
+SELECT 'u' || user_id AS network, event_id, value FROM events WHERE user_id % 20 <> 7 AND event_id % 50 > 1""")
+def quarantine_good(spark, sf):
+    return checked(spark, sf).good.drop("file")
+
+
+@query("quarantine_rejected", """
+SELECT CASE WHEN user_id % 20 = 7 THEN 'no envelope' WHEN event_id % 50 = 0 THEN 'no object' ELSE 'wrong type' END AS reason,
+  CASE WHEN user_id % 20 <> 7 THEN 'u' || user_id END AS network, COUNT(DISTINCT CASE WHEN user_id % 20 = 7 THEN user_id ELSE event_id END) AS pieces
+FROM events WHERE user_id % 20 = 7 OR event_id % 50 <= 1 GROUP BY 1, 2""")
+def quarantine_rejected(spark, sf):
+    return checked(spark, sf).rejected.groupBy("reason", "network").agg(F.count("*").alias("pieces"))
+
+
+PERIOD_SQL = " UNION ALL ".join(
+    f"SELECT '{p}' AS kind, CAST(date_trunc('{p}', l_shipdate) AS DATE) AS period, COUNT(DISTINCT l_suppkey) AS voters FROM lineitem GROUP BY 2" for p in bitmaps.PERIODS
+)
+
+
+@query("distinct_voters_periods", PERIOD_SQL)
+def distinct_voters_periods(spark, sf):
+    """Voters of every month, quarter and year from the months' bitmaps, which come in three loads."""
+    path = run_dir(spark, "bitmaps")
+    for i in range(3):
+        rows = votes(spark, sf).where(F.col("parent_vote_id") % 3 == i)
+        bitmaps.store_month_bitmaps(rows, "voter", "created_at", path, f"load{i}")
+    found = [bitmaps.distinct_by_period(spark, path, p).select(F.lit(p).alias("kind"), "period", F.col("distinct").alias("voters")) for p in bitmaps.PERIODS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("standings_top_voters", ORACLES["v_top_voters"])
+def standings_top_voters(spark, sf):
+    """After three loads, one of them twice, and a fold between them."""
+    store = run_dir(spark, "standings")
+    for i in (0, 1, 1, 2):
+        rows = votes(spark, sf).where(F.col("proposal_index") % 3 == i)
+        standings.add_load(rows, voting_power(spark, sf), store, f"load{i}")
+        if i == 1:
+            standings.fold(spark, store)
+    return standings.top_voters(spark, store)
+
+
+def sketched(spark, sf):
+    """Sketches of orders by year, as if each had come in a file of its own, in two loads."""
+    path = run_dir(spark, "sketches")
+    orders = table(spark, sf, "orders")
+    for i in range(2):
+        sketches.add_files(orders.where(F.year("o_orderdate") % 2 == i), F.year("o_orderdate").cast("string"), path, f"load{i}")
+    return path
+
+
+@query("sketch_counts", """
+WITH y AS (SELECT COUNT(DISTINCT year(o_orderdate)) AS files, COUNT(*) AS rows FROM orders)
+SELECT 'o_totalprice' AS column_name, files, rows, CAST(min(o_totalprice) AS DOUBLE) AS least, CAST(max(o_totalprice) AS DOUBLE) AS greatest FROM orders, y GROUP BY files, rows
+UNION ALL SELECT 'o_custkey', files, rows, CAST(min(o_custkey) AS DOUBLE), CAST(max(o_custkey) AS DOUBLE) FROM orders, y GROUP BY files, rows""")
+def sketch_counts(spark, sf):
+    """What merged sketches know exactly."""
+    found = sketches.merged_profile(spark, sketched(spark, sf)).where("column_name IN ('o_totalprice', 'o_custkey')")
+    return found.select("column_name", "files", "rows", F.col("least").cast("double").alias("least"), F.col("greatest").cast("double").alias("greatest"))
+
+
+@query("sketch_profile")
+def sketch_profile(spark, sf):
+    """Estimates too; tests hold them against exact values."""
+    return sketches.merged_profile(spark, sketched(spark, sf))
