@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that one task may hold, as 8-byte numbers; more are searched block against block.
 MAX_QUERY_BYTES = 32 * 1024 * 1024
+#: Vectors, as 8-byte numbers, of one side of a block.
+BLOCK_BYTES = 64 * 1024 * 1024
 #: Scores held at once while vectors meet queries.
 SCORE_CELLS = 2_000_000
 SCORE_DIGITS = 6
@@ -81,8 +83,8 @@ def _search_few(vectors: DataFrame, query_ids: list, queries: np.ndarray, k: int
     return _rank(present.mapInArrow(run, f"query_id bigint, vec_id {id_type}, score double"), k)
 
 
-def _search_blocks(vectors: DataFrame, queries: DataFrame, k: int, vector_blocks: int, query_blocks: int) -> DataFrame:
-    """Blocks of vectors against blocks of queries: each pair of blocks is one bounded group."""
+def block_hits(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """For a block of vectors and one of queries: k hits of every query."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -94,6 +96,12 @@ def _search_blocks(vectors: DataFrame, queries: DataFrame, k: int, vector_blocks
                 out.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[best], "score": scores[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
+    return run
+
+
+def _search_blocks(vectors: DataFrame, queries: DataFrame, k: int, vector_blocks: int, query_blocks: int) -> DataFrame:
+    """Blocks of vectors against blocks of queries: each pair of blocks is one bounded group."""
+
     def block(key: str, n: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(n))
 
@@ -107,18 +115,22 @@ def _search_blocks(vectors: DataFrame, queries: DataFrame, k: int, vector_blocks
         "query_id", "embedding", block("query_id", query_blocks).alias("qb"), every(vector_blocks).alias("vb")
     )
     hits = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(
-        run, "query_id bigint, vec_id bigint, score double"
+        block_hits(k), "query_id bigint, vec_id bigint, score double"
     )
     return _rank(hits, k)
 
 
+def rows_of_block(dim: int) -> int:
+    return max(1, BLOCK_BYTES // (8 * max(1, dim)))
+
+
 def topk(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 5,
     where: Column | None = None,
     max_query_bytes: int = MAX_QUERY_BYTES,
-    block_rows: int = 50_000,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The k nearest vectors of every query: query_id, vec_id, score, rank.
 
@@ -136,6 +148,7 @@ def topk(
     if size["n"] * size["dim"] * 8 <= max_query_bytes:
         rows = queries.select("query_id", "embedding").orderBy("query_id").collect()
         return _search_few(searched, [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64), k)
+    block_rows = block_rows or rows_of_block(size["dim"])
     vector_blocks = math.ceil(searched.count() / block_rows) or 1
     query_blocks = math.ceil(size["n"] / block_rows)
     return _search_blocks(searched, queries, k, vector_blocks, query_blocks)

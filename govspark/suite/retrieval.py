@@ -78,9 +78,12 @@ def vector_topk_batch(spark, sf):
 
 @query("vector_lsh")
 def vector_lsh(spark, sf):
+    """The k nearest of every vector whose id is divisible by 50, and what share of them an exact search confirms."""
     path = run_dir(spark, "buckets")
     buckets.write_bucketed(vectors(spark, sf), path)
-    return buckets.approx_topk(spark, path, mean_query(spark, sf), K)
+    asked = vectors(spark, sf).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = buckets.approx_topk(spark, path, asked, K)
+    return found.join(buckets.recall(found, vector.topk(vectors(spark, sf), asked, K)), "query_id")
 
 
 @query("rerank_flagged", f"""

@@ -178,6 +178,25 @@ def test_bucketed_search_recall(spark, tmp_path):
     assert every == exact
     one = buckets.approx_topk(spark, path, q.where("query_id = 0"), 700, probes=1)
     assert one.count() == 700
+    # blocks of a few vectors, and as many queries as vectors
+    many = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    cut = buckets.approx_topk(spark, path, many, 3, probes=16, block_bytes=16 * 8 * 10)
+    truth = vector.topk(v, many, 3)
+    assert {tuple(r) for r in cut.select("query_id", "vec_id", "rank").collect()} == {tuple(r) for r in truth.select("query_id", "vec_id", "rank").collect()}
+    assert buckets.recall(cut, truth).agg(F.min("recall")).first()[0] == 1.0
+
+
+def test_probed_buckets_are_the_cheapest():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(5, 6))
+    side = x @ buckets.planes(6, 7)
+    own = (side > 0).astype(int)
+    flips = np.arange(128)[:, None] >> np.arange(7) & 1
+    for i, row in enumerate(buckets.probed_buckets(x, 9, 7)):
+        cost = flips @ np.abs(side[i])
+        best = ((own[i] ^ flips) @ (1 << np.arange(7)))[np.argsort(cost)[:9]]
+        assert row.tolist() == best.tolist()
+    assert [buckets.bits_for(n) for n in (0, 32_000, 10**6, 10**12)] == [4, 4, 9, 16]
 
 
 def test_ingest_from_files(spark, tmp_path):
