@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from govspark.operators import bitmaps, sketches
 from govspark.scratch import run_dir
-from govspark.sources import envelope_source, layout, quarantine
+from govspark.sources import envelope_source, layout, quarantine, variants
 from govspark.sources.tables import proposals, proposer_networks, table, votes, voting_power
 from govspark.streaming import growing, memory, quota, standings
 from govspark.streaming.sink import run_to_table
@@ -218,3 +218,16 @@ def sketch_counts(spark, sf):
 def sketch_profile(spark, sf):
     """Estimates too; tests hold them against exact values."""
     return sketches.merged_profile(spark, sketched(spark, sf))
+
+
+@query("variant_fields", """
+SELECT event_id, user_id AS who_id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k, value AS amount,
+  '{"id":' || user_id || '}' AS who FROM events WHERE event_type = 'purchase'""")
+def variant_fields(spark, sf):
+    """Dotted paths of stored records, read from the columns that hold them; one is nested and comes as JSON."""
+    path = run_dir(spark, "variants")
+    record = F.to_json(F.struct(F.struct(F.col("user_id").alias("id")).alias("who"), F.col("event_type").alias("kind"), F.from_json("props", "k bigint").alias("props"), F.col("value").alias("amount")))
+    variants.store_records(table(spark, sf, "events").select("event_id", record.alias("value")), path, keys=["event_id"])
+    with variants.shredding(spark):
+        stored = spark.read.parquet(path).where(variants.at("kind") == "purchase")
+        return variants.fields(stored, {"who.id": "bigint", "kind": "string", "props.k": "bigint", "amount": "double", "who": "json"}, ["event_id"])
