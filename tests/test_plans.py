@@ -10,9 +10,11 @@ from govspark.suite import QUERIES
 
 PYTHON_QUERIES = {
     "chunk_recursive", "chunk_cover", "chunk_stats", "chunk_stats_by_source", "filter_chunk_tokens", "embed_chunks", "vector_topk", "vector_topk_filtered", "vector_topk_batch", "rerank_flagged", "retrieval_confidence",
-    "vector_lsh", "search_documents", "answer_inputs", "pick_collection", "merge_collections", "filter_min_score", "extract_sources", "pack_context", "context_gate",
+    "chunk_overlap", "embed_chunk_vectors", "vector_lsh", "search_documents", "answer_inputs", "pick_collection", "merge_collections", "filter_min_score", "extract_sources", "pack_context", "context_gate",
+}
+RUNS_JOBS_FIRST = {
+    "quota_stream", "quota_stateful", "incremental_load", "envelope_stream", "growing_load", "growing_rejected", "history_stream", "recall_stream",
 }
-RUNS_JOBS_FIRST = {"quota_stream", "quota_stateful", "incremental_load"}
 
 
 def plan(df) -> str:
