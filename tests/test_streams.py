@@ -104,3 +104,15 @@ def test_loads_under_two_checkpoints_keep_all_rows(spark, tmp_path):
         spark.createDataFrame([(i, name) for i in ids], SCHEMA).coalesce(1).write.json(landing)
         table = incremental.incremental_load(spark, landing, target, str(tmp_path / f"checkpoint-{name}"), SCHEMA, "id")
     assert sorted((r["id"], r["v"]) for r in table.collect()) == [(i, "one" if i < 5 else "two") for i in range(13)]
+
+
+def test_parts_follow_the_expected_size_and_stay(spark, tmp_path):
+    assert [incremental.buckets_for(n) for n in (0, 10**8, 2 * 10**9, 10**12)] == [64, 64, 400, 4096]
+    landing, target = str(tmp_path / "landing"), str(tmp_path / "target")
+    for i, rows in enumerate((10**9, 0)):
+        spark.range(i * 20, i * 20 + 30).selectExpr("id", "'x' AS v").write.mode("append").json(landing)
+        table = incremental.incremental_load(spark, landing, target, str(tmp_path / "check"), "id long, v string", "id", expected_rows=rows)
+    assert table.count() == 50 and incremental.bucket_count(spark, target) == 200
+    old = str(tmp_path / "old")
+    incremental.start_table(spark.createDataFrame([], "id long"), old, "load")
+    assert incremental.bucket_count(spark, old, 4096) == 64
