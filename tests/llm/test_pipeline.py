@@ -72,3 +72,18 @@ def test_stages_keep_rows_without_a_key(spark, sf_dir):
     expected = sorted(map(repr, loose.collect()))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert sorted(map(repr, stage(spark, few, sf_dir).filter("doc_id IS NULL").collect())) == expected, name
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    names = ("doc", "body", "n", "gram", "kept_0", "score", "component_id", "n_hit", "term", "y")
+    wide = docs.limit(25).selectExpr("*", *(f"concat('{c}', doc_id) AS {c}" for c in names))
+    wide = spark.createDataFrame(wide.collect(), wide.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0, name
+        found = stage(spark, wide, sf_dir)
+        assert found.count() > 0, name
+        if name != "tokens":
+            assert none.columns == docs.columns and found.columns == wide.columns, name
+            assert all(r[c] == f"{c}{r.doc_id}" for r in found.collect() for c in names), name
