@@ -3,19 +3,27 @@
 Two tables lie in the index's folder, both dealt to folders by a hash and sorted, so that a search reads the files of its own
 words only:
 
-- ``postings``: term, key, attribute and the term's positions in it. A term of a third of all posts is dealt to several files.
+- ``postings``: term, key, attribute and position, one row per place. A term of a third of all posts is dealt to several files.
 - ``variants``: what is left of a term's first ``PREFIX`` characters after up to as many deletions as a typing error may
   cost, with the term. Two words within that distance share a variant, so candidates come by equality; the distance decides.
 
 A post is found if every word of the query is near a word of it. The order is: typing errors (per word the least), proximity
 (per pair of neighbouring query words the least distance of their best places in one attribute, at most ``FAR``), attribute
 (per word the first that holds it best), key.
+
+A search moves each place of a wanted term once, to the block of its post. There posts meet the queries, and only the best
+``k`` of every query leave a block, however many posts hold its words.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +36,15 @@ PREFIX, FAR = 7, 8
 #: Rows of one folder of a table, and terms or variants that may become a filter of the scan.
 FOLDER_ROWS, FILTER_TERMS = 2_000_000, 1000
 MAX_FOLDERS = 4096
+#: Characters of a word and the blank after it, by which the rows of ``postings`` are told.
+WORD_CHARS = 6
+#: Rows of a small table that travel to every task at once; more travel one after another.
+TRAVEL_ROWS = 500_000
+#: Rows of terms near the words of those queries that are searched in one pass.
+NEAR_ROWS = 1_000_000
+#: Rows of one block of posts, rows that are met at once, and rows that one task gets.
+BLOCK_ROWS, MEET_ROWS, TASK_ROWS = 200_000, 2_000_000, 4_000_000
+NO_KEY = -(2**63)
 
 
 def words(text: Column) -> Column:
@@ -44,20 +61,18 @@ def _term_typos(term: Column) -> Column:
     return F.when(F.length(term) >= TWO_TYPOS - 2, 2).when(F.length(term) >= ONE_TYPO - 1, 1).otherwise(0)
 
 
-def _shorter(word: Column) -> Column:
-    """The word without each of its characters."""
-    places = F.sequence(F.lit(1), F.length(word))
-    cut = F.transform(places, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
-    return F.when(F.length(word) > 0, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
-
-
 def _variants(word: Column, typos: Column) -> Column:
     """What is left of the first characters after up to that many deletions."""
     start = F.substr(word, F.lit(1), F.lit(PREFIX))
-    once = _shorter(start)
-    twice = F.flatten(F.transform(once, _shorter))
-    rest = F.when(typos >= 2, F.concat(once, twice)).when(typos >= 1, once).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(start), rest))
+
+    def without(*places: int) -> Column:
+        ends = [0, *places, PREFIX + 1]
+        left = F.concat(*(F.substr(start, F.lit(a + 1), F.lit(b - a - 1)) for a, b in zip(ends, ends[1:])))
+        return F.when((F.length(start) >= places[-1]) & (typos >= len(places)), left)
+
+    once = [without(i) for i in range(1, PREFIX + 1)]
+    twice = [without(i, j) for i in range(1, PREFIX) for j in range(i + 1, PREFIX + 1)]
+    return F.array_distinct(F.array_compact(F.array(start, *once, *twice)))
 
 
 def _folders(rows: int) -> int:
@@ -79,12 +94,14 @@ def build(posts: DataFrame, path: str, key: str, attributes: list[str]) -> None:
     spark = posts.sparkSession
     texts = F.array(*(F.struct(F.lit(i).alias("attribute"), words(F.col(a)).alias("words")) for i, a in enumerate(attributes)))
     cut = posts.select(F.col(key).alias("key"), F.explode(texts).alias("t")).select("key", "t.attribute", F.posexplode("t.words").alias("position", "term"))
-    postings = settle(cut.groupBy("term", "key", "attribute").agg(F.array_sort(F.collect_list("position")).alias("positions")), "postings")
-    terms = postings.groupBy("term").agg(F.count("*").alias("rows"))
-    variants = settle(terms.select("term", F.explode(_variants(F.col("term"), _term_typos(F.col("term")))).alias("variant")), "variants")
-    sizes = {name: _folders(df.count()) for name, df in (("postings", postings), ("variants", variants))}
-    _write(postings, f"{path}/postings", "term", ["key", "attribute"], sizes["postings"])
-    _write(variants, f"{path}/variants", "variant", ["term"], sizes["variants"])
+    chars = sum((F.coalesce(F.sum(F.length(a)), F.lit(0)) for a in attributes), F.lit(0))
+    sizes = {"postings": _folders(posts.agg(chars).first()[0] // WORD_CHARS)}
+    _write(cut, f"{path}/postings", "term", ["key", "attribute", "position"], sizes["postings"])
+    terms = settle(spark.read.parquet(f"{path}/postings").select("term").distinct(), "terms")
+    typos, start = _term_typos(F.col("term")), F.least(F.length("term"), F.lit(PREFIX))
+    most = 1 + F.when(typos >= 1, start).otherwise(0) + F.when(typos >= 2, F.floor(start * (start - 1) / 2)).otherwise(0)
+    sizes["variants"] = _folders(terms.agg(F.sum(most)).first()[0] or 0)
+    _write(terms.select("term", F.explode(_variants(F.col("term"), typos)).alias("variant")), f"{path}/variants", "variant", ["term"], sizes["variants"])
     spark.createDataFrame([(json.dumps(sizes),)], "sizes string").coalesce(1).write.mode("overwrite").text(f"{path}/sizes")
 
 
@@ -99,30 +116,204 @@ def _read(spark: SparkSession, path: str, name: str, by: str, wanted: DataFrame)
     return stored.drop("folder")
 
 
+def _met(stored: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """A join that leaves the stored rows where they are: what is wanted travels to them, in parts if there is much."""
+    parts = max(1, -(-wanted.count() // TRAVEL_ROWS))
+    met = [stored.join(F.broadcast(wanted.where(_folder(F.col(by), parts) == i)), by) for i in range(parts)]
+    for more in met[1:]:
+        met[0] = met[0].unionByName(more)
+    return met[0]
+
+
 def candidates(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
-    """(query_id, i, word, term, typos): terms of the index near each word of (query_id, i, word)."""
-    tried = asked.withColumn("allowed", allowed_typos(F.col("word")))
+    """(word, term, typos): terms of the index near each ``word``."""
+    tried = asked.select("word").distinct().withColumn("allowed", allowed_typos(F.col("word")))
     tried = settle(tried.withColumn("variant", F.explode(_variants(F.col("word"), F.col("allowed")))), "tried")
-    met = _read(spark, path, "variants", "variant", tried).join(tried, "variant").select("query_id", "i", "word", "allowed", "term").distinct()
+    met = _met(_read(spark, path, "variants", "variant", tried), tried, "variant")
     distance = F.levenshtein("word", "term")
-    return met.withColumn("typos", distance).where(F.col("typos") <= F.col("allowed")).drop("allowed")
-
-
-def _nearest(left: Column, right: Column) -> Column:
-    """The least distance of a position on the left and one on the right, 1 to FAR, in one pass over both, sorted."""
-    sides = F.concat(F.transform(left, lambda p: F.struct(p.alias("p"), F.lit(0).alias("s"))), F.transform(right, lambda p: F.struct(p.alias("p"), F.lit(1).alias("s"))))
-    none = F.lit(-FAR)
-    start = F.struct(none.alias("a"), none.alias("b"), F.lit(FAR).alias("best"))
-
-    def step(acc: Column, x: Column) -> Column:
-        other = F.when(x["s"] == 0, acc["b"]).otherwise(acc["a"])
-        return F.struct(
-            F.when(x["s"] == 0, x["p"]).otherwise(acc["a"]).alias("a"),
-            F.when(x["s"] == 1, x["p"]).otherwise(acc["b"]).alias("b"),
-            F.least(acc["best"], F.greatest(x["p"] - other, F.lit(1))).alias("best"),
-        )
-
-    return F.aggregate(F.array_sort(sides), start, step, lambda acc: acc["best"])
+    return met.withColumn("typos", distance).where(F.col("typos") <= F.col("allowed")).select("word", "term", "typos").distinct()
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., ``count[0]`` of them, then those of first[1], and so on."""
+    before = np.cumsum(count) - count
+    return np.arange(count.sum()) + np.repeat(first - before, count)
+
+
+def _pieces(count: np.ndarray) -> Iterator[slice]:
+    """Slices whose counts add up to MEET_ROWS or, where one alone has more, to that one's."""
+    total, at = np.cumsum(count), 0
+    while at < len(count):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + MEET_ROWS, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
+@dataclass
+class Asked:
+    """Queries of one pass. Term ``ids[i]`` answers the words ``word[first[i]:first[i + 1]]`` with so many ``typos``; query q
+    is the words ``of[begin[q]:begin[q + 1]]``."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    word: np.ndarray
+    typos: np.ndarray
+    begin: np.ndarray
+    of: np.ndarray
+    words: int
+
+
+@dataclass
+class Best:
+    """The best ``k`` posts so far of every query, in order: (query, typos, proximity, attribute, key)."""
+
+    queries: int
+    k: int
+    rows: np.ndarray = field(init=False)
+    last: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.rows = np.empty((5, 0), np.int64)
+        self.last = np.full((4, self.queries), np.iinfo(np.int64).max)
+
+    def may_enter(self, query: np.ndarray, *rank: np.ndarray) -> np.ndarray:
+        enters = np.zeros(len(query), bool)
+        for mine, last in zip(rank[::-1], self.last[::-1]):
+            enters = (mine < last[query]) | ((mine == last[query]) & enters)
+        return enters
+
+    def add(self, rows: np.ndarray) -> None:
+        rows = np.concatenate([self.rows, rows], axis=1)
+        rows = rows[:, np.lexsort(rows[::-1])]
+        place = np.arange(rows.shape[1]) - np.searchsorted(rows[0], rows[0])
+        self.rows = rows[:, place < self.k]
+        full = rows[:, place == self.k - 1]
+        self.last[:, full[0]] = full[1:]
+
+
+class Block:
+    """Places of wanted terms in some posts, whole ones, by post."""
+
+    def __init__(self, asked: Asked, key: np.ndarray, term: np.ndarray, attribute: np.ndarray, position: np.ndarray) -> None:
+        self.asked = asked
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        self.key, post = key[new], np.cumsum(new) - 1
+        at = np.searchsorted(asked.ids, term)
+        count = asked.first[at + 1] - asked.first[at]
+        entry, row = _ranges(asked.first[at], count), np.repeat(np.arange(len(key)), count)
+        code, typos = post[row] * asked.words + asked.word[entry], asked.typos[entry]
+        order = np.lexsort((position[row], attribute[row], typos, code))
+        code, typos, row = code[order], typos[order], row[order]
+        begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        #: words in posts: which, with how many typing errors at least, and the first attribute that has it so
+        self.code, self.typos, self.attribute = code[begins], typos[begins], attribute[row[begins]]
+        pair = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(code))))
+        best = typos == self.typos[pair]
+        self.span, self.attributes = int(position.max()) + 1, int(attribute.max()) + 1
+        #: the best places of each word in a post, in order
+        self.places = (pair[best] * self.attributes + attribute[row[best]]) * self.span + position[row[best]]
+        self.first_place = np.searchsorted(self.places, np.arange(len(begins) + 1) * self.attributes * self.span)
+
+    def nearest(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The least distance, 1 to FAR, of places of two words of a post in one attribute."""
+        sizes = np.diff(self.first_place)
+        left, right = np.where(sizes[left] <= sizes[right], (left, right), (right, left))
+        out = np.full(len(left), FAR)
+        width = self.attributes * self.span
+        for some in _pieces(sizes[left]):
+            count = sizes[left[some]]
+            there = self.places[_ranges(self.first_place[left[some]], count)] + np.repeat((right[some] - left[some]) * width, count)
+            after = np.searchsorted(self.places, there)
+            near = np.full(len(there), FAR)
+            for at in (np.minimum(after, len(self.places) - 1), np.maximum(after - 1, 0)):
+                same = self.places[at] // self.span == there // self.span
+                near = np.where(same, np.minimum(near, np.abs(self.places[at] - there)), near)
+            out[some] = np.minimum.reduceat(near, np.cumsum(count) - count)
+        return np.maximum(out, 1)
+
+    def meet(self, best: Best) -> None:
+        """Every query meets the posts that hold the rarest of its words here."""
+        asked = self.asked
+        by_word = np.argsort(self.code % asked.words, kind="stable")
+        held = np.bincount(self.code % asked.words, minlength=asked.words)
+        first = np.cumsum(held) - held
+        least = np.minimum.reduceat(held[asked.of], asked.begin[:-1])
+        n = np.diff(asked.begin)
+        rarest = np.flatnonzero(held[asked.of] == np.repeat(least, n))
+        owner = np.repeat(np.arange(len(n)), n)[rarest]
+        rarest = rarest[np.concatenate([[True], owner[1:] != owner[:-1]])]
+        live = np.flatnonzero(least)
+        for some in _pieces(least[live]):
+            queries = live[some]
+            query = np.repeat(queries, least[queries])
+            post = self.code[by_word[_ranges(first[asked.of[rarest[queries]]], least[queries])]] // asked.words
+            self._rank(query, post, n, best)
+
+    def _rank(self, query: np.ndarray, post: np.ndarray, n: np.ndarray, best: Best) -> None:
+        asked, most = self.asked, int(n[query].max())
+        pairs = np.full((most, len(query)), -1)
+        stays = np.ones(len(query), bool)
+        for i in range(most):
+            has = np.flatnonzero(n[query] > i)
+            wanted = post[has] * asked.words + asked.of[asked.begin[query[has]] + i]
+            at = np.minimum(np.searchsorted(self.code, wanted), len(self.code) - 1)
+            pairs[i, has] = at
+            stays[has] &= self.code[at] == wanted
+        query, post, pairs = query[stays], post[stays], pairs[:, stays]
+        typos = np.where(pairs >= 0, self.typos[pairs], 0).sum(axis=0)
+        attribute = np.where(pairs >= 0, self.attribute[pairs], 0).sum(axis=0)
+        stays = best.may_enter(query, typos, n[query] - 1, attribute, self.key[post])
+        query, post, pairs, typos, attribute = query[stays], post[stays], pairs[:, stays], typos[stays], attribute[stays]
+        proximity = np.zeros(len(query), np.int64)
+        for left, right in zip(pairs[:-1], pairs[1:]):
+            both = np.flatnonzero(right >= 0)
+            each, back = np.unique(left[both] * len(self.code) + right[both], return_inverse=True)
+            proximity[both] += self.nearest(each // len(self.code), each % len(self.code))[back]
+        best.add(np.stack([query, typos, proximity, attribute, self.key[post]]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows by key in blocks of about BLOCK_ROWS; no key is in two of them."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        rows += batch.num_rows
+        if rows >= BLOCK_ROWS:
+            block = [np.concatenate(c) for c in zip(*held)]
+            end = int(np.searchsorted(block[0], block[0][-1]))
+            if end:
+                yield [c[:end] for c in block]
+            held, rows = [[c[end:] for c in block]], len(block[0]) - end
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _search_pass(places: DataFrame, slots: DataFrame, near: DataFrame, k: int, tasks: int) -> DataFrame:
+    """The best posts of every query and task, of ``places`` (key, id, attribute, position), queries as ``slots``
+    (query_id, i, slot) and ``near`` (slot, id, typos)."""
+    spark = places.sparkSession
+    said, terms = slots.orderBy("query_id", "i").toArrow(), near.orderBy("id").toArrow()  # at most about NEAR_ROWS
+    ids = said["query_id"].combine_chunks().unique()
+    names = said["slot"].combine_chunks().unique()
+    number = lambda c: pa.compute.index_in(c, value_set=names).combine_chunks().to_numpy().astype(np.int64)
+    owner = pa.compute.index_in(said["query_id"], value_set=ids).combine_chunks().to_numpy()
+    known, first = np.unique(terms["id"].to_numpy(), return_index=True)
+    asked = spark.sparkContext.broadcast(Asked(
+        known, np.append(first, len(terms)), number(terms["slot"]), terms["typos"].to_numpy().astype(np.int64),
+        np.searchsorted(owner, np.arange(len(ids) + 1)), number(said["slot"]), len(names),
+    ))
+    queries = spark.sparkContext.broadcast(ids)
+    kind = slots.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(queries.value), k)
+        for key, term, attribute, position in _blocks(batches):
+            Block(asked.value, key, term, attribute.astype(np.int64), position.astype(np.int64)).meet(best)
+        query, *rank = best.rows
+        yield pa.RecordBatch.from_arrays([queries.value.take(pa.array(query)), *map(pa.array, rank)], names=["query_id", "typos", "proximity", "attribute", "key"])
+
+    dealt = places.repartition(tasks, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, f"query_id {kind}, typos long, proximity long, attribute long, key long")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, among: DataFrame | None = None) -> DataFrame:
@@ -130,30 +321,41 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, among
 
     ``among`` is a table (key) of posts that may be found, the result of any filter. A query without words finds nothing.
     """
-    listed = queries.select("query_id", words(F.col("query")).alias("w"))
-    asked = settle(listed.select("query_id", F.size("w").alias("n"), F.posexplode("w").alias("i", "word")), "asked")
-    near = settle(candidates(spark, path, asked.drop("n")), "near")
+    listed = queries.where("query_id IS NOT NULL").select("query_id", words(F.col("query")).alias("w"))
+    asked = settle(listed.select("query_id", F.posexplode("w").alias("i", "word")).distinct(), "asked")
+    near = settle(candidates(spark, path, asked), "near")
     postings = _read(spark, path, "postings", "term", near)
-    if among is not None:
-        postings = postings.join(among.select("key"), "key", "left_semi")
-    hits = postings.join(near.drop("word"), "term")
-    # the best places of every query word, by attribute; then every word in one row of the post
-    by_attribute = hits.groupBy("query_id", "key", "i", "typos", "attribute").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-    by_typos = by_attribute.groupBy("query_id", "key", "i", "typos").agg(F.map_from_entries(F.collect_list(F.struct("attribute", "positions"))).alias("places"))
-    best = by_typos.groupBy("query_id", "key", "i").agg(F.min_by("places", "typos").alias("places"), F.min("typos").alias("typos"))
-    found = best.groupBy("query_id", "key").agg(
-        F.sum("typos").alias("typos"), F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("i", "places")), lambda x, y: x["i"] - y["i"]).alias("w"),
-    )
-    found = found.join(F.broadcast(asked.select("query_id", "n").distinct()) if asked.count() <= FILTER_TERMS else asked.select("query_id", "n").distinct(), "query_id").where("m = n")
-
-    def pair(j: Column) -> Column:
-        left, right = F.get("w", j)["places"], F.get("w", j + 1)["places"]
-        shared = F.array_intersect(F.map_keys(left), F.map_keys(right))
-        return F.coalesce(F.array_min(F.transform(shared, lambda a: _nearest(F.element_at(left, a), F.element_at(right, a)))), F.lit(FAR))
-
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), pair)).otherwise(F.array().cast("array<int>"))
-    first = F.transform("w", lambda x: F.array_min(F.map_keys(x["places"])))
-    total = lambda values: F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
-    ranked = found.select("query_id", "key", F.col("typos").cast("int").alias("typos"), total(pairs).alias("proximity"), total(first).alias("attribute"))
+    kind = postings.schema["key"].dataType
+    # the words of a place of a query are one, unless rows of different queries have the same query_id
+    slots = asked.groupBy("query_id", "i").agg(F.sort_array(F.collect_set("word")).alias("of"))
+    slots = settle(slots.select("query_id", "i", "of", F.array_join("of", " ").alias("slot")), "slots")
+    ids = settle(near.select("term").distinct().withColumn("id", F.monotonically_increasing_id()), "term-ids")
+    words_near = near.groupBy("word").agg(F.count("*").alias("m"))
+    passes = max(1, -(-(asked.join(words_near, "word").agg(F.sum("m")).first()[0] or 0) // NEAR_ROWS))
+    found = []
+    for i in range(passes):
+        some = slots.where(_folder(F.col("query_id"), passes) == i)
+        answers = some.select("slot", F.explode("of").alias("word")).distinct().join(near, "word").join(ids, "term").select("slot", "id", "typos")
+        answers = settle(answers, "answers")
+        wanted = ids.join(answers.select("id").distinct(), "id", "left_semi")
+        answered = some.join(answers.select("slot").distinct(), "slot", "left_semi")
+        # a query with a word that no term is near finds nothing
+        whole = some.groupBy("query_id").agg(F.count("*").alias("n")).join(answered.groupBy("query_id").agg(F.count("*").alias("n")), ["query_id", "n"])
+        whole = settle(some.join(whole, "query_id", "left_semi").select("query_id", "i", "slot"), "whole")
+        if whole.isEmpty():
+            continue
+        places = _met(postings, wanted, "term").select(F.coalesce(F.col("key").cast("long"), F.lit(NO_KEY)).alias("key"), "id", "attribute", "position")
+        if among is not None:
+            places = places.join(among.select(F.col("key").cast("long").alias("key")), "key", "left_semi")
+        tasks = max(spark.sparkContext.defaultParallelism, -(-places.count() // TASK_ROWS))
+        answers = answers.join(whole.select("slot").distinct(), "slot", "left_semi")
+        found.append(settle(_search_pass(places, whole, answers, k, tasks), "found"))
+    if not found:
+        id_kind = queries.schema["query_id"].dataType.simpleString()
+        return spark.createDataFrame([], f"query_id {id_kind}, key {kind.simpleString()}, typos int, proximity int, attribute int, rank int")
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
     order = W.partitionBy("query_id").orderBy("typos", "proximity", "attribute", "key")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found[0].withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    key = F.when(F.col("key") != NO_KEY, F.col("key")).cast(kind).alias("key")
+    return ranked.select("query_id", key, *(F.col(c).cast("int").alias(c) for c in ("typos", "proximity", "attribute")), "rank")

@@ -100,3 +100,19 @@ def test_a_hot_term_lies_in_several_files(spark, tmp_path):
     files = spark.read.parquet(str(tmp_path / "x" / "postings")).selectExpr("input_file_name() AS f", "term").distinct().groupBy("term").count().collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert all(r["count"] > 1 for r in files)
+
+
+def test_hits_do_not_grow_with_equal_queries(spark, index, monkeypatch):
+    """Places move once, whatever the number of queries, and as many queries as do not fit one pass take several."""
+    moved = []
+    kept = text_index._search_pass
+    monkeypatch.setattr(text_index, "_search_pass", lambda places, *more: (moved.append(places.count()), kept(places, *more))[1])
+    few = spark.createDataFrame([(0, "common vote")], "query_id long, query string")
+    many = spark.createDataFrame([(i, "common vote") for i in range(60)], "query_id long, query string")
+    first = {r.key: r.rank for r in text_index.search(spark, index, few).collect()}
+    found = text_index.search(spark, index, many).collect()
+    assert moved[0] == moved[1] and len(moved) == 2
+    assert len(found) == 60 * len(first) and all(first[r.key] == r.rank for r in found)
+    monkeypatch.setattr(text_index, "NEAR_ROWS", 40)
+    again = text_index.search(spark, index, many).collect()
+    assert len(moved) > 3 and sorted(map(tuple, again)) == sorted(map(tuple, found))
