@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +25,7 @@ PARTS = 4
 #: What a part hands out: newest messages, memories, or, with neither, that it was touched.
 LAST, MEMORY, TOUCHED = "last", "memory", "touched"
 OUTPUT = "conv_id bigint, part int, kind string, turn bigint, role string, text string, overlap int, asked bigint, version bigint"
+HANDED = Row(*(c.split()[0] for c in OUTPUT.split(", ")))
 
 
 STATE = (
@@ -43,33 +43,31 @@ class Conversation(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("conversation", STATE, self.expiry)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         last, asked, wanted, memories, version = self.state.get() or ([], None, [], [], 0)
         newest = [tuple(m) for m in last]
         known = {m[0]: (m[1], list(m[2])) for m in memories}
-        for batch in rows:
-            batch = batch.sort_values("op", key=lambda op: op != FORGET, kind="stable")  # what comes with it is said after it
-            for op, turn, role, text, words in zip(batch["op"], batch["turn"], batch["role"], batch["text"], batch["words"]):
-                if op == FORGET:
-                    newest, known, asked, wanted = [], {}, None, []
-                elif op == ASK:
-                    if asked is None or turn >= asked:
-                        asked, wanted = int(turn), list(words)
-                else:
-                    newest.append((int(turn), role, text))
-                    if len(words):
-                        known[int(turn)] = (text, list(words))
-            newest = sorted(newest, key=lambda m: -m[0])[: self.keep]
+        for row in sorted(rows, key=lambda r: r["op"] != FORGET):  # what comes with it is said after it
+            op, turn, words = row["op"], row["turn"], row["words"]
+            if op == FORGET:
+                newest, known, asked, wanted = [], {}, None, []
+            elif op == ASK:
+                if asked is None or turn >= asked:
+                    asked, wanted = int(turn), list(words)
+            else:
+                newest.append((int(turn), row["role"], row["text"]))
+                if len(words):
+                    known[int(turn)] = (row["text"], list(words))
+        newest = sorted(newest, key=lambda m: -m[0])[: self.keep]
         self.state.update((newest, asked, list(wanted), [(turn, *m) for turn, m in known.items()], version + 1))
-        out = [(*key, LAST, *m, None, asked) for m in newest]
+        for turn, role, text in newest:
+            yield HANDED(*key, LAST, turn, role, text, None, asked, version + 1)
         if asked is not None:
             of = set(wanted)
             found = [(len(of.intersection(words)), turn, text) for turn, (text, words) in known.items() if turn < asked]
-            found = sorted((f for f in found if f[0]), key=lambda f: (-f[0], -f[1]))[: self.best]
-            out += [(*key, MEMORY, turn, None, text, n, asked) for n, turn, text in found]
-        out.append((*key, TOUCHED, None, None, None, None, asked))
-        frame = pd.DataFrame(out, columns=["conv_id", "part", "kind", "turn", "role", "text", "overlap", "asked"]).assign(version=version + 1)
-        yield frame.astype({c: "Int64" for c in ("turn", "overlap", "asked")})
+            for n, turn, text in sorted((f for f in found if f[0]), key=lambda f: (-f[0], -f[1]))[: self.best]:
+                yield HANDED(*key, MEMORY, turn, None, text, n, asked, version + 1)
+        yield HANDED(*key, TOUCHED, None, None, None, None, asked, version + 1)
 
     def close(self) -> None:
         pass
@@ -96,7 +94,7 @@ def conversation_states(messages: DataFrame, keep: int = HISTORY, memories: int
     RocksDB state store."""
     commands = messages if "op" in messages.columns else messages.withColumn("op", F.lit(ADD))
     states = _events(commands, parts).groupBy("conv_id", "part")
-    return states.transformWithStateInPandas(Conversation(keep, memories, expiry_ms), OUTPUT, "append", "processingTime" if expiry_ms else "none")
+    return states.transformWithState(Conversation(keep, memories, expiry_ms), OUTPUT, "append", "processingTime" if expiry_ms else "none")
 
 
 def _newest(states: DataFrame) -> DataFrame:
@@ -117,8 +115,8 @@ def current_memories(states: DataFrame, memories: int = MEMORIES) -> DataFrame:
     return memory_text(rows.select("conv_id", "turn", "text", "overlap"), memories)
 
 
-def landed_messages(spark: SparkSession, messages: DataFrame, files: int) -> DataFrame:
-    """A stream of stored messages, one file a batch, dealt to files without regard to their order."""
-    path = run_dir(spark, "messages")
-    messages.repartition(files, F.xxhash64("conv_id", "turn")).write.parquet(path)
-    return spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def landed_messages(spark: SparkSession, messages: DataFrame, batches: int) -> DataFrame:
+    """A stream of stored messages in so many batches, dealt without regard to their order; each core writes a file of each."""
+    path, files = run_dir(spark, "messages"), spark.sparkContext.defaultParallelism
+    messages.repartition(batches * files, F.xxhash64("conv_id", "turn")).write.parquet(path)
+    return spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from govspark.operators import history
@@ -52,3 +53,31 @@ def test_forget(spark):
     same(memory.current_transcripts(found), history.history_transcript(df))
     same(memory.current_memories(found), history.memory_recall(df))
     assert memory.current_transcripts(found).where(F.col("conv_id") == 1).first().transcript.count("\n") == 1
+
+
+def test_every_core_writes_a_file_of_a_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(memory, "run_dir", lambda spark, name: str(tmp_path / name))
+    memory.landed_messages(spark, spark.createDataFrame([(i, 0, "user", "x") for i in range(500)], "conv_id long, turn int, role string, text string"), 2)
+    assert len(list((tmp_path / "messages").glob("*.parquet"))) == 2 * spark.sparkContext.defaultParallelism  # 2 in all before
+
+
+def test_a_part_takes_plain_rows():
+    """Without a frame per key and batch, which took most of the time."""
+
+    class Kept:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    part = memory.Conversation(2, 2, None)
+    part.state = Kept()
+    said = Row("op", "turn", "role", "text", "words")
+    rows = [said(memory.ADD, 0, "user", "a b", ["a", "b"]), said(memory.ASK, 3, "user", "b", ["b"]), said(memory.ADD, 1, "bot", "c", ["c"]), said(memory.ADD, 2, "bot", None, [])]
+    out = [r.asDict() for r in part.handleInputRows((7, 0), iter(rows), None)]
+    assert [(r["kind"], r["turn"], r["overlap"], r["version"]) for r in out] == [("last", 2, None, 1), ("last", 1, None, 1), ("memory", 0, 1, 1), ("touched", None, None, 1)]
+    out = list(part.handleInputRows((7, 0), iter([said(memory.ADD, 4, "user", "d", ["d"]), said(memory.FORGET, None, None, None, [])]), None))
+    assert [(r["kind"], r["turn"], r["asked"], r["version"]) for r in out] == [("last", 4, None, 2), ("touched", None, None, 2)]
