@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,9 @@ CHUNK_SIZE, CHUNK_OVERLAP, MIN_CHUNK_TOKENS = 1000, 200, 50
 PARAGRAPH_DELIMITERS = ["\n\n\n", "\n\n", "\n---\n", "\n##", "\n#"]
 WINDOW_WIDTH, MIN_PIECE, MIN_PARAGRAPH = 3000, 100, 200
 
+#: Characters of texts whose chunks a task holds at once; a longer text is alone.
+PART_CHARS = 1_000_000
+
 SECTIONS = ["beginning", "early_middle", "late_middle", "end"]
 
 
@@ -71,6 +74,33 @@ def split_text(
     yield from _merge(fitting, size, overlap, count)
 
 
+def chunk_batches(
+    batches: Iterator[pa.RecordBatch], split: Callable[[str], Iterator[str]], tokens: Callable[[str], int], part_chars: int = PART_CHARS
+) -> Iterator[pa.RecordBatch]:
+    """The chunks of batches (doc_id, text, source), handed on whenever those of ``part_chars`` characters are ready."""
+    kinds = [pa.int64(), pa.string(), *[pa.int32()] * 4, pa.string()]
+    names = ["doc_id", "source", "chunk_index", "total_chunks", "chunk_size", "chunk_tokens", "content"]
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+
+    for batch in batches:
+        rows, held = [], 0
+        for doc_id, text, source in zip(*batch.columns):
+            text = text.as_py()
+            if not text or not text.strip():
+                continue
+            chunks = [c for c in (c.strip() for c in split(text)) if c]
+            key, name = doc_id.as_py(), source.as_py()
+            rows.extend((key, name, i, len(chunks), len(c), tokens(c), c) for i, c in enumerate(chunks))
+            held += len(text)
+            if held >= part_chars:
+                yield frame(rows)
+                rows, held = [], 0
+        yield frame(rows)
+
+
 def chunk_recursive(
     documents: DataFrame,
     size: int = CHUNK_SIZE,
@@ -79,29 +109,18 @@ def chunk_recursive(
 ) -> DataFrame:
     """One row per chunk of (doc_id, text, source). Documents are independent, so there is no shuffle.
 
-    ``count`` is a tokenizer's count; without one, four characters make a token.
+    ``count`` is a tokenizer's count; without one, four characters make a token. A task holds the chunks of about
+    ``PART_CHARS`` characters, however many rows come in one batch.
     """
     weigh, tokens = (count, count) if count else (quarter_weight, quarter_length)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, source in zip(batch["doc_id"], batch["text"], batch["source"]):
-                if not text or not text.strip():
-                    continue
-                chunks = [c for c in (c.strip() for c in split_text(text, size, overlap, weigh)) if c]
-                rows.extend(
-                    (doc_id, source, i, len(chunks), len(c), tokens(c), c) for i, c in enumerate(chunks)
-                )
-            yield pd.DataFrame(
-                rows,
-                columns=["doc_id", "source", "chunk_index", "total_chunks", "chunk_size", "chunk_tokens", "content"],
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return chunk_batches(batches, lambda text: split_text(text, size, overlap, weigh), tokens)
 
     schema = (
         "doc_id bigint, source string, chunk_index int, total_chunks int, chunk_size int, chunk_tokens int, content string"
     )
-    return documents.select("doc_id", "text", "source").mapInPandas(run, schema)
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")).mapInArrow(run, schema)
 
 
 def sliding_windows(text: Column, windows: int = 3, width: int = WINDOW_WIDTH) -> Column:
