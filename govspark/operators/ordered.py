@@ -9,6 +9,8 @@ a small table, are added.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,6 +32,8 @@ def split_points(df: DataFrame, key: Column, parts: int) -> list[float]:
 
 #: Rows of one group that a plain window may get, and sampled rows by which a larger group is told.
 WINDOW_ROWS, SAMPLED_ROWS = 1_000_000, 10_000
+#: Bytes of texts of one group, or of one part of it, that a window may get: rows with long texts are fewer.
+WINDOW_BYTES = 64_000_000
 
 
 def _sampled(df: DataFrame, window_rows: int) -> tuple[DataFrame, float]:
@@ -37,11 +41,22 @@ def _sampled(df: DataFrame, window_rows: int) -> tuple[DataFrame, float]:
     return (df.sample(share, seed=11) if share < 1 else df), share
 
 
+def _text_bytes(df: DataFrame, keys: list[str]) -> Column:
+    """Bytes of a row's texts that are no keys."""
+    texts = [name for name, kind in df.dtypes if kind in ("string", "binary") and name not in keys]
+    return sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts), F.lit(0)).cast("bigint")
+
+
+def _hot(df: DataFrame, keys: list[str], window_rows: int, window_bytes: float) -> DataFrame:
+    sample, share = _sampled(df.select(*keys, _text_bytes(df, keys).alias("_bytes")), window_rows)
+    counted = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.sum("_bytes") / share).alias("_bytes"))
+    hot = counted.where((F.col("_n") > window_rows * share) | (F.col("_bytes") > window_bytes))
+    return settle(hot.select(*keys, F.lit(True).alias("_hot"), "_bytes"), "hot-groups")
+
+
 def hot_groups(df: DataFrame, keys: list[str], window_rows: int) -> DataFrame:
     """Keys of the groups with about ``window_rows`` rows or more: at most as many as the rows divided by that."""
-    sample, share = _sampled(df.select(*keys), window_rows)
-    counted = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > window_rows * share)
-    return settle(counted.select(*keys, F.lit(True).alias("_hot")), "hot-groups")
+    return _hot(df.select(*keys), keys, window_rows, math.inf).drop("_bytes")
 
 
 def _null_free(df: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
@@ -66,9 +81,12 @@ def running(
     totals: bool = False,
     window_rows: int = WINDOW_ROWS,
     parts: int | None = None,
+    window_bytes: int = WINDOW_BYTES,
 ) -> DataFrame:
     """Adds per measure its sum over the rows of the same group up to and including this row.
 
+    A group of more than ``window_rows`` rows or ``window_bytes`` bytes of texts is cut into parts of at most about as many bytes.
+
     ``group`` columns are numbers, texts, dates or timestamps. ``order`` must be unique inside a group; its first column
     is numeric or a timestamp, has no nulls and spreads the rows. With ``totals`` also ``<name>_total``, the sum over
     the whole group.
@@ -83,17 +101,20 @@ def running(
         sums = {n: F.sum(f"_m_{n}").over(up_to) for n in names}
         return sums | ({f"{n}_total": F.sum(f"_m_{n}").over(whole) for n in names} if totals else {})
 
-    hot = hot_groups(measured, keys, window_rows)
-    if hot.isEmpty():
+    hot = _hot(measured, keys, window_rows, window_bytes)
+    held = hot.agg(F.sum("_bytes")).first()[0]
+    if held is None:
         return measured.withColumns(inside(*keys)).drop(*internal)
+    parts = parts or max(default_parts(df), math.ceil(held / window_bytes))
+    hot = hot.drop("_bytes")
 
     key = F.col(order[0])
     if dict(df.dtypes)[order[0]].startswith("timestamp"):
         key = F.unix_micros(key.cast("timestamp"))
-    flagged = measured.join(hot, keys, "left").withColumn("_key", key.cast("double"))
+    flagged = measured.join(hot, keys, "left").withColumn("_key", F.coalesce(key.cast("double"), F.lit(float("-inf"))))
     # Any split points are right; sampled ones are near enough to even.
     rows, _ = _sampled(flagged.where("_hot").select("_key"), window_rows)
-    cuts = split_points(rows, F.col("_key"), parts or default_parts(df))
+    cuts = split_points(rows, F.col("_key"), parts)
     bucketizer = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_cut", handleInvalid="keep"
     )
