@@ -426,3 +426,36 @@ def test_file_inventory(spark, tmp_path):
     rows = profile.file_inventory(spark.read.parquet(path)).collect()
     assert sorted((r["row_count"], r["column_count"]) for r in rows) == [(5, 1), (10, 1)]
     assert all(r["bytes"] > 0 for r in rows)
+
+
+def test_estimates_are_held_against_exact_numbers(spark, sf_dir):
+    from govspark.suite import ORACLES, QUERIES
+
+    rows = QUERIES["profile_columns_approx"](spark, sf_dir).collect()
+    assert "near_exact" in ORACLES["profile_columns_approx"] and len(rows) == 6 and all(r["near_exact"] for r in rows)
+    assert all(r["unique_count"] > 0 for r in QUERIES["profile_columns_estimates"](spark, sf_dir).collect())
+
+
+def test_chunks_leave_in_small_batches():
+    import pyarrow as pa
+
+    texts = [None if i % 7 == 0 else "one two three. " * 40 * (i % 5) for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts), pa.array(["s"] * 50)], names=["doc_id", "text", "source"])
+    split = lambda text: chunk.split_text(text, 20, 5)
+    whole, parts = (list(chunk.chunk_batches(iter([batch]), split, chunk.quarter_length, n)) for n in (10**9, 1000))
+    assert len(parts) > 10 and max(p.num_rows for p in parts) < whole[0].num_rows / 5
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+
+
+@pytest.mark.parametrize("group", [["g"], []])
+def test_a_group_of_long_texts_is_cut(spark, group):
+    rows = [(i % 2, i // 2, "x" * 1000) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, k long, body string").withColumn("all", F.lit(0))
+    by = group or ["all"]
+    cut = ordered.running(df, by, ["k"], {"upto": F.length("body")}, totals=True, window_bytes=20_000)
+    assert "_part" in cut._jdf.queryExecution().analyzed().toString()  # few rows were one window before
+    whole = ordered.running(df, by, ["k"], {"upto": F.length("body")}, totals=True)
+    plain = lambda x: sorted((r["g"], r["k"], r["upto"], r["upto_total"]) for r in x.collect())
+    if group:
+        assert plain(cut) == plain(whole)
+    assert sorted(r["upto"] for r in cut.collect()) == sorted(r["upto"] for r in whole.collect())
