@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govspark.llm.words import parts, text_buffers
+from govspark.llm.words import map_texts, parts, text_buffers
 
 #: Merges that are kept in a worker.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: Bytes of a piece beyond which it is merged alone, with a heap.
 LONG_PIECE = 100
 NO_MERGE = np.iinfo(np.int64).max
@@ -333,7 +333,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", tokens: str = "
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v.astype(np.int32))) for v in (ids, place)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + lists, names=[*kept, tokens, starts])
 
-    return docs.select(*{c: docs[c] for c in [*kept, text]}.values()).mapInArrow(run, schema) if text in kept else docs.mapInArrow(run, schema)
+    return map_texts(docs.select(*{c: docs[c] for c in [*kept, text]}.values()) if text in kept else docs, run, schema)
 
 
 def decode(docs: DataFrame, ranks_path: str, tokens: str = "tokens", text: str = "decoded") -> DataFrame:
@@ -373,7 +373,7 @@ def encode_verified(docs: DataFrame, ranks_path: str, kept: tuple[str, ...] = ("
                 tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(np.diff(at).astype(np.int32)), tokens, digests], names=schema.names)
 
-    found = plain.mapInArrow(run, schema)
+    found = map_texts(plain, run, schema)
     return found.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(kept)), "n_tokens", "tokens", "decoded_sha256")
 
 
@@ -405,4 +405,4 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, key: str = "doc_id", te
                     names=schema.names,
                 )
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return map_texts(docs.select(key, text), run, schema)

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from govspark.llm.components import components
 from govspark.llm.tables import broadcast_ids, plain_docs
-from govspark.llm.words import mix, parts, split_words, window_hashes
+from govspark.llm.words import HASHED_BYTES, map_texts, mix, parts, split_words, window_hashes
 from govspark.scratch import settle
 
 WIDTH = 5
@@ -97,7 +97,7 @@ def _hash_block(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, limit=HASHED_BYTES):
                 grams, first = gram_sets(part.column("body"), width)
                 n = np.diff(first)
                 doc = part.column("doc").to_numpy()
@@ -117,18 +117,18 @@ def _hash_block(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     schema=pa.schema([("gram", pa.int64(), False), ("doc", pa.int64(), False), ("n", pa.int32(), False), ("a", pa.int64()), ("b", pa.int64())]),
                 )
 
-    return docs.mapInArrow(run, _BLOCK)
+    return map_texts(docs, run, _BLOCK)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, limit=HASHED_BYTES):
                 grams, first = gram_sets(part.column("body"), width)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(np.diff(first).astype(np.int32)), lists], names=["doc", "n", "grams"])
 
-    return docs.mapInArrow(run, "doc long, n int, grams array<long>")
+    return map_texts(docs, run, "doc long, n int, grams array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govspark.llm.words import parts, split_words, text_buffers
+from govspark.llm.words import HASHED_BYTES, map_texts, parts, split_words, text_buffers
 from govspark.scratch import settle
 
 #: Labelled documents used at most.
@@ -104,12 +104,12 @@ def features(docs: DataFrame, key: str, text: str, metadata: list[str], length:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, limit=HASHED_BYTES):
                 table = text_features(part.column("body"))
                 x = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(table.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc"), x, *(part.column(c) for c in names)], names=["doc", "x", *names])
 
-    return plain.mapInArrow(run, f"doc {kind}, x array<double>, " + ", ".join(f"{c} string" for c in names))
+    return map_texts(plain, run, f"doc {kind}, x array<double>, " + ", ".join(f"{c} string" for c in names))
 
 
 def _fit(rows: DataFrame, view: str):

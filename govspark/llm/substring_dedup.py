@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govspark.llm.tables import broadcast_ids, not_null, plain_docs, required
-from govspark.llm.words import Words, parts, split_words, window_hashes
+from govspark.llm.words import HASHED_BYTES, Words, map_texts, parts, split_words, window_hashes
 from govspark.scratch import settle
 
 WIDTH = 13
@@ -72,7 +72,7 @@ def _exact_copies(docs: DataFrame) -> DataFrame:
 def _seed_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, limit=HASHED_BYTES):
                 words = split_words(part.column("body"))
                 low, starts = _window_minima(words.hashes(), words.first, width, seed)
                 owner = words.document()[starts]
@@ -80,7 +80,7 @@ def _seed_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
                 yield required(low=_signed(low[new]), doc=part.column("doc").to_numpy()[owner[new]])
 
-    return docs.mapInArrow(run, not_null(low="long", doc="long"))
+    return map_texts(docs, run, not_null(low="long", doc="long"))
 
 
 def _fold_periods(nodes: np.ndarray, at: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,7 @@ def _node_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, limit=HASHED_BYTES):
                 words = split_words(part.column("body"))
                 hashes = words.hashes()
                 low, starts = _window_minima(hashes, words.first, width, seed)
@@ -138,7 +138,7 @@ def _node_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
                     last=np.where(last < 0, -1, last - words.first[owner]).astype(np.int32),
                 )
 
-    return docs.mapInArrow(run, not_null(node="long", around="long", doc="long", pos="int", last="int"))
+    return map_texts(docs, run, not_null(node="long", around="long", doc="long", pos="int", last="int"))
 
 
 def _repeated_paths(docs: DataFrame, originals: DataFrame, width: int, seed: int) -> DataFrame:
@@ -218,7 +218,7 @@ def cut(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, limit=HASHED_BYTES):
                 words = split_words(part.column("body"))
                 gone = _removed(words, part.column("spans"), part.column("copy").to_numpy(zero_copy_only=False), width)
                 total = np.concatenate([[0], np.cumsum(gone)])
@@ -237,7 +237,7 @@ def cut(
                 columns += ([pa.array(kept, pa.string())] if texts else []) + ([part.column("rest")] if carry else [])
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    out = joined.mapInArrow(run, schema)
+    out = map_texts(joined, run, schema)
     return out.select(F.col("doc").alias(key), *schema.names[1:5 if texts else 4], *(F.col(f"rest.{c}") for c in carry))
 
 
