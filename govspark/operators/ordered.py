@@ -59,17 +59,22 @@ def hot_groups(df: DataFrame, keys: list[str], window_rows: int) -> DataFrame:
     return _hot(df.select(*keys), keys, window_rows, math.inf).drop("_bytes")
 
 
-def _null_free(df: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
+def _free_lead(names: list[str]) -> str:
+    """Underscores that none of the names begins with: columns named by them hide no other column."""
+    return "_" * (1 + max(len(n) - len(n.lstrip("_")) for n in ["", *names]))
+
+
+def _null_free(df: DataFrame, group: list[str], lead: str) -> tuple[DataFrame, list[str]]:
     """Group keys without nulls, so that they can be joined on: per nullable column a filled one and a flag."""
     added, names = {}, []
     for i, name in enumerate(group):
         field = df.schema[name]
         filler = F.lit("1970-01-01" if field.dataType.typeName().startswith(("date", "timestamp")) else "0")
-        added[f"_g{i}"] = F.coalesce(F.col(name), filler.cast(field.dataType))
-        names.append(f"_g{i}")
+        added[f"{lead}g{i}"] = F.coalesce(F.col(name), filler.cast(field.dataType))
+        names.append(f"{lead}g{i}")
         if field.nullable:
-            added[f"_g{i}_null"] = F.col(name).isNull()
-            names.append(f"_g{i}_null")
+            added[f"{lead}g{i}_null"] = F.col(name).isNull()
+            names.append(f"{lead}g{i}_null")
     return df.withColumns(added), names
 
 
@@ -92,46 +97,48 @@ def running(
     the whole group.
     """
     names = list(measures)
-    measured, keys = _null_free(df.withColumns({f"_m_{n}": m for n, m in measures.items()}), group)
-    internal = [*keys, *[f"_m_{n}" for n in names]]
+    lead = _free_lead([*df.columns, *names])
+    key_, cut_, part_, hot_ = (f"{lead}{x}" for x in ("key", "cut", "part", "hot"))
+    measured, keys = _null_free(df.withColumns({f"{lead}m_{n}": m for n, m in measures.items()}), group, lead)
+    internal = [*keys, *[f"{lead}m_{n}" for n in names]]
 
     def inside(*by: str) -> dict[str, Column]:
         whole = W.partitionBy(*by)
         up_to = whole.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        sums = {n: F.sum(f"_m_{n}").over(up_to) for n in names}
-        return sums | ({f"{n}_total": F.sum(f"_m_{n}").over(whole) for n in names} if totals else {})
+        sums = {n: F.sum(f"{lead}m_{n}").over(up_to) for n in names}
+        return sums | ({f"{n}_total": F.sum(f"{lead}m_{n}").over(whole) for n in names} if totals else {})
 
     hot = _hot(measured, keys, window_rows, window_bytes)
     held = hot.agg(F.sum("_bytes")).first()[0]
     if held is None:
         return measured.withColumns(inside(*keys)).drop(*internal)
     parts = parts or max(default_parts(df), math.ceil(held / window_bytes))
-    hot = hot.drop("_bytes")
+    hot = hot.drop("_bytes").withColumnRenamed("_hot", hot_)
 
     key = F.col(order[0])
     if dict(df.dtypes)[order[0]].startswith("timestamp"):
         key = F.unix_micros(key.cast("timestamp"))
-    flagged = measured.join(hot, keys, "left").withColumn("_key", F.coalesce(key.cast("double"), F.lit(float("-inf"))))
+    flagged = measured.join(hot, keys, "left").withColumn(key_, F.coalesce(key.cast("double"), F.lit(float("-inf"))))
     # Any split points are right; sampled ones are near enough to even.
-    rows, _ = _sampled(flagged.where("_hot").select("_key"), window_rows)
-    cuts = split_points(rows, F.col("_key"), parts)
+    rows, _ = _sampled(flagged.where(hot_).select(key_), window_rows)
+    cuts = split_points(rows, F.col(key_), parts)
     bucketizer = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_cut", handleInvalid="keep"
+        splits=[float("-inf"), *cuts, float("inf")], inputCol=key_, outputCol=cut_, handleInvalid="keep"
     )
-    cut = bucketizer.transform(flagged).withColumn("_part", F.when(F.col("_hot"), F.col("_cut")).otherwise(-1.0))
+    cut = bucketizer.transform(flagged).withColumn(part_, F.when(F.col(hot_), F.col(cut_)).otherwise(-1.0))
 
-    per_part = cut.where("_hot").groupBy(*keys, "_part").agg(*[F.sum(f"_m_{n}").alias(f"_p_{n}") for n in names])
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    added = {f"_b_{n}": F.sum(f"_p_{n}").over(before) for n in names}
+    per_part = cut.where(hot_).groupBy(*keys, part_).agg(*[F.sum(f"{lead}m_{n}").alias(f"{lead}p_{n}") for n in names])
+    before = W.partitionBy(*keys).orderBy(part_).rowsBetween(W.unboundedPreceding, -1)
+    added = {f"{lead}b_{n}": F.sum(f"{lead}p_{n}").over(before) for n in names}
     if totals:
-        added |= {f"_t_{n}": F.sum(f"_p_{n}").over(W.partitionBy(*keys)) for n in names}
-    offsets = per_part.withColumns(added).drop(*[f"_p_{n}" for n in names])
+        added |= {f"{lead}t_{n}": F.sum(f"{lead}p_{n}").over(W.partitionBy(*keys)) for n in names}
+    offsets = per_part.withColumns(added).drop(*[f"{lead}p_{n}" for n in names])
 
-    joined = cut.withColumns(inside(*keys, "_part")).join(offsets, [*keys, "_part"], "left")
-    out = {n: F.col(n) + F.coalesce(f"_b_{n}", F.lit(0)) for n in names}
+    joined = cut.withColumns(inside(*keys, part_)).join(offsets, [*keys, part_], "left")
+    out = {n: F.col(n) + F.coalesce(f"{lead}b_{n}", F.lit(0)) for n in names}
     if totals:
-        out |= {f"{n}_total": F.coalesce(f"_t_{n}", f"{n}_total") for n in names}
-    return joined.withColumns(out).drop(*internal, "_hot", "_key", "_cut", "_part", *[f"{p}{n}" for n in names for p in ("_b_", "_t_")])
+        out |= {f"{n}_total": F.coalesce(f"{lead}t_{n}", f"{n}_total") for n in names}
+    return joined.withColumns(out).drop(*internal, hot_, key_, cut_, part_, *[f"{lead}{p}_{n}" for n in names for p in "bt"])
 
 
 def positions(

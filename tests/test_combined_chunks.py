@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import functools
 import random
 
 import pytest
 
-from govspark.operators import chunk, combined_chunks
+from govspark.operators import chunk, combined_chunks, ordered
 
 
 def files(n=400, seed=1):
@@ -44,6 +45,16 @@ def test_chunks_are_those_of_the_joined_text(spark, monkeypatch, size, overlap,
     assert len(got) == len(found) and got == expected(rows, size, overlap)
 
 
+def test_groups_too_long_for_a_window(spark, monkeypatch):
+    """The sums of long groups, by which chunks find their place, come from parts."""
+    monkeypatch.setattr(combined_chunks, "running", functools.partial(ordered.running, window_bytes=2_000))
+    rows = files(300, seed=5)
+    df = spark.createDataFrame(rows, "i long, source string, title string, body string").repartition(4)
+    found = combined_chunks.chunk_combined(df, "i", "title", "body", "source", 30, 8, 700).collect()
+    got = {(r.source, r.chunk_index): (r.total_chunks, r.chunk_size, r.chunk_tokens, r.content) for r in found}
+    assert len(got) == len(found) and got == expected(rows, 30, 8)
+
+
 def test_ways_that_never_meet(spark, monkeypatch):
     """Equal segments keep all ways in apart, so that every block depends on the one before."""
     monkeypatch.setattr(combined_chunks, "FAN_IN", 2)

@@ -459,3 +459,11 @@ def test_a_group_of_long_texts_is_cut(spark, group):
     if group:
         assert plain(cut) == plain(whole)
     assert sorted(r["upto"] for r in cut.collect()) == sorted(r["upto"] for r in whole.collect())
+
+
+@pytest.mark.parametrize("by", ["_key", "_hot", "_part", "_g0", "__cut"])
+def test_cut_groups_may_be_named_like_helpers(spark, by):
+    df = spark.createDataFrame([(f"g{i % 3}", i, "x" * 100) for i in range(90)], f"{by} string, o int, body string")
+    got = ordered.running(df, [by], ["o"], {"_m_n": F.lit(1)}, totals=True, window_bytes=1000)
+    assert got.columns == [by, "o", "body", "_m_n", "_m_n_total"]
+    assert sorted((r["o"], r[by], r["_m_n"], r["_m_n_total"]) for r in got.collect()) == [(i, f"g{i % 3}", i // 3 + 1, 30) for i in range(90)]
