@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from govspark.scratch import settle
 #: Characters of a block, and blocks that are put together at once.
 BLOCK_CHARS, FAN_IN = 4_000_000, 1000
 CHARS_PER_TOKEN = 4
+#: Rows of a small table that travel to every task.
+TRAVEL_ROWS = 200_000
 #: The place of a block whose way in makes no difference.
 ANY = -1
 
@@ -109,40 +113,103 @@ class Path:
         return (2 * at + 1)[ends[2 * at + 1] >= own]
 
 
-def _spread(rows: DataFrame, reach: int, block: int, texts: bool) -> DataFrame:
-    """Each row at its block and, its end only, at the blocks whose characters before them it reaches into."""
+def _tail(ends: np.ndarray, reach: int) -> int:
+    """How many segments of a file no later block needs: the others hold ``reach`` characters or more, or are all."""
+    return int(np.searchsorted(ends, ends[-1] - reach, side="right"))
+
+
+def _lengths_in_document(own: np.ndarray, lead: int, trail: int) -> np.ndarray:
+    """Lengths of a file's segments behind ``lead`` more line breaks and before ``trail``, which make blank lines in pairs."""
+    out = np.concatenate([np.full(lead // 2, 2), own, np.full(trail // 2, 2)]).astype(np.int64)
+    out[lead // 2] += lead % 2
+    out[-1] += trail % 2
+    return out
+
+
+class Deal:
+    """The blocks of a file by its place in the order, of groups of several blocks; any other group is one block."""
+
+    def __init__(self, bounds: list) -> None:
+        held: dict[str, list] = {}
+        for key, *row in bounds:
+            held.setdefault(key, []).append(row)
+        self.groups = {key: [np.array(c) for c in zip(*sorted(rows))] for key, rows in held.items()}
+
+    def __call__(self, key: str, at: float) -> list[int]:
+        """The file's own block, then those whose characters before them it reaches into."""
+        if key not in self.groups:
+            return [0]
+        blocks, own, back = self.groups[key]
+        home = max(0, int(np.searchsorted(own, at, side="right")) - 1)
+        return blocks[home : max(home + 1, int(np.searchsorted(back, at, side="right")))].tolist()
+
+
+def _bounds(places: DataFrame, reach: int, block: int) -> list:
+    """(key, block, first place of its own, first place that it sees) of groups of several blocks.
+
+    Files at one place, if there are any, stay together.
+    """
+    ties = places.groupBy("key", "at").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ties = ties.withColumn("home", F.expr(f"start div {block}"))
+    own = ties.groupBy("key", F.col("home").alias("block")).agg(F.min("at").alias("own"))
+    own = settle(own.join(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi"), "chunk-blocks")
+    low, high = F.expr(f"greatest(home + 1, end div {block})"), F.expr(f"(end + {reach}) div {block}")
+    seen = ties.select("key", "at", F.explode(F.when(low <= high, F.sequence(low, high))).alias("block"))
+    back = seen.groupBy("key", "block").agg(F.min("at").alias("back"))
+    return [tuple(r) for r in own.join(back, ["key", "block"], "left").select("key", "block", "own", F.least("own", "back")).collect()]
+
+
+def _spread_lengths(places: DataFrame, deal: Broadcast, reach: int) -> DataFrame:
+    """Each file's segment lengths at its block and, its end only, at the blocks whose characters before them it reaches into."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, start, text, last in zip(batch["key"], batch["start"], batch["body"], batch["last"]):
-                pieces = segments(text)
-                lengths = [len(p) for p in pieces]
-                ends = start + np.cumsum(lengths)
-                home = start // block
-                out.append((key, home, True, last, start, lengths, pieces if texts else None))
-                kept = int(np.searchsorted(ends, ends[-1] - reach, side="right"))
-                begin = int(ends[kept] - lengths[kept])
-                tail = [p if len(p) < reach else "" for p in pieces[kept:]] if texts else None
-                for other in range(max(home + 1, int(ends[-1]) // block), (int(ends[-1]) + reach) // block + 1):
-                    out.append((key, other, False, last, begin, lengths[kept:], tail))
-            yield pd.DataFrame(out, columns=["key", "block", "own", "last", "start", "lengths", "pieces"])
-
-    schema = "key string, block long, own boolean, last boolean, start long, lengths array<long>, pieces array<string>"
-    return rows.mapInPandas(run, schema)
-
-
-def _visible(group: pd.DataFrame, reach: int, how: dict) -> tuple[Path, int, pd.DataFrame] | None:
-    """(path, number of the first own segment, rows in order) of a block; None for a block without rows of its own."""
-    group = group.sort_values("start", kind="stable")
-    if not group["own"].any():
-        return None
-    begin = group.loc[group["own"], "start"].iloc[0]
-    ends = group["start"] + group["lengths"].map(sum)
-    group = group[group["own"] | (ends > begin - reach)]
-    lengths = np.concatenate([np.asarray(x, np.int64) for x in group["lengths"]])
-    path = Path(lengths, int(group["start"].iloc[0]), **how)
-    return path, int(np.searchsorted(path.starts, begin)), group
+            for key, at, start, lead, trail, last, lengths in zip(*(batch[c] for c in ("key", "at", "start", "lead", "trail", "last", "lengths"))):
+                home, *others = deal.value(key, at)
+                whole = (False, start, lead, _lengths_in_document(lengths, lead, trail))
+                out.append((key, home, True, last, *whole))
+                if others:
+                    ends = np.cumsum(lengths, dtype=np.int64)
+                    dropped = _tail(ends, reach)
+                    tail = (True, start + lead + int(ends[dropped - 1]), 0, lengths[dropped:]) if dropped else whole
+                    out.extend((key, other, False, last, *tail) for other in others)
+            yield pd.DataFrame(out, columns=["key", "block", "own", "last", "cut", "start", "lead", "lengths"])
+
+    return places.mapInPandas(run, "key string, block long, own boolean, last boolean, cut boolean, start long, lead long, lengths array<long>")
+
+
+def _spread_texts(pieces: DataFrame, deal: Broadcast, reach: int) -> DataFrame:
+    """The files themselves, dealt in the same way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            dealt = [deal.value(k, at) for k, at in zip(columns["key"].to_pylist(), columns["at"].to_numpy(zero_copy_only=False))]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([d[0] for d in dealt], pa.int64()), pa.array([True] * n, pa.bool_()), pa.array([False] * n, pa.bool_())],
+                names=names,
+            )
+            for i, (_, *others) in enumerate(dealt):
+                if others:
+                    text = columns["piece"][i].as_py()
+                    ends = np.cumsum([len(p) for p in segments(text.rstrip("\n"))])
+                    dropped = _tail(ends, reach)
+                    row = [pa.array([text[ends[dropped - 1] :] if dropped else text], c.type) if x == "piece" else c.slice(i, 1) for x, c in columns.items()]
+                    for other in others:
+                        yield pa.RecordBatch.from_arrays([*row, pa.array([other], pa.int64()), pa.array([False]), pa.array([dropped > 0])], names=names)
+
+    names = [*pieces.columns, "block", "own", "cut"]
+    kinds = ", ".join(f"{c} {kind}" for c, kind in pieces.dtypes)
+    return pieces.mapInArrow(run, f"{kinds}, block long, own boolean, cut boolean")
+
+
+def _visible(group: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """The rows of a block in order, from the last one that holds all a chunk can reach back."""
+    group = group.sort_values(by, kind="stable")
+    cut = np.flatnonzero(group["cut"])
+    return group.iloc[cut[-1] :] if len(cut) else group
 
 
 def _compose(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int], list[int]]:
@@ -199,22 +266,34 @@ def _named(files: DataFrame, group: str | None) -> Column:
     return F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
 
 
-def combined_rows(files: DataFrame, order: str, title: str, content: str, group: str | None = None) -> DataFrame:
-    """(key, start, body, last): the joined text of a group as rows, each with the character at which it begins.
+def combined_files(files: DataFrame, order: str, title: str, content: str, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The files of the joined texts, (key, at, nth, digest, piece), and their places, (key, at, lengths, lead, trail, last, start, end).
 
     Files are joined by line breaks. Line breaks at the end of a file go over to the next one, so that a run of line breaks,
-    which makes blank lines from left to right, is never cut.
+    which makes blank lines from left to right, is never cut: ``lead`` are those before a file, ``trail`` those that stay at its
+    end. Places come from the lengths of the files' segments alone, so no text is moved for them. ``nth`` is the order, ``at``
+    the same as a number; files of one ``nth`` are told by their ``digest``.
     """
     pieces = file_pieces(files.withColumn("_key", _named(files, group)), "_key", order, title, content).where("piece IS NOT NULL")
-    numbered = running(pieces, ["_key"], [order], {"n": F.lit(1).cast("bigint"), "upto": F.length("piece").cast("bigint") + 1}, totals=True)
-    breaks = F.length("piece") - F.length(F.rtrim(F.col("piece"), F.lit("\n")))
-    numbered = settle(numbered.select(F.col("_key").alias("key"), "n", "n_total", "upto", "piece", breaks.alias("breaks")), "combined-files")
+    place = F.unix_micros(F.col(order).cast("timestamp")) if dict(files.dtypes)[order].startswith("timestamp") else F.col(order)
+    at = F.coalesce(place.cast("double"), F.lit(float("-inf")))
+    pieces = pieces.select(F.col("_key").alias("key"), at.alias("at"), F.col(order).alias("nth"), F.xxhash64("piece").alias("digest"), "piece")
+    kept = F.rtrim(F.col("piece"), F.lit("\n"))
+    # a piece begins with the first separator
+    lengths = F.transform(F.split(kept, SEPARATORS[0]), lambda p: F.length(p).cast("bigint") + len(SEPARATORS[0]))
+    sized = pieces.select(
+        "key", "at", "nth", "digest", F.slice(lengths, F.lit(2), F.size(lengths)).alias("lengths"),
+        F.length("piece").cast("bigint").alias("chars"), (F.length("piece") - F.length(kept)).cast("bigint").alias("breaks"),
+    )
+    sized = settle(sized, "combined-lengths")
+    numbered = running(sized, ["key"], ["nth", "digest"], {"n": F.lit(1).cast("bigint"), "upto": F.col("chars") + 1}, totals=True)
+    numbered = settle(numbered, "combined-files")
     before = numbered.select("key", (F.col("n") + 1).alias("n"), F.col("breaks").alias("moved"))
-    joined = numbered.join(before, ["key", "n"], "left").withColumn("lead", F.when(F.col("n") > 1, F.coalesce("moved", F.lit(0)) + 1).otherwise(0))
+    joined = numbered.join(before, ["key", "n"], "left").withColumn("lead", F.when(F.col("n") > 1, F.coalesce("moved", F.lit(0)) + 1).otherwise(0).cast("bigint"))
     last = F.col("n") == F.col("n_total")
-    kept = F.when(last, F.col("piece")).otherwise(F.rtrim(F.col("piece"), F.lit("\n")))
-    start = F.col("upto") - F.length("piece") - 1 - F.col("lead")
-    return joined.select("key", start.cast("bigint").alias("start"), F.concat(F.repeat(F.lit("\n"), F.col("lead").cast("int")), kept).alias("body"), last.alias("last"))
+    joined = joined.withColumn("start", F.col("upto") - F.col("chars") - 1 - F.col("lead")).withColumn("trail", F.when(last, F.col("breaks")).otherwise(0))
+    end = F.col("start") + F.col("lead") + F.col("chars") - F.col("breaks") + F.col("trail")
+    return pieces, settle(joined.select("key", "at", "lengths", "lead", "trail", last.alias("last"), "start", end.alias("end")), "combined-places")
 
 
 def chunk_combined(
@@ -235,13 +314,14 @@ def chunk_combined(
     how = {"size": size * CHARS_PER_TOKEN, "overlap": overlap * CHARS_PER_TOKEN}
     reach = 2 * how["size"] + how["overlap"]
     block = max(block_chars, reach + 1)
-    rows = settle(combined_rows(files, order, title, content, group), "combined-rows")
+    pieces, places = combined_files(files, order, title, content, group)
+    deal = files.sparkSession.sparkContext.broadcast(Deal(_bounds(places, reach, block)))
 
     def ways(one: pd.DataFrame) -> pd.DataFrame:
-        seen = _visible(one, reach, how)
-        if seen is None:
-            return pd.DataFrame(columns=["key", "block", "ways", "out"], dtype=object)
-        path, own, _ = seen
+        seen = _visible(one, ["start"])
+        begin, own_start = int(seen["start"].iloc[0]), int(seen.loc[seen["own"], "start"].iloc[0])
+        path = Path(np.concatenate([np.asarray(x, np.int64) for x in seen["lengths"]]), begin, **how)
+        own = int(np.searchsorted(path.starts, own_start))
         entries = path.ways_in(own)
         out = path.place(path.last(entries, path.steps()[0]))
         places = path.place(entries)
@@ -251,21 +331,27 @@ def chunk_combined(
         # a block that knows its own way in does not depend on the one before
         known = path.begin == 0 or path.long[:own].any()
         table["ways"], table["out"] = [[ANY] if known else places.tolist()], [out.tolist()]
-        return table
+        final = bool(seen.loc[seen["own"], "last"].any())
+        return table.assign(begin=begin, lead=int(seen["lead"].iloc[0]), own_start=own_start, final=final)
 
-    tables = _spread(rows, reach, block, texts=False).groupBy("key", "block").applyInPandas(ways, "key string, block long, ways array<long>, out array<long>")
+    tables = _spread_lengths(places, deal, reach).groupBy("key", "block").applyInPandas(
+        ways, "key string, block long, ways array<long>, out array<long>, begin long, lead long, own_start long, final boolean"
+    )
     ranked = settle(positions(settle(tables, "chunk-tables"), ["key"], ["block"], "rank"), "chunk-tables")
-    entries = _entries(ranked.withColumn("entry", F.lit(None).cast("long"))).join(ranked.select("key", "rank", "block"), ["key", "rank"]).select("key", "block", "entry")
+    entries = _entries(ranked.select("key", "rank", "ways", "out", F.lit(None).cast("long").alias("entry")))
+    entries = entries.join(ranked, ["key", "rank"]).select("key", "block", "entry", "begin", "lead", "own_start", "final")
 
     def write(one: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         found: list[str] = []
-        seen = _visible(one, reach, how) if len(one) else None
-        if seen is not None:
-            path, own, visible = seen
-            pieces = [p for row in visible["pieces"] for p in row]
+        if len(one):
+            seen, place = _visible(one, ["at", "nth", "digest"]), known.iloc[0]
+            final = bool(place["final"])
+            text = "\n" * int(place["lead"]) + "\n".join(seen["piece"])
+            pieces = segments(text if final else text.rstrip("\n"))
+            path, n = Path(np.array([len(p) for p in pieces], np.int64), int(place["begin"]), **how), len(pieces)
+            own = int(np.searchsorted(path.starts, int(place["own_start"])))
             after, ends = path.steps()
-            state = int(path.ways_in(own)[0]) if path.begin == 0 or path.long[:own].any() else path.state(int(known["entry"].iloc[0]))
-            final, n = bool(visible.loc[visible["own"], "last"].any()), len(pieces)
+            state = int(path.ways_in(own)[0]) if path.begin == 0 or path.long[:own].any() else path.state(int(place["entry"]))
             while True:
                 at, end = state // 2, int(ends[state])
                 first = at if state % 2 == 0 else int(path.first[at])
@@ -282,10 +368,11 @@ def chunk_combined(
         rows = [(key, place, i, quarter_length(c), c) for i, c in enumerate(found)]
         return pd.DataFrame(rows, columns=["key", "block", "seq", "chunk_tokens", "content"], dtype=None if rows else object)
 
-    cut = _spread(rows, reach, block, texts=True).groupBy("key", "block").cogroup(entries.groupBy("key", "block"))
+    cut = _spread_texts(pieces, deal, reach).groupBy("key", "block").cogroup(entries.groupBy("key", "block"))
     chunks = settle(cut.applyInPandas(write, "key string, block long, seq int, chunk_tokens int, content string"), "combined-chunks")
     counts = running(chunks.groupBy("key", "block").agg(F.count("*").alias("m")), ["key"], ["block"], {"upto": F.col("m")}, totals=True)
-    numbered = chunks.join(counts, ["key", "block"])
+    counts = settle(counts, "chunk-counts")
+    numbered = chunks.join(F.broadcast(counts) if counts.count() <= TRAVEL_ROWS else counts, ["key", "block"])
     name = [F.when(F.col("key") != "", F.expr("substr(key, 2)")).cast(files.schema[group].dataType).alias(group)] if group else []
     return numbered.select(
         *name,
