@@ -3,27 +3,31 @@
 Two tables lie in the index's folder, both dealt to folders by a hash and sorted, so that a search reads the files of its own
 words only:
 
-- ``postings``: term, key, attribute and position, one row per place. A term of a third of all posts is dealt to several files.
+- ``postings``: term and its places in a chunk of posts, as two rows of equally wide numbers: the posts' keys, each less the one
+  before and the first less ``base``, and ``position * attributes + attribute``. A term that is common in a chunk is dealt to
+  several files.
 - ``variants``: what is left of a term's first ``PREFIX`` characters after up to as many deletions as a typing error may
-  cost, with the term. Two words within that distance share a variant, so candidates come by equality; the distance decides.
+  cost, with the terms between blanks. Two words within that distance share a variant, so candidates come by equality; the distance decides.
 
 A post is found if every word of the query is near a word of it. The order is: typing errors (per word the least), proximity
 (per pair of neighbouring query words the least distance of their best places in one attribute, at most ``FAR``), attribute
 (per word the first that holds it best), key.
 
-A search moves each place of a wanted term once, to the block of its post. There posts meet the queries, and only the best
-``k`` of every query leave a block, however many posts hold its words.
+A search moves each place of a wanted term once, to the block of its post. There posts meet the queries of one pass after the
+other, and only the best ``k`` of every query leave a block, however many posts hold its words. First terms with one typing
+error at most are tried: a query that finds ``k`` posts with one in all needs no others.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,6 +48,12 @@ TRAVEL_ROWS = 500_000
 NEAR_ROWS = 1_000_000
 #: Rows of one block of posts, rows that are met at once, and rows that one task gets.
 BLOCK_ROWS, MEET_ROWS, TASK_ROWS = 200_000, 2_000_000, 4_000_000
+#: Places, or terms, that are grouped at once while the index is built.
+CHUNK_ROWS, CHUNK_TERMS = 4_000_000, 200_000
+#: A term with such a share of a chunk's places is dealt to so many parts of its folder.
+HOT_SHARE, HOT_PARTS = 0.001, 8
+#: A place of a wanted term on its way to the block of its post.
+PLACE = np.dtype([("key", np.int64), ("id", np.uint32), ("place", np.uint32)])
 NO_KEY = -(2**63)
 
 
@@ -83,31 +93,151 @@ def _folder(value: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(n)).cast("int")
 
 
-def _write(df: DataFrame, path: str, by: str, also: list[str], n: int) -> None:
-    """Rows in folders by hash of ``by``, sorted by it; a value of many rows is spread over files by the other columns."""
-    placed = df.withColumn("folder", _folder(F.col(by), n))
-    placed.repartitionByRange("folder", by, *also).sortWithinPartitions("folder", by, *also).write.mode("overwrite").partitionBy("folder").parquet(path)
+def _write(df: DataFrame, path: str, by: str, part: Column, n: int) -> None:
+    """Rows in folders by hash of ``by``, sorted by it; a folder's rows are spread over files by ``part``."""
+    placed = df.withColumn("folder", _folder(F.col(by), n)).repartition("folder", part).drop("salt")
+    placed.sortWithinPartitions("folder", by).write.mode("overwrite").option("compression", "zstd").partitionBy("folder").parquet(path)
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as the largest needs."""
+    return values.astype(next(k for k in ("u1", "u2", "u4", "u8") if int(values.max(initial=0)) < 2 ** (8 * int(k[1]))))
+
+
+def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive values as one binary for each end; the first begins at 0."""
+    offsets = (np.concatenate([[0], ends]) * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))]).cast(pa.binary())
+
+
+def _values(blobs: pa.Array, kind: np.dtype | str) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of the binaries, how many each has)."""
+    blobs = pa.concat_arrays([blobs]).cast(pa.large_binary())
+    offsets = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    kind = np.dtype(kind)
+    if not len(blobs) or offsets[0] == offsets[-1]:
+        return np.empty(0, kind), np.diff(offsets) // kind.itemsize
+    return np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // kind.itemsize
+
+
+POSTINGS = "term string, base long, wide short, posts binary, places binary, salt short"
+
+
+def _grouped(key: pa.Array, texts: pa.Array, attributes: int) -> pa.RecordBatch:
+    """The places in some posts (key, words of each attribute), by term.
+
+    ``wide`` is the bytes of a number of ``posts`` times 16, plus those of ``places``; ``salt`` is not 0 for common terms.
+    """
+    each = texts.flatten()
+    count = np.diff(np.asarray(each.offsets))
+    terms = each.flatten().dictionary_encode()
+    codes = terms.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    row = np.repeat(np.arange(len(count)), count)[order]
+    position = (np.arange(len(codes)) - np.repeat(np.cumsum(count) - count, count))[order]
+    keys = key.to_numpy().astype(np.int64)
+    base = int(keys.min(initial=0)) if len(keys) and keys.min() < 0 else int(keys.min(initial=np.iinfo(np.int64).max))
+    away = keys.view(np.uint64) - np.int64(base).view(np.uint64)  # right for any two keys
+    posts = _narrow(away)[row // attributes]
+    places = _narrow(position * attributes + row % attributes)
+    n = np.bincount(codes, minlength=len(terms.dictionary))
+    ends, hot = np.cumsum(n), n >= max(2, HOT_SHARE * len(codes))
+    steps = posts.copy()
+    steps[1:] -= posts[:-1]  # modulo the width
+    steps[(ends - n)[n > 0]] = posts[(ends - n)[n > 0]]
+    wide = np.full(len(n), steps.itemsize * 16 + places.itemsize, np.int16)
+    salt = np.where(hot, 1 + zlib.crc32(keys.tobytes()) % HOT_PARTS, 0).astype(np.int16)
+    columns = [terms.dictionary, pa.array(np.full(len(n), base)), pa.array(wide), _blobs(steps, ends), _blobs(places, ends), pa.array(salt)]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "base", "wide", "posts", "places", "salt"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, texts, n) in chunks of about CHUNK_ROWS words, ``n`` in each row."""
+    held, rows = [], 0
+    for batch in batches:
+        total, at = np.cumsum(batch.column(2).to_numpy()), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK_ROWS - rows, side="right")))
+            held.append(batch.slice(at, stop - at))
+            rows += int(total[stop - 1] - (total[at - 1] if at else 0))
+            at = stop
+            if rows >= CHUNK_ROWS or at < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _term_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(variant, terms) of terms (term, typos), as ``_variants`` has them, grouped within some terms."""
+    deletions = [(i,) for i in range(1, PREFIX + 1)] + [(i, j) for i in range(1, PREFIX) for j in range(i + 1, PREFIX + 1)]
+    for term, typos in _term_chunks(batches):
+        typos, start = typos.to_numpy(), pc.utf8_slice_codeunits(term, 0, PREFIX)
+        length = pc.utf8_length(start).to_numpy()
+        owners, found = [np.arange(len(term))], [start]
+        for places in deletions:
+            some = np.flatnonzero((length >= places[-1]) & (typos >= len(places)))
+            mine, ends = start.take(pa.array(some)), [0, *places, PREFIX + 1]
+            parts = [pc.utf8_slice_codeunits(mine, a, b - 1) for a, b in zip(ends, ends[1:]) if b - 1 > a]
+            owners.append(some)
+            found.append(pc.binary_join_element_wise(*parts, ""))
+        variants = pa.concat_arrays(found).dictionary_encode()
+        pairs = np.unique(variants.indices.to_numpy().astype(np.int64) * len(term) + np.concatenate(owners))
+        first = np.searchsorted(pairs, np.arange(len(variants.dictionary) + 1) * len(term))
+        terms = pa.ListArray.from_arrays(pa.array(first, pa.int32()), term.take(pa.array(pairs % len(term))))
+        yield pa.RecordBatch.from_arrays([variants.dictionary, pc.binary_join(terms, " ")], names=["variant", "terms"])
+
+
+def _term_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns of CHUNK_TERMS rows or more."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK_TERMS:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns
 
 
 def build(posts: DataFrame, path: str, key: str, attributes: list[str]) -> None:
     """Writes the index of the texts in ``attributes``, the most important first; ``key`` is a unique number."""
     spark = posts.sparkSession
-    texts = F.array(*(F.struct(F.lit(i).alias("attribute"), words(F.col(a)).alias("words")) for i, a in enumerate(attributes)))
-    cut = posts.select(F.col(key).alias("key"), F.explode(texts).alias("t")).select("key", "t.attribute", F.posexplode("t.words").alias("position", "term"))
+    texts = F.array(*(words(F.col(a)) for a in attributes))
+    number = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
+    cut = posts.select(number.alias("key"), texts.alias("texts"))
+    cut = cut.withColumn("n", F.aggregate("texts", F.lit(0).cast("long"), lambda n, w: n + F.size(w)))
+    many = len(attributes)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            yield _grouped(chunk.column(0), chunk.column(1), many)
+
     chars = sum((F.coalesce(F.sum(F.length(a)), F.lit(0)) for a in attributes), F.lit(0))
-    sizes = {"postings": _folders(posts.agg(chars).first()[0] // WORD_CHARS)}
-    _write(cut, f"{path}/postings", "term", ["key", "attribute", "position"], sizes["postings"])
-    terms = settle(spark.read.parquet(f"{path}/postings").select("term").distinct(), "terms")
+    rows = int(posts.agg(chars).first()[0] // WORD_CHARS)
+    sizes = {"postings": _folders(rows), "rows": rows, "attributes": many, "key": posts.schema[key].dataType.simpleString()}
+    files = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // sizes["postings"]))
+    part = F.when(F.col("salt") > 0, -F.col("salt").cast("int")).otherwise(F.pmod(F.hash("term"), F.lit(files)))
+    _write(cut.mapInArrow(group, POSTINGS), f"{path}/postings", "term", part, sizes["postings"])
+    # neighbours share most variants
+    terms = settle(spark.read.parquet(f"{path}/postings").select("term").distinct().orderBy("term"), "terms")
     typos, start = _term_typos(F.col("term")), F.least(F.length("term"), F.lit(PREFIX))
     most = 1 + F.when(typos >= 1, start).otherwise(0) + F.when(typos >= 2, F.floor(start * (start - 1) / 2)).otherwise(0)
     sizes["variants"] = _folders(terms.agg(F.sum(most)).first()[0] or 0)
-    _write(terms.select("term", F.explode(_variants(F.col("term"), typos)).alias("variant")), f"{path}/variants", "variant", ["term"], sizes["variants"])
+    files = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // sizes["variants"]))
+    left = terms.select("term", typos.cast("int").alias("typos")).mapInArrow(_term_variants, "variant string, terms string")
+    _write(left, f"{path}/variants", "variant", F.pmod(F.hash("variant"), F.lit(files)), sizes["variants"])
     spark.createDataFrame([(json.dumps(sizes),)], "sizes string").coalesce(1).write.mode("overwrite").text(f"{path}/sizes")
 
 
+def _sizes(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/sizes").first()["value"])
+
+
 def _read(spark: SparkSession, path: str, name: str, by: str, wanted: DataFrame) -> DataFrame:
     """The rows of a table whose ``by`` is wanted: few values become a filter of folders and files, many a join."""
-    n = json.loads(spark.read.text(f"{path}/sizes").first()["value"])[name]
+    n = _sizes(spark, path)[name]
     stored = spark.read.parquet(f"{path}/{name}")
     values = [r[0] for r in wanted.select(by).distinct().limit(FILTER_TERMS + 1).collect()]
     if len(values) <= FILTER_TERMS:
@@ -130,8 +260,9 @@ def candidates(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
     tried = asked.select("word").distinct().withColumn("allowed", allowed_typos(F.col("word")))
     tried = settle(tried.withColumn("variant", F.explode(_variants(F.col("word"), F.col("allowed")))), "tried")
     met = _met(_read(spark, path, "variants", "variant", tried), tried, "variant")
+    met = met.select("word", "allowed", F.explode(F.split("terms", " ")).alias("term")).distinct()
     distance = F.levenshtein("word", "term")
-    return met.withColumn("typos", distance).where(F.col("typos") <= F.col("allowed")).select("word", "term", "typos").distinct()
+    return met.withColumn("typos", distance).where(F.col("typos") <= F.col("allowed")).select("word", "term", "typos")
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -192,7 +323,7 @@ class Best:
 
 
 class Block:
-    """Places of wanted terms in some posts, whole ones, by post."""
+    """Places of terms that are asked for in some posts, whole ones, by post."""
 
     def __init__(self, asked: Asked, key: np.ndarray, term: np.ndarray, attribute: np.ndarray, position: np.ndarray) -> None:
         self.asked = asked
@@ -272,31 +403,98 @@ class Block:
         best.add(np.stack([query, typos, proximity, attribute, self.key[post]]))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Rows by key in blocks of about BLOCK_ROWS; no key is in two of them."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append([c.to_numpy() for c in batch.columns])
-        rows += batch.num_rows
-        if rows >= BLOCK_ROWS:
-            block = [np.concatenate(c) for c in zip(*held)]
-            end = int(np.searchsorted(block[0], block[0][-1]))
-            if end:
-                yield [c[:end] for c in block]
-            held, rows = [[c[end:] for c in block]], len(block[0]) - end
-    if rows:
-        yield [np.concatenate(c) for c in zip(*held)]
+def _dealt(met: DataFrame, blocks: int) -> DataFrame:
+    """(block, among, rows): places of wanted terms (id, base, wide, posts, places) by block of posts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            ids, base, wide, posts, places = batch.columns
+            wide = wide.to_numpy()
+            count = pc.binary_length(places).to_numpy() // (wide % 16)
+            for both in np.unique(wide):
+                some = np.flatnonzero(wide == both)
+                for part in _pieces(count[some]):
+                    mine = pa.array(some[part])
+                    steps, each = _values(posts.take(mine), f"u{both // 16}")
+                    away = np.cumsum(steps, dtype=steps.dtype)
+                    begins = np.cumsum(each) - each
+                    away -= np.repeat(away[begins] - steps[begins], each)
+                    place, _ = _values(places.take(mine), f"u{both % 16}")
+                    found = np.empty(len(away), PLACE)
+                    found["key"] = (np.repeat(base.to_numpy()[some[part]].view(np.uint64), each) + away.astype(np.uint64)).view(np.int64)
+                    found["id"] = np.repeat(ids.to_numpy()[some[part]], each)
+                    found["place"] = place
+                    held.append(found)
+                    rows += len(found)
+                    if rows >= MEET_ROWS:
+                        yield _by_block(np.concatenate(held), blocks, False)
+                        held, rows = [], 0
+        if rows:
+            yield _by_block(np.concatenate(held), blocks, False)
+
+    wanted = met.select("id", "base", "wide", "posts", "places")
+    return wanted.mapInArrow(run, "block long, among boolean, rows binary")
+
+
+def _block_of(key: np.ndarray, blocks: int) -> np.ndarray:
+    mixed = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _by_block(found: np.ndarray, blocks: int, among: bool) -> pa.RecordBatch:
+    """Places, or keys that may be found, as one binary for each block."""
+    block = _block_of(np.ascontiguousarray(found if among else found["key"]), blocks)
+    order = np.argsort(block, kind="stable")
+    own, n = np.unique(block, return_counts=True)
+    columns = [pa.array(own), pa.array([among] * len(own), pa.bool_()), _blobs(found[order], np.cumsum(n))]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "among", "rows"])
+
+
+def _gathered(dealt: DataFrame, among: DataFrame | None, blocks: int, tasks: int) -> DataFrame:
+    """(block, rows): all places of each block in order of key, of the posts of ``among`` only; one row for each block."""
+    limited = among is not None
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _by_block(batch.column(0).to_numpy().astype(np.int64), blocks, True)
+
+    def whole(block: int, held: list[np.ndarray], kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = np.concatenate(held) if held else np.empty(0, PLACE)
+        if limited:
+            found = found[np.isin(found["key"], np.concatenate(kept))] if kept else found[:0]
+        if len(found):
+            found = found[np.argsort(found["key"], kind="stable")]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), _blobs(found, np.array([len(found)]))], names=["block", "rows"])
 
-def _search_pass(places: DataFrame, slots: DataFrame, near: DataFrame, k: int, tasks: int) -> DataFrame:
-    """The best posts of every query and task, of ``places`` (key, id, attribute, position), queries as ``slots``
-    (query_id, i, slot) and ``near`` (slot, id, typos)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, kept = None, [], []
+        for batch in batches:
+            for i, (now, is_among) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if now != block:
+                    if block is not None:
+                        yield from whole(block, held, kept)
+                    block, held, kept = now, [], []
+                part = batch.column(2).slice(i, 1)
+                (kept if is_among else held).append(_values(part, np.int64 if is_among else PLACE)[0].copy())
+        if block is not None:
+            yield from whole(block, held, kept)
+
+    if limited:
+        wanted = among.select(F.col("key").cast("long").alias("key")).where("key IS NOT NULL")
+        dealt = dealt.unionByName(wanted.mapInArrow(keys, "block long, among boolean, rows binary"))
+    return dealt.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(run, "block long, rows binary")
+
+
+def _search_pass(places: DataFrame, slots: DataFrame, near: DataFrame, k: int, attributes: int) -> DataFrame:
+    """The best posts of every query and task, of the blocks ``places`` (block, rows), queries as ``slots`` (query_id, i, slot)
+    and ``near`` (slot, id, typos)."""
     spark = places.sparkSession
     said, terms = slots.orderBy("query_id", "i").toArrow(), near.orderBy("id").toArrow()  # at most about NEAR_ROWS
     ids = said["query_id"].combine_chunks().unique()
     names = said["slot"].combine_chunks().unique()
-    number = lambda c: pa.compute.index_in(c, value_set=names).combine_chunks().to_numpy().astype(np.int64)
-    owner = pa.compute.index_in(said["query_id"], value_set=ids).combine_chunks().to_numpy()
+    number = lambda c: pc.index_in(c, value_set=names).combine_chunks().to_numpy().astype(np.int64)
+    owner = pc.index_in(said["query_id"], value_set=ids).combine_chunks().to_numpy()
     known, first = np.unique(terms["id"].to_numpy(), return_index=True)
     asked = spark.sparkContext.broadcast(Asked(
         known, np.append(first, len(terms)), number(terms["slot"]), terms["typos"].to_numpy().astype(np.int64),
@@ -307,13 +505,40 @@ def _search_pass(places: DataFrame, slots: DataFrame, near: DataFrame, k: int, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(queries.value), k)
-        for key, term, attribute, position in _blocks(batches):
-            Block(asked.value, key, term, attribute.astype(np.int64), position.astype(np.int64)).meet(best)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = _values(batch.column(1).slice(i, 1), PLACE)[0]
+                at = np.minimum(np.searchsorted(asked.value.ids, found["id"]), len(asked.value.ids) - 1)
+                found = found[asked.value.ids[at] == found["id"]]
+                if len(found):
+                    key, term, place = (found[c].astype(np.int64) for c in ("key", "id", "place"))
+                    Block(asked.value, key, term, place % attributes, place // attributes).meet(best)
         query, *rank = best.rows
         yield pa.RecordBatch.from_arrays([queries.value.take(pa.array(query)), *map(pa.array, rank)], names=["query_id", "typos", "proximity", "attribute", "key"])
 
-    dealt = places.repartition(tasks, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, f"query_id {kind}, typos long, proximity long, attribute long, key long")
+    return places.mapInArrow(run, f"query_id {kind}, typos long, proximity long, attribute long, key long")
+
+
+def _passes(places: DataFrame, slots: DataFrame, near: DataFrame, k: int, attributes: int) -> DataFrame | None:
+    """The best posts of all queries, as many at once as have about NEAR_ROWS terms near their words."""
+    words_near = near.groupBy("word").agg(F.count("*").alias("m"))
+    asked = slots.select(F.explode("of").alias("word"))
+    passes = max(1, -(-(asked.join(words_near, "word").agg(F.sum("m")).first()[0] or 0) // NEAR_ROWS))
+    found = []
+    for i in range(passes):
+        some = slots.where(_folder(F.col("query_id"), passes) == i)
+        answers = settle(some.select("slot", F.explode("of").alias("word")).distinct().join(near, "word").select("slot", "id", "typos"), "answers")
+        answered = some.join(answers.select("slot").distinct(), "slot", "left_semi")
+        # a query with a word that no term is near finds nothing
+        whole = some.groupBy("query_id").agg(F.count("*").alias("n")).join(answered.groupBy("query_id").agg(F.count("*").alias("n")), ["query_id", "n"])
+        whole = settle(some.join(whole, "query_id", "left_semi").select("query_id", "i", "slot"), "whole")
+        if whole.isEmpty():
+            continue
+        answers = answers.join(whole.select("slot").distinct(), "slot", "left_semi")
+        found.append(settle(_search_pass(places, whole, answers, k, attributes), "found"))
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return found[0] if found else None
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, among: DataFrame | None = None) -> DataFrame:
@@ -324,35 +549,41 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, among
     listed = queries.where("query_id IS NOT NULL").select("query_id", words(F.col("query")).alias("w"))
     asked = settle(listed.select("query_id", F.posexplode("w").alias("i", "word")).distinct(), "asked")
     near = settle(candidates(spark, path, asked), "near")
-    postings = _read(spark, path, "postings", "term", near)
-    kind = postings.schema["key"].dataType
+    sizes = _sizes(spark, path)
     # the words of a place of a query are one, unless rows of different queries have the same query_id
     slots = asked.groupBy("query_id", "i").agg(F.sort_array(F.collect_set("word")).alias("of"))
     slots = settle(slots.select("query_id", "i", "of", F.array_join("of", " ").alias("slot")), "slots")
     ids = settle(near.select("term").distinct().withColumn("id", F.monotonically_increasing_id()), "term-ids")
-    words_near = near.groupBy("word").agg(F.count("*").alias("m"))
-    passes = max(1, -(-(asked.join(words_near, "word").agg(F.sum("m")).first()[0] or 0) // NEAR_ROWS))
+    # the n-th id of each of m tasks, n * m + task, so that ids are small
+    task = F.shiftright("id", 33)
+    tasks = (ids.agg(F.max(task)).first()[0] or 0) + 1
+    ids = ids.withColumn("id", F.col("id").bitwiseAND(F.lit(2**33 - 1)) * tasks + task)
+    blocks, tasks = (max(spark.sparkContext.defaultParallelism, -(-sizes["rows"] // n)) for n in (BLOCK_ROWS, TASK_ROWS))
+    met = _met(_read(spark, path, "postings", "term", near), ids, "term")
+    places = settle(_gathered(_dealt(met, blocks), among, blocks, tasks), "places")
+    near = settle(near.join(ids, "term"), "near-ids")
     found = []
-    for i in range(passes):
-        some = slots.where(_folder(F.col("query_id"), passes) == i)
-        answers = some.select("slot", F.explode("of").alias("word")).distinct().join(near, "word").join(ids, "term").select("slot", "id", "typos")
-        answers = settle(answers, "answers")
-        wanted = ids.join(answers.select("id").distinct(), "id", "left_semi")
-        answered = some.join(answers.select("slot").distinct(), "slot", "left_semi")
-        # a query with a word that no term is near finds nothing
-        whole = some.groupBy("query_id").agg(F.count("*").alias("n")).join(answered.groupBy("query_id").agg(F.count("*").alias("n")), ["query_id", "n"])
-        whole = settle(some.join(whole, "query_id", "left_semi").select("query_id", "i", "slot"), "whole")
-        if whole.isEmpty():
+    most = near.agg(F.max("typos")).first()[0]
+    for least in sorted({min(1, most), most}) if most is not None else []:
+        close, last = near.where(F.col("typos") <= least), least == most
+        now = _passes(places, slots, close, k, sizes["attributes"])
+        if now is None:
             continue
-        places = _met(postings, wanted, "term").select(F.coalesce(F.col("key").cast("long"), F.lit(NO_KEY)).alias("key"), "id", "attribute", "position")
-        if among is not None:
-            places = places.join(among.select(F.col("key").cast("long").alias("key")), "key", "left_semi")
-        tasks = max(spark.sparkContext.defaultParallelism, -(-places.count() // TASK_ROWS))
-        answers = answers.join(whole.select("slot").distinct(), "slot", "left_semi")
-        found.append(settle(_search_pass(places, whole, answers, k, tasks), "found"))
+        now = settle(now, "found")
+        if last:
+            found.append(now)
+            continue
+        # k posts with so few typing errors leave no place for others; so does a query whose words have no other terms
+        more = near.where(F.col("typos") > least).select("word").distinct()
+        open_ = slots.select("query_id", F.explode("of").alias("word")).join(more, "word", "left_semi").select("query_id").distinct()
+        best = now.where(F.col("typos") <= least).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        open_ = settle(open_.join(best, "query_id", "left_anti"), "open")
+        found.append(now.join(open_, "query_id", "left_anti"))
+        slots = settle(slots.join(open_, "query_id", "left_semi"), "slots")
+    kind = sizes["key"]
     if not found:
         id_kind = queries.schema["query_id"].dataType.simpleString()
-        return spark.createDataFrame([], f"query_id {id_kind}, key {kind.simpleString()}, typos int, proximity int, attribute int, rank int")
+        return spark.createDataFrame([], f"query_id {id_kind}, key {kind}, typos int, proximity int, attribute int, rank int")
     for more in found[1:]:
         found[0] = found[0].unionByName(more)
     order = W.partitionBy("query_id").orderBy("typos", "proximity", "attribute", "key")

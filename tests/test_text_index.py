@@ -116,3 +116,24 @@ def test_hits_do_not_grow_with_equal_queries(spark, index, monkeypatch):
     monkeypatch.setattr(text_index, "NEAR_ROWS", 40)
     again = text_index.search(spark, index, many).collect()
     assert len(moved) > 3 and sorted(map(tuple, again)) == sorted(map(tuple, found))
+
+
+def test_places_are_read_once_for_all_passes(spark, index, monkeypatch):
+    met, passes = [], []
+    of, searched = text_index._met, text_index._search_pass
+    monkeypatch.setattr(text_index, "_met", lambda *a: (met.append(a[2]), of(*a))[1])
+    monkeypatch.setattr(text_index, "_search_pass", lambda *a: (passes.append(a[0]), searched(*a))[1])
+    monkeypatch.setattr(text_index, "NEAR_ROWS", 4)
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate(["tresury", "council vote", "common vote"])], "query_id long, query string")
+    assert text_index.search(spark, index, asked).count() == 15
+    assert met.count("term") == 1 and len(passes) > 1
+
+
+def test_keys_far_apart_and_none(spark, tmp_path):
+    keys = [-(2**62), -5, 0, 3, 2**62, 2**62 + 1, None]
+    df = spark.createDataFrame([(k, "vote vote tally") for k in keys], "id long, body string").coalesce(1)
+    text_index.build(df, str(tmp_path / "x"), "id", ["body"])
+    asked = spark.createDataFrame([(1, "tally vote"), (2, "tally vote")], "query_id long, query string")
+    found = text_index.search(spark, str(tmp_path / "x"), asked, k=10).collect()
+    for query in (1, 2):
+        assert [r.key for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == query] == [None, *keys[:-1]]
