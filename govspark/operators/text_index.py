@@ -49,12 +49,20 @@ NEAR_ROWS = 1_000_000
 #: Rows of one block of posts, rows that are met at once, and rows that one task gets.
 BLOCK_ROWS, MEET_ROWS, TASK_ROWS = 200_000, 2_000_000, 4_000_000
 #: Places, or terms, that are grouped at once while the index is built.
-CHUNK_ROWS, CHUNK_TERMS = 4_000_000, 200_000
+CHUNK_ROWS, CHUNK_TERMS = 1_500_000, 40_000
 #: A term with such a share of a chunk's places is dealt to so many parts of its folder.
 HOT_SHARE, HOT_PARTS = 0.001, 8
 #: A place of a wanted term on its way to the block of its post.
 PLACE = np.dtype([("key", np.int64), ("id", np.uint32), ("place", np.uint32)])
 NO_KEY = -(2**63)
+#: Bytes of a batch that is handed to a Python worker.
+BATCH_BYTES, PART_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Batches of about PART_BYTES, unless the session has a bound of its own: by rows alone they may be of any size."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(PART_BYTES))
 
 
 def words(text: Column) -> Column:
@@ -204,6 +212,7 @@ def _term_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
 def build(posts: DataFrame, path: str, key: str, attributes: list[str]) -> None:
     """Writes the index of the texts in ``attributes``, the most important first; ``key`` is a unique number."""
     spark = posts.sparkSession
+    _small_batches(spark)
     texts = F.array(*(words(F.col(a)) for a in attributes))
     number = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
     cut = posts.select(number.alias("key"), texts.alias("texts"))
@@ -546,6 +555,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, among
 
     ``among`` is a table (key) of posts that may be found, the result of any filter. A query without words finds nothing.
     """
+    _small_batches(spark)
     listed = queries.where("query_id IS NOT NULL").select("query_id", words(F.col("query")).alias("w"))
     asked = settle(listed.select("query_id", F.posexplode("w").alias("i", "word")).distinct(), "asked")
     near = settle(candidates(spark, path, asked), "near")
