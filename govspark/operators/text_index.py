@@ -47,7 +47,7 @@ TRAVEL_ROWS = 500_000
 #: Rows of terms near the words of those queries that are searched in one pass.
 NEAR_ROWS = 1_000_000
 #: Rows of one block of posts, rows that are met at once, and rows that one task gets.
-BLOCK_ROWS, MEET_ROWS, TASK_ROWS = 200_000, 2_000_000, 4_000_000
+BLOCK_ROWS, MEET_ROWS, TASK_ROWS = 200_000, 500_000, 4_000_000
 #: Places, or terms, that are grouped at once while the index is built.
 CHUNK_ROWS, CHUNK_TERMS = 1_500_000, 40_000
 #: A term with such a share of a chunk's places is dealt to so many parts of its folder.
